@@ -8,6 +8,7 @@ from echoloom.catalog import fixtures as fx
 from echoloom.functions.text import content_id
 from echoloom.operators import qa as ops
 from echoloom.operators import speech
+from echoloom.session import materialize
 
 
 def zip_answers(spark, sf):
@@ -42,7 +43,7 @@ def qa_document_stats(spark, sf):
 
 
 def to_examples(spark, sf):
-    examples = ops.to_examples(_documents(spark, sf))
+    examples = ops.to_examples(materialize(_documents(spark, sf), "documents"))
     return examples.select("title", F.md5("context").alias("context"), F.size("qas").alias("questions"),
                            F.exists("qas", lambda q: q["is_impossible"]).alias("impossible"))
 

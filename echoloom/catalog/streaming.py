@@ -8,7 +8,7 @@ from echoloom.catalog import fixtures as fx
 from echoloom.functions.text import content_id
 from echoloom.operators import contexts as context_ops
 from echoloom.operators import speech
-from echoloom.session import scratch_dir
+from echoloom.session import materialize, scratch_dir
 from echoloom.sinks import files as sinks
 from echoloom.streaming import transcripts as ops
 
@@ -33,7 +33,7 @@ def stream_merge(spark, sf):
     sinks.write_jsonl(asked.repartition(8, "doc_id"), landing)
     lines = fx.responses(spark, sf).transform(speech.flatten_hypotheses).transform(
         speech.transcript_lines, keep=("doc_id",))
-    known = context_ops.last_wins(lines, "context_id", "context", "doc_id")
+    known = materialize(context_ops.last_wins(lines, "context_id", "context", "doc_id"), "transcripts")
     schema = "doc_id bigint, context_id string, context string"
     questions = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).json(landing)
     query = (ops.merge_stream(questions, known).writeStream.format("json").option("path", out)

@@ -31,7 +31,7 @@ def numbered(words: Column) -> Column:
 
         return let(starts, mark)
 
-    return let(F.array_sort(words), runs)
+    return let(F.sort_array(words), runs)
 
 
 def _f1(p: Column, t: Column) -> Column:

@@ -49,7 +49,7 @@ def is_blank(c: ColumnLike) -> Column:
 
 def tokens(c: ColumnLike) -> Column:
     """``str.split()``: blank-separated words, none of them empty."""
-    return F.filter(F.split(col(c), PY_BLANK_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(col(c), PY_BLANK_CLASS + "+"), "")
 
 
 def answer_tokens(c: ColumnLike) -> Column:

@@ -51,11 +51,12 @@ def id_collisions(dictionary: DataFrame) -> DataFrame:
     return dictionary.groupBy("context_id").agg(F.count("*").alias("contexts")).where(F.col("contexts") > 1)
 
 
-def replace_contexts(df: DataFrame, dictionary: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def replace_contexts(df: DataFrame, dictionary: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Replace known text by its id; unknown or blank text passes unchanged.
 
-    The join carries a 256-bit digest, so the dictionary's text is not
-    shuffled. ``known`` is true for a hit, false for a miss, null for blank text.
+    The join carries a 256-bit digest, so the dictionary's text is not shuffled;
+    finding hot texts beforehand would read all text twice, so their split is
+    left to adaptive execution unless ``hot_rows`` is given. ``known`` is true for a hit, false for a miss, null for blank text.
     ``dictionary`` holds each text once.
     """
     digests = dictionary.select(F.sha2("context", 256).alias("_digest"),

@@ -66,7 +66,7 @@ def answerable(df: DataFrame) -> DataFrame:
     )
 
 
-def nest(df: DataFrame, order: str, max_questions: int = 10_000) -> DataFrame:
+def nest(df: DataFrame, order: str, max_questions: int = 10_000, digest: str | None = None) -> DataFrame:
     """``first_seen, title, part, paragraphs[{context, piece, qas[{id, question, answers}]}]``.
 
     Titles, paragraphs and questions keep first-seen order; ``order`` is a
@@ -74,10 +74,12 @@ def nest(df: DataFrame, order: str, max_questions: int = 10_000) -> DataFrame:
     paragraph one entry, piece 0. Beyond ``max_questions`` a paragraph goes on
     in further entries and a title in further rows, so that no huge group
     becomes one array. Text is joined once per entry by its digest; it is not
-    shuffled with each question.
+    shuffled with each question. ``df`` is read three times, so it should be a
+    stored table; with a stored ``digest`` column two of the passes skip the text.
     """
-    rows = df.transform(answerable).withColumn("_digest", F.sha2("context", 256))
-    texts = rows.groupBy("_digest").agg(F.any_value("context").alias("context"))
+    made = F.sha2("context", 256) if digest is None else F.col(digest)
+    rows = df.transform(answerable).withColumn("_digest", made)
+    texts = rows.select("_digest", "context").distinct()
     qas = rows.select("title", "_digest", F.col(order).cast("bigint").alias("_at"),
                       F.struct("id", "question", "answers").alias("_qa"))
     listed = F.sort_array(F.collect_list(F.struct("_at", "_qa")))
@@ -122,7 +124,8 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
 def to_examples(documents: DataFrame) -> DataFrame:
     """``title, context, qas`` of the first paragraph of each title, all answerable.
 
-    Where the first paragraph was cut into pieces, each piece is a row.
+    Where the first paragraph was cut into pieces, each piece is a row; nested
+    rows are then read three times and should be a stored table.
     """
     possible = lambda qas: F.transform(qas, lambda q: q.withField("is_impossible", F.lit(False)))
     first = F.col("paragraphs")[0]

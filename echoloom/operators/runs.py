@@ -82,7 +82,7 @@ def _follow(rule: _Rule, values: np.ndarray, steps: np.ndarray, at: int, best: f
     return None, best, best_step, counter, None
 
 
-def _summarise(rule: _Rule, block: pd.DataFrame) -> dict:
+def _summarise(rule: _Rule, values: np.ndarray, steps: np.ndarray) -> dict:
     """What a block of consecutive rows does to any state that enters it.
 
     An entering best value meets its first improvement at a row that is better
@@ -90,7 +90,6 @@ def _summarise(rule: _Rule, block: pd.DataFrame) -> dict:
     longer depends on what entered. So one outcome per such row, and one for an
     unset best value, describe the block.
     """
-    values, steps = block["m"].to_numpy(float), block["step"].to_numpy()
     outcome: dict[int, tuple] = {}
 
     def after(event: int) -> tuple:
@@ -128,6 +127,7 @@ def _summarise(rule: _Rule, block: pd.DataFrame) -> dict:
 _SUMMARY = ("run_id bigint, block bigint, rows bigint, steps array<bigint>, head array<double>, at array<bigint>, value array<double>, "
             "best array<double>, best_step array<bigint>, counter array<bigint>, stop array<bigint>, "
             "open_at bigint, open_best double, open_best_step bigint, open_counter bigint, open_stop bigint")
+_COLUMNS = [field.split()[0] for field in _SUMMARY.split(", ")]
 
 
 def _int(x: object) -> int | None:
@@ -168,9 +168,11 @@ def early_stopping(df: DataFrame, value: str = "m", patience: int | None = 10, d
     """
     rule = _Rule(delta, minimize, patience)
 
-    def summarise(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        made = _summarise(rule, block.sort_values("step"))
-        return pd.DataFrame([{"run_id": key[0], "block": key[1], **made}])
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([
+                {"run_id": b.run_id, "block": b.block, **_summarise(rule, np.asarray(b.m, float), np.asarray(b.step))}
+                for b in batch.itertuples(index=False)], columns=_COLUMNS)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run, state = None, None
@@ -191,9 +193,9 @@ def early_stopping(df: DataFrame, value: str = "m", patience: int | None = 10, d
         out = pd.DataFrame(rows, columns=["run_id", "best", "best_step", "stop_step"])
         return out.astype({"best_step": "Int64", "stop_step": "Int64", "best": "float64"})
 
-    blocks = df.select("run_id", F.col("step").cast("bigint").alias("step"),
-                       F.col(value).cast("double").alias("m"),
-                       F.floor(F.col("step") / F.lit(width)).alias("block"))
-    summaries = blocks.groupBy("run_id", "block").applyInPandas(summarise, _SUMMARY)
+    listed = F.sort_array(F.collect_list(F.struct(
+        F.col("step").cast("bigint").alias("step"), F.col(value).cast("double").alias("m"))))
+    blocks = df.groupBy("run_id", F.floor(F.col("step") / F.lit(width)).alias("block")).agg(listed.alias("l"))
+    summaries = blocks.select("run_id", "block", "l.step", "l.m").mapInPandas(summarise, _SUMMARY)
     ordered = summaries.repartition("run_id").sortWithinPartitions("run_id", "block")
     return ordered.mapInPandas(apply, "run_id bigint, best double, best_step bigint, stop_step bigint")

@@ -101,7 +101,7 @@ def feature_spans(start_logits: ColumnLike, end_logits: ColumnLike, n_best: int
     prefer the earlier position.
     """
     def top(scores: Column) -> Column:
-        ranked = F.array_sort(F.transform(scores, lambda v, i: F.struct((-v).alias("s"), i.alias("i"))))
+        ranked = F.sort_array(F.transform(scores, lambda v, i: F.struct((-v).alias("s"), i.alias("i"))))
         return F.slice(ranked, 1, n_best)
 
     def pair(starts: Column, ends: Column) -> Column:
@@ -109,7 +109,7 @@ def feature_spans(start_logits: ColumnLike, end_logits: ColumnLike, n_best: int
             (s["s"] + e["s"]).alias("cost"), s["i"].alias("start"), e["i"].alias("end")))))
         fits = F.filter(pairs, lambda p: (p["end"] >= p["start"]) & (
             p["end"] - p["start"] + 1 <= max_answer_length))
-        return F.transform(F.slice(F.array_sort(fits), 1, n_best), lambda p: F.struct(
+        return F.transform(F.slice(F.sort_array(fits), 1, n_best), lambda p: F.struct(
             (-p["cost"]).alias("score"), p["start"].alias("start"), p["end"].alias("end")))
 
     return let(top(col(start_logits)), lambda s: let(top(col(end_logits)), lambda e: pair(s, e)))

@@ -16,18 +16,26 @@ HOT_KEYS = 1024
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
-                hot_rows: int = 1_000_000) -> DataFrame:
-    """Join rows to a table with unique ``key`` values, splitting hot keys.
-
-    Keys with more than ``hot_rows`` rows on the left are spread over
-    ``count / hot_rows`` salts, and only their right rows are repeated. Rows
-    with a null key cannot match and are spread as well instead of meeting in
-    one task. The salt is the number of the task that holds the row, so copies
-    of one row separate too and a task retried after a lost executor draws the
-    same salt.
+                hot_rows: int | None = None) -> DataFrame:
+    """Join rows to a table with unique ``key`` values, whatever the key's distribution.
+
+    Rows with a null key cannot match; they are spread over the tasks instead of
+    meeting in one. Of a hot key, adaptive execution splits the rows by the
+    measured partition sizes. ``hot_rows`` splits them in the plan itself, for a
+    key column that is cheap to read: keys with more rows are spread over
+    ``count / hot_rows`` salts, and only their right rows are repeated.
+
+    The salt is the number of the task that holds the row, so copies of one row
+    separate too and a task retried after a lost executor draws the same salt.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type {how!r}")
+    known = right.where(F.col(key).isNotNull())
+    if hot_rows is None:
+        if how == "inner":
+            return left.join(known, key)
+        probe = left.withColumn("_salt", F.when(F.col(key).isNull(), F.spark_partition_id()).otherwise(0))
+        return probe.join(known.withColumn("_salt", F.lit(0)), [key, "_salt"], how).drop("_salt")
     hot = (
         left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows"), "_hot").limit(HOT_KEYS)
@@ -41,8 +49,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
         .drop("_task", "_hot", "_salts")
     )
     build = (
-        right.where(F.col(key).isNotNull())
-        .join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+        known.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
         .drop("_hot", "_salts")
     )

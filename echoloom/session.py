@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution re-plans joins from measured sizes, splits skewed join
 # partitions and merges small ones; forcing the skew split lets it also act
@@ -53,6 +53,17 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that a job reads more than once to the scratch folder.
+
+    Later passes read only the columns they need, and a lost executor costs a
+    re-read instead of the work upstream.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A path below the scratch folder that no earlier run used."""
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.operators.spread import blocked_rank, by_width
+from echoloom.session import materialize
 
 
 def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
@@ -17,8 +18,10 @@ def write_document(rows: DataFrame, path: str, head: str, tail: str) -> None:
     """One JSON document from ``order, json`` rows, in order.
 
     The rows are sorted by range, never gathered: a small document is one file,
-    and of a large one the files in name order make up the document.
+    and of a large one the files in name order make up the document. They are
+    stored first, since a range sort reads its input twice.
     """
+    rows = materialize(rows, "document-rows")
     first = rows.select(F.min("order")).scalar()
     body = rows.select(F.lit(1).alias("section"), "order", F.when(F.col("order") == first, F.col("json"))
                        .otherwise(F.concat(F.lit(","), F.col("json"))).alias("value"))
@@ -83,6 +86,7 @@ def write_predictions(ranked: DataFrame, path: str, null_odds: DataFrame | None
     Each is one JSON object keyed by question id. ``ranked`` has ``id, rank,
     text, probability``; ``null_odds`` has ``id, odds``.
     """
+    ranked = materialize(ranked.select("id", "rank", "text", "probability"), "ranked")
     best = ranked.where(F.col("rank") == 1)
     write_document(best.select(F.col("id").alias("order"), _entry(F.col("text")).alias("json")),
                    f"{path}/predictions_test", "{", "}")
