@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = ("sources", "sinks", "contexts", "speech", "normalize", "qa", "evaluate", "scoring", "augment",
-           "runs", "streaming")
+           "runs", "streaming", "build")
 
 
 def _collect(name: str) -> dict:

@@ -99,7 +99,7 @@ from f_qa q left join (
   select split_part(k, '#', 1) as id, max(f1) as f1,
     max(case when array_to_string(pw, ' ') = array_to_string(tw, ' ') then 1.0::double else 0.0::double end) as em
   from f1s group by 1) b on q.uit_id = b.id"""
-_SCORED = {"truths": _TRUTHS, **_f1_ctes("select uit_id || '#' || i as k, prediction as p, t from truths"),
+SCORED = {"truths": _TRUTHS, **_f1_ctes("select uit_id || '#' || i as k, prediction as p, t from truths"),
            "scores": _SCORES}
 _PAIRS = """
 select q.uit_id as id, a1 as truth, coalesce(p.prediction, '') as prediction
@@ -114,9 +114,9 @@ ORACLE = {
     "em_f1": fx.sql("""
 select count(*) as questions, count(*) filter (answered) as answered, 0::bigint as rejected,
   round(100.0 * sum(exact_match) / count(*), 6) as exact_match, round(100.0 * sum(f1) / count(*), 6) as f1
-from scores""", "f_qa", "f_predictions", **_SCORED),
+from scores""", "f_qa", "f_predictions", **SCORED),
     "per_question_scores": fx.sql("select id, answered, exact_match, round(f1, 9) as f1 from scores",
-                                  "f_qa", "f_predictions", **_SCORED),
+                                  "f_qa", "f_predictions", **SCORED),
     "token_f1": fx.sql("select k as uit_id, round(f1, 9) as f1 from f1s", "f_qa",
                        **_f1_ctes("select uit_id as k, question as p, context as t from f_qa")),
     "exact_match": fx.sql(f"""

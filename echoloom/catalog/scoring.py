@@ -50,7 +50,8 @@ def attach_results(spark, sf):
 
 def score_answers(spark, sf):
     rows = fx.qa(spark, sf).select(F.col("uit_id").alias("id"), "question", "context")
-    best = ops.answer_questions(rows, ops.lexical_scorer, n_best=3, max_seq_length=64, doc_stride=16)
+    best = ops.answer_questions(rows, ops.lexical_scorer, n_best=3, max_seq_length=64, doc_stride=16,
+                                max_query_length=16)
     return best.withColumns({c: F.round(c, 6) for c in ("score", "probability")})
 
 

@@ -41,6 +41,8 @@ def chunk_contexts(df: DataFrame, text: str = "context", length: Column | int =
 def room_for_context(question: ColumnLike, max_seq_length: int = 512, max_query_length: int = 64,
                      marks: int = 3) -> Column:
     """Words left for the context beside the (cut) question and the marker words."""
+    if max_seq_length - marks - max_query_length <= 0:
+        raise ValueError("max_query_length leaves no room for the context")
     return F.lit(max_seq_length - marks) - F.least(F.size(tokens(question)), F.lit(max_query_length))
 
 
@@ -171,6 +173,13 @@ def answer_questions(df: DataFrame, scorer: Scorer, n_best: int = 20, max_answer
             .select("id", "rank", "score", "start", "end", "text", "probability"))
 
 
-def best_predictions(ranked: DataFrame) -> DataFrame:
-    """``id, prediction``: the first answer of each question."""
-    return ranked.where(F.col("rank") == 1).select("id", F.col("text").alias("prediction"))
+def best_predictions(ranked: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """``id, prediction``: the first answer of each question.
+
+    With ``questions``, those without any span get an empty answer.
+    """
+    first = ranked.where(F.col("rank") == 1).select("id", F.col("text").alias("prediction"))
+    if questions is None:
+        return first
+    return questions.select("id").distinct().join(first, "id", "left").select(
+        "id", F.coalesce("prediction", F.lit("")).alias("prediction"))

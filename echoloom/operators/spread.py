@@ -148,6 +148,17 @@ def hash_cut(df: DataFrame, keys: Sequence[str], seed: int | str, ratio: float,
     return marked.withColumn(name, F.coalesce(F.col("_h") <= last.scalar(), F.lit(False))).drop("_h")
 
 
+def number_rows(files: DataFrame, name: str = "ord") -> DataFrame:
+    """Number the rows of a file scan 1, 2, … in the order of file, split and line.
+
+    ``files`` is the scan itself. One split of a file is one block.
+    """
+    marked = files.select(
+        "*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+        .alias("_split"), F.monotonically_increasing_id().alias("_line"))
+    return blocked_rank(marked, [], ["_line"], name, F.col("_split")).drop("_split", "_line")
+
+
 def index_from_zero(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """A gap-free index for a catalogue of unique keys, in hash order."""
     return hash_rank(df, [key], "", name).withColumn(name, F.col(name) - 1)

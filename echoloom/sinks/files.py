@@ -14,18 +14,21 @@ def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(path)
 
 
-def write_document(rows: DataFrame, path: str, head: str, tail: str) -> None:
+def write_document(rows: DataFrame, path: str, head: str, tail: str, stored: bool = False) -> None:
     """One JSON document from ``order, json`` rows, in order.
 
     The rows are sorted by range, never gathered: a small document is one file,
-    and of a large one the files in name order make up the document. They are
-    stored first, since a range sort reads its input twice.
+    and of a large one the files in name order make up the document. Unless they
+    come from a ``stored`` table they are stored first, since a range sort reads
+    its input twice.
     """
-    rows = materialize(rows, "document-rows")
+    rows = rows if stored else materialize(rows, "document-rows")
     first = rows.select(F.min("order")).scalar()
     body = rows.select(F.lit(1).alias("section"), "order", F.when(F.col("order") == first, F.col("json"))
                        .otherwise(F.concat(F.lit(","), F.col("json"))).alias("value"))
-    frame = rows.sparkSession.createDataFrame([(0, head), (2, tail)], "section int, value string").coalesce(1)
+    ends = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(text).alias("value"))
+                     for n, text in ((0, head), (2, tail))])
+    frame = rows.sparkSession.range(1, numPartitions=1).select(F.inline(ends))
     whole = body.unionByName(frame, allowMissingColumns=True)
     whole.orderBy("section", "order").select("value").write.mode("overwrite").text(path)
 
@@ -84,20 +87,21 @@ def write_predictions(ranked: DataFrame, path: str, null_odds: DataFrame | None
     """``predictions``, ``nbest_predictions`` and ``null_odds`` below ``path``.
 
     Each is one JSON object keyed by question id. ``ranked`` has ``id, rank,
-    text, probability``; ``null_odds`` has ``id, odds``.
+    text, probability``; ``null_odds`` has ``id, odds``. Ranking is stored once
+    and serves all three.
     """
     ranked = materialize(ranked.select("id", "rank", "text", "probability"), "ranked")
-    best = ranked.where(F.col("rank") == 1)
-    write_document(best.select(F.col("id").alias("order"), _entry(F.col("text")).alias("json")),
-                   f"{path}/predictions_test", "{", "}")
     listed = F.sort_array(F.collect_list(F.struct("rank", "text", "probability")))
-    nbest = ranked.groupBy("id").agg(listed.alias("_l")).select("id", F.transform("_l", lambda x: F.struct(
-        x["text"].alias("text"), x["probability"].alias("probability"))).alias("answers"))
-    write_document(nbest.select(F.col("id").alias("order"), _entry(F.col("answers")).alias("json")),
-                   f"{path}/nbest_predictions_test", "{", "}")
+    plain = F.transform("_l", lambda x: F.struct(x["text"].alias("text"), x["probability"].alias("probability")))
+    parts = {
+        "predictions_test": (ranked.where(F.col("rank") == 1), F.col("text"), True),
+        "nbest_predictions_test": (ranked.groupBy("id").agg(listed.alias("_l")), plain, True),
+    }
     if null_odds is not None:
-        write_document(null_odds.select(F.col("id").alias("order"), _entry(F.col("odds")).alias("json")),
-                       f"{path}/null_odds_test", "{", "}")
+        parts["null_odds_test"] = (null_odds, F.col("odds"), False)
+    for name, (rows, value, stored) in parts.items():
+        entries = rows.select(F.col("id").alias("order"), _entry(value).alias("json"))
+        write_document(entries, f"{path}/{name}", "{", "}", stored)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
