@@ -113,21 +113,6 @@ def simple_normalizer(c: Column) -> Column:
     return collapse_blanks(F.lower(c))
 
 
-def nfc_normalizer(c: Column) -> Column:
-    """Like ``simple_normalizer``, after composing letters and their accents.
-
-    Spark has no Unicode normalisation expression, so this one crosses to
-    Python in Arrow batches.
-    """
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFC")
-
-    return simple_normalizer(compose(c))
-
-
 def hash_order(seed: int | str, *keys: ColumnLike) -> Column:
     """A repeatable shuffle key: unlike rand(), a retried task gets it again."""
     parts = [F.coalesce(col(k).cast("string"), F.lit("")) for k in keys]

@@ -114,6 +114,6 @@ def read_predictions(spark: SparkSession, source: Input, layout: str = "document
     """
     if isinstance(source, DataFrame):
         return source
-    text = spark.read.option("wholetext", layout == "document").text(source).where(F.trim("value") != "")
+    text = spark.read.text(source, wholetext=layout == "document").where(F.trim("value") != "")
     answers = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     return text.select(F.explode(answers).alias("id", "prediction"))
