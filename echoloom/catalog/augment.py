@@ -9,6 +9,7 @@ from echoloom.catalog import fixtures as fx
 from echoloom.functions import signal
 from echoloom.operators import augment as ops
 from echoloom.operators.spread import index_from_zero
+from echoloom.session import materialize
 
 SEED = 11
 
@@ -48,7 +49,7 @@ def _files(spark, sf):
 
 def _clips(spark, sf):
     names = fx.table(spark, sf, "embeddings").select(F.concat(F.lit("noise"), "vec_id", F.lit(".wav")).alias("clip"))
-    return index_from_zero(names, "clip")
+    return materialize(index_from_zero(names, "clip"), "clips")
 
 
 def _plan(spark, sf):
@@ -73,7 +74,8 @@ def augment_plan(spark, sf):
 
 
 def augment_log(spark, sf):
-    log = ops.augment_log(_plan(spark, sf), "file", SEED, per_line=500)
+    split = materialize(ops.ratio_split(_files(spark, sf), "file", seed=SEED), "split")
+    log = ops.augment_log(split, "file", SEED, per_line=500)
     return log.select("method", "part", F.size("files").alias("n"), F.md5(F.array_join("files", "|")).alias("files"))
 
 

@@ -36,7 +36,7 @@ def build_documents(spark, sf):
 
 
 def synthesis_plan(spark, sf):
-    records = materialize(fx.qa(spark, sf).select(*RECORD), "records")
+    records = fx.qa(spark, sf).select(*RECORD)
     dictionary, questions = build.prepare(records, "ord")
     return build.plan_synthesis(questions, dictionary, fx.voices(spark, sf), seed=3).select(
         "context_id", "audio_file", "voice_name", "voice_type", "context_length")
@@ -58,7 +58,7 @@ def judge_answers(spark, sf):
     ranked = evaluate.predict(documents, scoring_ops.lexical_scorer, n_best=1, max_seq_length=64, doc_stride=16,
                               max_query_length=16)
     examples = qa_ops.to_examples(documents).select("title", F.array(
-        F.struct("context", F.lit(0).alias("piece"), "qas")).alias("paragraphs"))
+        F.struct("context", "qas")).alias("paragraphs"))
     return evaluate.judge(examples, scoring_ops.best_predictions(ranked, evaluate.questions(documents)))
 
 

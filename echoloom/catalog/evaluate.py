@@ -41,9 +41,7 @@ def _pairs(spark, sf):
     """Every question with its first answer; a missing prediction is an empty one."""
     truth = fx.qa(spark, sf).select(F.col("uit_id").alias("id"), F.transform(
         "answers.text", lambda t: F.struct(t.alias("text"))).alias("answers")).transform(ops.first_truths)
-    given = fx.predictions(spark, sf)
-    blank = truth.join(given, "id", "left_anti").select("id", F.lit("").alias("prediction"))
-    return ops.strict_prediction_join(truth, given.unionByName(blank))
+    return ops.strict_prediction_join(truth, fx.predictions(spark, sf, missing=""))
 
 
 def strict_prediction_join(spark, sf):

@@ -92,15 +92,15 @@ def unresolved_ids(requested: DataFrame, dictionary: DataFrame) -> DataFrame:
 def filter_by_ids(df: DataFrame, ids: DataFrame | None, column: str = "context_id") -> DataFrame:
     """Rows whose id is in ``ids``; no ids, or an empty table, means no filter.
 
-    The empty case is decided inside the plan by a one-row subquery, so building
-    the plan runs no job.
+    The empty case is a subquery that stops at the first id, and the rows are
+    read once for both cases.
     """
     if ids is None:
         return df
-    wanted = ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct()
-    kept = df.join(wanted, column, "left_semi").select(*df.columns)
-    everything = df.where(wanted.select(F.count("*")).scalar() == 0)
-    return kept.unionByName(everything)
+    given = ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull())
+    none = given.limit(1).select(F.count("*")).scalar() == 0
+    marked = df.join(given.distinct().withColumn("_wanted", F.lit(True)), column, "left")
+    return marked.where(F.col("_wanted") | none).select(*df.columns)
 
 
 def limit_contexts(df: DataFrame, n: int | None, order: str = "context_id") -> DataFrame:

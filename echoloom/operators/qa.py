@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echoloom.functions.text import ColumnLike, col
 from echoloom.operators.contexts import last_wins
-from echoloom.operators.spread import blocked_sum, by_width, lookup_join, pieces
+from echoloom.operators.spread import lookup_join, split_hot
 
 ANSWER = "array<struct<text:string,answer_start:bigint>>"
 
@@ -66,52 +66,44 @@ def answerable(df: DataFrame) -> DataFrame:
     )
 
 
-def nest(df: DataFrame, order: str, max_questions: int = 10_000, digest: str | None = None) -> DataFrame:
-    """``first_seen, title, part, paragraphs[{context, piece, qas[{id, question, answers}]}]``.
+def nest(df: DataFrame, order: str, max_questions: int = 50_000) -> DataFrame:
+    """``first_seen, title, part, whole, paragraphs[{context, qas[{id, question, answers}]}]``.
 
     Titles, paragraphs and questions keep first-seen order; ``order`` is a
-    unique integer. An ordinary title is one row, part 0, and an ordinary
-    paragraph one entry, piece 0. Beyond ``max_questions`` a paragraph goes on
-    in further entries and a title in further rows, so that no huge group
-    becomes one array. Text is joined once per entry by its digest; it is not
-    shuffled with each question. ``df`` is read three times, so it should be a
-    stored table; with a stored ``digest`` column two of the passes skip the text.
+    unique integer. A title is one row, part 0. A title with more than
+    ``max_questions`` records is not ``whole``: it goes on in further rows, each
+    a run of the input, so that no huge group becomes one array.
+    Partial aggregation carries a paragraph's text once per task and group, not
+    with each question.
     """
-    made = F.sha2("context", 256) if digest is None else F.col(digest)
-    rows = df.transform(answerable).withColumn("_digest", made)
-    texts = rows.select("_digest", "context").distinct()
-    qas = rows.select("title", "_digest", F.col(order).cast("bigint").alias("_at"),
-                      F.struct("id", "question", "answers").alias("_qa"))
-    listed = F.sort_array(F.collect_list(F.struct("_at", "_qa")))
-    entries = (
-        pieces(qas, ["title", "_digest"], "_at", max_questions, "_piece")
-        .groupBy("title", "_digest", "_piece").agg(listed.alias("_list"))
-        .select("title", "_digest", "_piece", F.col("_list")[0]["_at"].alias("_at"),
-                F.transform("_list", lambda r: r["_qa"]).alias("_qas"))
-    )
-    filled = lookup_join(entries, texts, "_digest", how="inner").drop("_digest")
-    placed = blocked_sum(filled, ["title"], ["_at"], "_questions_before", by_width("_at", 100_000),
-                         weight=F.size("_qas"))
-    paragraph = F.struct("_at", "context", F.col("_piece").alias("piece"), F.col("_qas").alias("qas"))
+    titled = df.withColumn("title", F.coalesce("title", F.lit("Untitled")))
+    rows = split_hot(titled, "title", order, max_questions, "part", "whole").transform(answerable)
+    question = F.struct(F.col(order).cast("bigint").alias("at"), F.struct("id", "question", "answers").alias("qa"))
+    entries = rows.groupBy("title", "part", "whole", "context").agg(
+        F.sort_array(F.collect_list(question)).alias("_l"))
+    paragraph = F.struct(F.col("_l")[0]["at"].alias("at"), "context",
+                         F.transform("_l", lambda q: q["qa"]).alias("qas"))
     return (
-        placed.groupBy("title", F.floor(F.col("_questions_before") / F.lit(max_questions)).alias("_slot"))
-        .agg(F.sort_array(F.collect_list(paragraph)).alias("_list"))
-        .select(F.col("_list")[0]["_at"].alias("first_seen"), "title", F.col("_slot").alias("part"),
-                F.transform("_list", lambda p: F.struct(
-                    p["context"].alias("context"), p["piece"].alias("piece"), p["qas"].alias("qas")))
+        entries.select("title", "part", "whole", paragraph.alias("_p"))
+        .groupBy("title", "part", "whole").agg(F.sort_array(F.collect_list("_p")).alias("_l"))
+        .select(F.col("_l")[0]["at"].alias("first_seen"), "title", "part", "whole",
+                F.transform("_l", lambda p: F.struct(p["context"].alias("context"), p["qas"].alias("qas")))
                 .alias("paragraphs"))
     )
 
 
 def document_stats(documents: DataFrame) -> DataFrame:
-    """Titles, paragraphs and questions; continued parts and pieces count once."""
-    whole = F.filter("paragraphs", lambda p: p["piece"] == 0)
+    """Titles, paragraphs and questions; what goes on in several parts counts once."""
     questions = F.aggregate("paragraphs", F.lit(0), lambda s, p: s + F.size(p["qas"]))
-    return documents.agg(
-        F.count_if(F.col("part") == 0).alias("titles"),
-        F.coalesce(F.sum(F.size(whole)), F.lit(0)).alias("paragraphs"),
-        F.coalesce(F.sum(questions), F.lit(0)).alias("questions"),
-    )
+    sizes = documents.groupBy("whole").agg(
+        F.count_if("whole").alias("titles"), F.sum(F.when(F.col("whole"), F.size("paragraphs"))).alias("paragraphs"),
+        F.sum(questions).alias("questions"))
+    cut = documents.where(~F.col("whole")).select("title", F.explode("paragraphs.context").alias("c"))
+    distinct = cut.select("title", F.sha2("c", 256).alias("c")).distinct().groupBy("title").agg(
+        F.count("*").alias("n")).agg(F.count("*").alias("titles"), F.sum("n").alias("paragraphs"),
+                                     F.lit(0).cast("bigint").alias("questions"))
+    both = sizes.drop("whole").unionByName(distinct)
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("titles", "paragraphs", "questions")])
 
 
 def flatten_documents(documents: DataFrame) -> DataFrame:
@@ -124,22 +116,21 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
 def to_examples(documents: DataFrame) -> DataFrame:
     """``title, context, qas`` of the first paragraph of each title, all answerable.
 
-    Where the first paragraph was cut into pieces, each piece is a row; nested
-    rows are then read three times and should be a stored table.
+    Where that paragraph goes on in further parts of its title, each is a row.
     """
     possible = lambda qas: F.transform(qas, lambda q: q.withField("is_impossible", F.lit(False)))
-    first = F.col("paragraphs")[0]
-    if "part" not in documents.columns:
-        found = documents.where(F.size("paragraphs") > 0)
-        return found.select("title", first["context"].alias("context"), possible(first["qas"]).alias("qas"))
-    heads = documents.where(F.col("part") == 0)
-    openings = heads.select("title", first["context"].alias("_opening"))
-    # A first paragraph beyond the size limit goes on in later parts.
-    tails = documents.where(F.col("part") > 0).join(openings, "title")
-    both = heads.withColumn("_opening", first["context"]).unionByName(tails)
+    first = F.get("paragraphs", F.lit(0))
+    found = documents.where(F.size("paragraphs") > 0)
+    if "whole" in documents.columns:
+        found = found.where("whole")
+    simple = found.select("title", first["context"].alias("context"), possible(first["qas"]).alias("qas"))
+    if "whole" not in documents.columns:
+        return simple
+    cut = documents.where(~F.col("whole"))
+    openings = cut.groupBy("title").agg(F.min_by(first["context"], "first_seen").alias("_opening"))
     same = F.filter("paragraphs", lambda p: p["context"] == F.col("_opening"))
-    return (both.select("title", F.explode(same).alias("p"))
-            .select("title", F.col("p.context").alias("context"), possible(F.col("p.qas")).alias("qas")))
+    rest = cut.join(openings, "title").select("title", F.explode(same).alias("p"))
+    return simple.unionByName(rest.select("title", "p.context", possible(F.col("p.qas")).alias("qas")))
 
 
 def trim_null_answer(df: DataFrame) -> DataFrame:

@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoloom.functions.text import col, hash_order
+from echoloom.functions.text import hash_order
+from echoloom.session import materialize
 
 # At most this many keys are treated as hot, so the table of hot keys has a
 # fixed size bound and may be broadcast. Any key beyond it owns less than
 # 1/HOT_KEYS of the rows, which the ordinary shuffle carries.
 HOT_KEYS = 1024
+# Largest counted number of keys that is broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
@@ -101,14 +104,25 @@ def blocked_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return blocked_sum(df, keys, order, name, block).withColumn(name, F.col(name) + 1)
 
 
-def pieces(df: DataFrame, keys: Sequence[str], order: str, limit: int, name: str) -> DataFrame:
-    """Number bounded, ordered pieces of each key's rows, 0 for ordinary keys.
+def split_hot(df: DataFrame, key: str, order: str, limit: int, part: str, whole: str) -> DataFrame:
+    """Cut the rows of keys with more than ``limit`` rows into ordered parts.
 
-    ``order`` is a unique integer, so a block of ``limit`` values holds at most
-    ``limit`` rows and a piece at most twice that. Needs block sizes only.
+    ``order`` is a unique integer, so a part, a run of ``limit`` of its values,
+    holds at most ``limit`` rows. Other keys are part 0 and ``whole``. The keys to
+    cut are counted and stored first, reading only the key column: without any
+    there is no join, a checked few are broadcast, and more are joined by shuffle.
     """
-    totals = _with_block_totals(df, keys, by_width(order, limit), F.lit(1).cast("bigint"))
-    return totals.withColumn(name, F.floor(F.col("_before") / F.lit(limit))).drop("_block", "_before")
+    counts = df.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
+    hot = materialize(counts.select(F.col(key).alias("_hot"), F.lit(True).alias("_cut")), "hot-keys")
+    n = hot.count()
+    if n == 0:
+        return df.withColumns({part: F.lit(0).cast("bigint"), whole: F.lit(True)})
+    joined = df.join(F.broadcast(hot) if n <= BROADCAST_KEYS else hot,
+                     F.col(key).eqNullSafe(F.col("_hot")), "left")
+    cut = F.col("_cut").isNotNull()
+    return joined.withColumns({
+        part: F.when(cut, F.floor(F.col(order) / F.lit(limit))).otherwise(0).cast("bigint"), whole: ~cut,
+    }).drop("_hot", "_cut")
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], seed: int | str, name: str, digits: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.functions.text import simple_normalizer
+from echoloom.functions.text import content_id, is_blank, py_strip, simple_normalizer
 from echoloom.operators import contexts, qa, speech
 from echoloom.operators.normalize import Normalizer, normalize_field
 from echoloom.session import materialize
@@ -13,13 +13,19 @@ from echoloom.sinks import files as sinks
 
 
 def prepare(records: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
-    """The stored dictionary of all distinct contexts, and the questions by context id.
+    """The dictionary of all distinct contexts, and the questions by context id.
 
-    The dictionary covers every split, so no question keeps its written text for
-    want of an entry. Pass ``records`` as a stored table; it is read twice.
+    The dictionary covers every split and its ids are a function of the text, so
+    replacing a text needs no lookup and no shuffle; ``replace_contexts`` serves
+    dictionaries made elsewhere.
     """
-    dictionary = materialize(contexts.distinct_contexts(records, order), "dictionary")
-    return dictionary, contexts.replace_contexts(records, dictionary)
+    dictionary = contexts.distinct_contexts(records, order)
+    filled = ~is_blank("context")
+    questions = records.withColumns({
+        "context_id": F.when(filled, content_id(py_strip("context"))),
+        "context": F.when(~filled, F.col("context")),
+    })
+    return dictionary, questions
 
 
 def plan_synthesis(questions: DataFrame, dictionary: DataFrame, voices: DataFrame, limit: int | None = None,
@@ -38,15 +44,14 @@ def transcripts(responses: DataFrame, order: str, normalizer: Normalizer = simpl
 
 
 def merge(questions: DataFrame, lines: DataFrame, order: str) -> DataFrame:
-    """Questions with their transcripts, stored with a digest of the text for nesting."""
-    merged = qa.merge_transcripts(questions, lines, order, hot_rows=1_000_000)
-    return materialize(merged.withColumn("context_digest", F.sha2("context", 256)), "merged")
+    """Questions with their transcripts, stored for the passes of nesting."""
+    return materialize(qa.merge_transcripts(questions, lines, order), "merged")
 
 
 def documents(merged: DataFrame, order: str, split: str | None = None) -> DataFrame:
     """Nested documents of one split, or of all records."""
     chosen = merged if split is None else merged.where(F.col("split") == split)
-    return qa.nest(chosen, order, digest="context_digest")
+    return qa.nest(chosen, order)
 
 
 def build(records: DataFrame, responses: DataFrame, order: str, response_order: str,

@@ -55,8 +55,7 @@ def write_contexts_json(df: DataFrame, path: str, order: str, layout: str = "doc
 
 
 def _article() -> Column:
-    plain = F.transform("paragraphs", lambda p: F.struct(p["context"].alias("context"), p["qas"].alias("qas")))
-    return F.struct("title", plain.alias("paragraphs"))
+    return F.struct("title", "paragraphs")
 
 
 def write_qa_documents(documents: DataFrame, path: str, version: str = "v1.0", layout: str = "document") -> None:

@@ -100,7 +100,7 @@ def _documents(spark, n=50):
         F.struct(F.lit("ä").alias("text"), F.lit(0).cast("bigint").alias("answer_start"))).alias("answers")))
     return spark.range(n).repartition(4).select(
         F.col("id").alias("first_seen"), F.concat(F.lit("t"), "id").alias("title"), F.lit(0).alias("part"),
-        F.array(F.struct(F.lit("c").alias("context"), F.lit(0).alias("piece"), qas.alias("qas"))).alias("paragraphs"))
+        F.array(F.struct(F.lit("c").alias("context"), qas.alias("qas"))).alias("paragraphs"))
 
 
 def test_qa_documents(spark, tmp_path):

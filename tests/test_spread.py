@@ -60,18 +60,20 @@ def test_blocked_rank_and_sum(spark):
     assert all(r.n == r.at + 1 for r in whole.collect())
 
 
-def test_pieces_are_bounded_and_ordered(spark):
-    got = spread.pieces(_table(spark), ["k"], "at", 50, "p").collect()
+@pytest.mark.parametrize("broadcast_keys", [0, 100])
+def test_split_hot(spark, monkeypatch, broadcast_keys):
+    monkeypatch.setattr(spread, "BROADCAST_KEYS", broadcast_keys)
+    got = spread.split_hot(_table(spark), "k", "at", 400, "p", "whole").collect()
     groups = {}
     for r in got:
-        groups.setdefault((r.k, r.p), []).append(r["at"])
-    assert len(got) == 2000 and max(map(len, groups.values())) <= 100
-    for (k, p), ats in groups.items():
-        for later in range(p + 1, p + 3):
-            if (k, later) in groups:
-                assert max(ats) < min(groups[(k, later)])
-    ordinary = spread.pieces(_table(spark), ["k"], "at", 5000, "p").where("p <> 0")
-    assert ordinary.count() == 0
+        groups.setdefault((r.k, r.whole, r.p), []).append(r["at"])
+    assert len(got) == 2000 and max(map(len, groups.values())) <= 400
+    assert {(k, whole) for k, whole, _ in groups} == {("a", False), ("b", True), ("c", True), (None, True)}
+    parts = sorted(p for k, _, p in groups if k == "a")
+    assert parts == [0, 1, 2, 3, 4]
+    assert all(max(groups[("a", False, p)]) < min(groups[("a", False, p + 1)]) for p in parts[:-1])
+    ordinary = spread.split_hot(_table(spark), "k", "at", 5000, "p", "whole")
+    assert ordinary.where("p <> 0 or not whole").count() == 0 and ordinary.count() == 2000
 
 
 @pytest.mark.parametrize("ratio", [0.0, 0.33, 0.5, 1.0])
