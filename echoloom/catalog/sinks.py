@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from echoloom.catalog import augment as augment_queries
 from echoloom.catalog import evaluate as evaluate_queries
 from echoloom.catalog import fixtures as fx
+from echoloom.catalog.augment import SEED
+from echoloom.functions.text import hash_order
+from echoloom.operators import augment as augment_ops
 from echoloom.operators import contexts as context_ops
 from echoloom.operators import qa as qa_ops
 from echoloom.operators import scoring as scoring_ops
+from echoloom.operators.spread import number_rows
 from echoloom.session import scratch_dir
 from echoloom.sinks import files as sinks
 from echoloom.sources import files as sources
@@ -72,6 +77,18 @@ def write_predictions(spark, sf):
             .join(entries("null_odds_test", "double").withColumnRenamed("value", "odds"), "id"))
 
 
+def write_augment_log(spark, sf):
+    """The written lists again as rows; a list starts behind each line of the frame."""
+    path = scratch_dir(spark, "augment-log")
+    files = fx.table(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id", F.lit(".mp3")).alias("file"))
+    sinks.write_augment_log(augment_ops.ratio_split(files, "file", seed=SEED), path, "file", hash_order(SEED, "file"))
+    lines = number_rows(spark.read.text(path))
+    second = lines.where(F.col("value").startswith("]") & (F.length("value") > 2)).select("ord").scalar()
+    return lines.where(F.col("value").rlike('^,?"')).select(
+        F.regexp_extract("value", '"(.*)"', 1).alias("file"),
+        F.when(F.col("ord") < second, "noise").otherwise("transform").alias("method"))
+
+
 def write_metrics(spark, sf):
     path = scratch_dir(spark, "metrics")
     report = evaluate_queries.em_f1(spark, sf)
@@ -85,7 +102,7 @@ def write_metrics(spark, sf):
 QUERIES = {
     "roundtrip_jsonl": roundtrip_jsonl, "write_contexts_json": write_contexts_json,
     "write_qa_document": write_qa_document, "export_splits": export_splits,
-    "write_predictions": write_predictions, "write_metrics": write_metrics,
+    "write_predictions": write_predictions, "write_augment_log": write_augment_log, "write_metrics": write_metrics,
 }
 
 _REPORT = evaluate_queries.ORACLE["em_f1"]
@@ -116,6 +133,7 @@ select 'v' || id as id, max(start || '-' || "end") filter (rank = 1) as predicti
   string_agg(start || '-' || "end", '|' order by rank) as nbest, max(start::double) filter (rank = 1) as odds
 from ranked group by id""", "f_logits", starts=_STARTS.format("start_logits"), ends=_STARTS.format("end_logits"),
                                 ranked=_NBEST),
+    "write_augment_log": augment_queries.ORACLE["ratio_split"],
     "write_metrics": f"""
 select key || ' = ' || printf('%.4f', value) as line from (
   unpivot (select questions::double as questions, answered::double as answered, rejected::double as rejected,

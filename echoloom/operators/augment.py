@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from echoloom.functions.signal import snr_mix
 from echoloom.functions.text import hash_order, hash_pick, hash_unit
 from echoloom.operators.speech import assign
-from echoloom.operators.spread import hash_cut, hash_rank
+from echoloom.operators.spread import hash_cut, hash_rank, lookup_join
 
 # The transforms a file of the second branch may get.
 TRANSFORMS = ("ColouredNoise", "BandPassFilter", "BandStopFilter", "Gain", "LowPassFilter", "Normalization")
@@ -59,10 +59,9 @@ def augment_plan(files: DataFrame, clips: DataFrame, key: str, ratio: float = NO
     """
     noisy = F.col("method") == "noise"
     slot = hash_pick(clips.select(F.count("*")).scalar(), f"{seed}-clip", key)
+    slotted = ratio_split(files, key, ratio, seed).withColumn("_slot", F.when(noisy, slot))
     return (
-        ratio_split(files, key, ratio, seed)
-        .withColumn("_slot", F.when(noisy, slot))
-        .join(clips.select(F.col("idx").alias("_slot"), "clip"), "_slot", "left").drop("_slot")
+        lookup_join(slotted, clips.select(F.col("idx").alias("_slot"), "clip"), "_slot").drop("_slot")
         .withColumn("weight", F.when(noisy, noise_weight(key, seed)))
         .withColumn("transform", F.when(~noisy, transform_name(key, seed, sample_rate)))
     )

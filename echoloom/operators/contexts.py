@@ -99,7 +99,7 @@ def filter_by_ids(df: DataFrame, ids: DataFrame | None, column: str = "context_i
         return df
     given = ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull())
     none = given.limit(1).select(F.count("*")).scalar() == 0
-    marked = df.join(given.distinct().withColumn("_wanted", F.lit(True)), column, "left")
+    marked = lookup_join(df, given.distinct().withColumn("_wanted", F.lit(True)), column)
     return marked.where(F.col("_wanted") | none).select(*df.columns)
 
 

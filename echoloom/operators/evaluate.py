@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.functions.scores import best_em, best_f1, verdict
+from echoloom.operators.spread import lookup_join
 
 # (true answer, predicted answer) -> aggregate over all questions.
 SetMetric = Callable[[Column, Column], Column]
@@ -25,7 +26,7 @@ def question_scores(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     so the join on the id is the only shuffle. A question that is answered but
     has no truth gets null scores.
     """
-    joined = truth.join(predictions.select("id", "prediction"), "id", "left")
+    joined = lookup_join(truth, predictions.select("id", "prediction"), "id")
     answered = F.col("prediction").isNotNull()
     return joined.select(
         "id", answered.alias("answered"),
@@ -58,7 +59,7 @@ def strict_prediction_join(truth: DataFrame, predictions: DataFrame) -> DataFram
 
     The check is part of the join's projection, so it costs no second pass.
     """
-    joined = truth.join(predictions.select("id", "prediction"), "id", "left")
+    joined = lookup_join(truth, predictions.select("id", "prediction"), "id")
     missing = F.raise_error(F.concat(F.lit("no prediction for question "), F.coalesce("id", F.lit("null"))))
     return joined.withColumn("prediction", F.coalesce("prediction", missing.cast("string")))
 

@@ -40,33 +40,40 @@ def zip_answers(answers: ColumnLike) -> Column:
     return F.coalesce(paired, F.array().cast(ANSWER))
 
 
-def question_id() -> Column:
-    return F.coalesce("id", "uit_id", F.lit("unknown"))
+def identity(df: DataFrame, keys: str | None = None) -> DataFrame:
+    """Fill in default id, title, question and context.
 
+    Null counts as absent, unless ``keys`` names a column with the keys each
+    record has; then a key given as null stays null.
+    """
+    def given(name: str, default: Column) -> Column:
+        if keys is None:
+            return F.coalesce(F.col(name), default)
+        return F.when(F.array_contains(F.col(keys), name), F.col(name)).otherwise(default)
 
-def identity(df: DataFrame) -> DataFrame:
-    """Fill in default id, title, question and context. Null counts as absent."""
     return df.withColumns({
-        "id": question_id(),
-        "title": F.coalesce("title", F.lit("Untitled")),
-        "question": F.coalesce("question", F.lit("")),
+        "id": given("id", given("uit_id", F.lit("unknown"))),
+        "title": given("title", F.lit("Untitled")),
+        "question": given("question", F.lit("")),
         "context": F.coalesce("context", F.lit("")),
     })
 
 
-def answerable(df: DataFrame) -> DataFrame:
+def _usable(identified: DataFrame) -> DataFrame:
+    return (identified.where(F.col("context") != "")
+            .withColumn("answers", zip_answers("answers")).where(F.size("answers") > 0))
+
+
+def answerable(df: DataFrame, keys: str | None = None) -> DataFrame:
     """Questions that reach a document: a context and at least one usable answer.
 
-    Dropping them before the grouping means that no empty paragraph or title
-    ever forms.
+    Dropping the others before the grouping means that no empty paragraph or
+    title ever forms.
     """
-    return (
-        df.transform(identity).where(F.col("context") != "")
-        .withColumn("answers", zip_answers("answers")).where(F.size("answers") > 0)
-    )
+    return _usable(identity(df, keys))
 
 
-def nest(df: DataFrame, order: str, max_questions: int = 50_000) -> DataFrame:
+def nest(df: DataFrame, order: str, max_questions: int = 50_000, keys: str | None = None) -> DataFrame:
     """``first_seen, title, part, whole, paragraphs[{context, qas[{id, question, answers}]}]``.
 
     Titles, paragraphs and questions keep first-seen order; ``order`` is a
@@ -76,8 +83,7 @@ def nest(df: DataFrame, order: str, max_questions: int = 50_000) -> DataFrame:
     Partial aggregation carries a paragraph's text once per task and group, not
     with each question.
     """
-    titled = df.withColumn("title", F.coalesce("title", F.lit("Untitled")))
-    rows = split_hot(titled, "title", order, max_questions, "part", "whole").transform(answerable)
+    rows = split_hot(identity(df, keys), "title", order, max_questions, "part", "whole").transform(_usable)
     question = F.struct(F.col(order).cast("bigint").alias("at"), F.struct("id", "question", "answers").alias("qa"))
     entries = rows.groupBy("title", "part", "whole", "context").agg(
         F.sort_array(F.collect_list(question)).alias("_l"))

@@ -21,6 +21,10 @@ SETTINGS = {
 }
 
 
+# Scratch folders of local sessions that name none, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = "*", app: str = "echoloom", shuffle_partitions: int = 8,
                   memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -46,11 +50,13 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app in _LOCAL_ROOTS:
+        return _LOCAL_ROOTS[app]
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="echoloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="echoloom-")
+    return _LOCAL_ROOTS[app]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -9,28 +9,37 @@ from echoloom.operators.spread import blocked_rank, by_width
 from echoloom.session import materialize
 
 
+# Keys of the augmentation log.
+NOISE_FILES, TRANSFORMED_FILES = "esc50_files", "torch_augmented_files"
+
+
 def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
     """One object per line, raw UTF-8, columns in order; replaces ``path``."""
     df.write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(path)
 
 
-def write_document(rows: DataFrame, path: str, head: str, tail: str, stored: bool = False) -> None:
-    """One JSON document from ``order, json`` rows, in order.
+def write_document(rows: DataFrame, path: str, frame: list[str], stored: bool = False) -> None:
+    """One JSON document from ``order, json`` rows, in order, between the texts of ``frame``.
 
-    The rows are sorted by range, never gathered: a small document is one file,
-    and of a large one the files in name order make up the document. Unless they
-    come from a ``stored`` table they are stored first, since a range sort reads
-    its input twice.
+    With more than two texts, ``section`` (0, 1, …) tells after which one a row
+    stands. The rows are sorted by range, never gathered: a small document is one
+    file, and of a large one the files in name order make up the document. Unless
+    they come from a ``stored`` table they are stored first, since a range sort
+    reads its input twice.
     """
-    rows = rows if stored else materialize(rows, "document-rows")
-    first = rows.select(F.min("order")).scalar()
-    body = rows.select(F.lit(1).alias("section"), "order", F.when(F.col("order") == first, F.col("json"))
-                       .otherwise(F.concat(F.lit(","), F.col("json"))).alias("value"))
-    ends = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(text).alias("value"))
-                     for n, text in ((0, head), (2, tail))])
-    frame = rows.sparkSession.range(1, numPartitions=1).select(F.inline(ends))
-    whole = body.unionByName(frame, allowMissingColumns=True)
-    whole.orderBy("section", "order").select("value").write.mode("overwrite").text(path)
+    sections = rows if "section" in rows.columns else rows.withColumn("section", F.lit(0))
+    items = sections if stored else materialize(sections, "document-rows")
+    first = F.lit(False)
+    for n in range(len(frame) - 1):
+        start = items.where(F.col("section") == n).select(F.min("order")).scalar()
+        first = first | ((F.col("section") == n) & (F.col("order") == start))
+    body = items.select((F.col("section") * 2 + 1).alias("place"), "order", F.when(first, F.col("json"))
+                        .otherwise(F.concat(F.lit(","), F.col("json"))).alias("value"))
+    texts = F.array(*[F.struct(F.lit(n * 2).alias("place"), F.lit(text).alias("value"))
+                      for n, text in enumerate(frame)])
+    ends = rows.sparkSession.range(1, numPartitions=1).select(F.inline(texts))
+    whole = body.unionByName(ends, allowMissingColumns=True)
+    whole.orderBy("place", "order").select("value").write.mode("overwrite").text(path)
 
 
 def write_contexts_json(df: DataFrame, path: str, order: str, layout: str = "document",
@@ -43,7 +52,7 @@ def write_contexts_json(df: DataFrame, path: str, order: str, layout: str = "doc
     item = F.struct(*[c for c in df.columns if c != order])
     if layout == "document":
         write_document(df.select(F.col(order).alias("order"), F.to_json(item).alias("json")), path,
-                       '{"contexts":[', "]}")
+                       ['{"contexts":[', "]}"])
         return
     ranked = blocked_rank(df, [], [order], "_rank", by_width(order, 100_000))
     documents = (
@@ -65,7 +74,7 @@ def write_qa_documents(documents: DataFrame, path: str, version: str = "v1.0", l
     """
     if layout == "document":
         rows = documents.select(F.col("first_seen").alias("order"), F.to_json(_article()).alias("json"))
-        write_document(rows, path, f'{{"version":"{version}","data":[', "]}")
+        write_document(rows, path, [f'{{"version":"{version}","data":[', "]}"])
         return
     line = F.struct(F.lit(version).alias("version"), F.array(_article()).alias("data"))
     documents.select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)
@@ -100,7 +109,18 @@ def write_predictions(ranked: DataFrame, path: str, null_odds: DataFrame | None
         parts["null_odds_test"] = (null_odds, F.col("odds"), False)
     for name, (rows, value, stored) in parts.items():
         entries = rows.select(F.col("id").alias("order"), _entry(value).alias("json"))
-        write_document(entries, f"{path}/{name}", "{", "}", stored)
+        write_document(entries, f"{path}/{name}", ["{", "}"], stored)
+
+
+def write_augment_log(split: DataFrame, path: str, key: str, order: Column) -> None:
+    """The files of both augmentation branches (``method``) as one JSON document.
+
+    ``order`` puts the files of a branch in order and tells them apart.
+    """
+    quoted = F.to_json(F.array(key))
+    rows = split.select(F.when(F.col("method") == "noise", 0).otherwise(1).alias("section"), order.alias("order"),
+                        F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("json"))
+    write_document(rows, path, [f'{{"{NOISE_FILES}":[', f'],"{TRANSFORMED_FILES}":[', "]}"])
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

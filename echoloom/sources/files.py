@@ -48,6 +48,18 @@ def read_jsonl_lenient(spark: SparkSession, source: Input, schema: Schema) -> tu
         F.col("value").alias("line"))
 
 
+def read_jsonl_with_keys(spark: SparkSession, path: str, schema: Schema, keys: str = "keys") -> DataFrame:
+    """One record per line and the names of the keys it has.
+
+    A typed read turns a missing key and an explicit null both into null; the
+    extra column tells them apart. A bad line fails the job.
+    """
+    fields = _struct(schema)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    record = F.from_json("value", fields, {"mode": "FAILFAST"})
+    return lines.select(record.alias("r"), F.json_object_keys("value").alias(keys)).select("r.*", keys)
+
+
 def read_json_records(spark: SparkSession, source: Input, schema: Schema,
                       wrappers: tuple[str, ...] = WRAPPERS, layout: str = "document") -> DataFrame:
     """Records of a JSON list, of the lists under known fields, or the object itself.

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from echoloom.operators.contexts import last_wins
 from echoloom.operators.speech import flatten_hypotheses, transcript_lines
+from echoloom.operators.spread import lookup_join
 
 RESPONSE_SCHEMA = ("seq bigint, context_id string, file_name string, "
                    "results array<struct<alternatives:array<struct<transcript:string,confidence:double>>>>, "
@@ -46,5 +47,5 @@ def merge_stream(questions: DataFrame, transcripts: DataFrame) -> DataFrame:
     """
     texts = transcripts.select("context_id", F.col("context").alias("_transcript"))
     rest = [c for c in questions.columns if c != "context"]
-    return questions.join(texts, "context_id", "left").select(
+    return lookup_join(questions, texts, "context_id").select(
         *rest, F.coalesce("_transcript", "context").alias("context"))

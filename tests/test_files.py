@@ -7,6 +7,7 @@ import wave
 import pytest
 from pyspark.sql import functions as F
 
+from echoloom.operators.qa import identity
 from echoloom.sinks import files as sinks
 from echoloom.sources import files, media
 
@@ -32,6 +33,16 @@ def test_jsonl_strict(spark, tmp_path):
         files.read_jsonl(spark, str(bad), RECORD).collect()
 
 
+def test_keys_tell_null_from_absent(spark, tmp_path):
+    p = tmp_path / "x.jsonl"
+    p.write_text('{"id":null,"uit_id":"u","title":null,"context":"c","question":null}\n\n{"uit_id":null,"context":"c"}\n')
+    df = files.read_jsonl_with_keys(spark, str(p), files.QUESTION_SCHEMA)
+    assert rows(identity(df, "keys").select("id", "title", "question")) == [
+        (None, "Untitled", ""), (None, None, None)]
+    assert rows(identity(df).select("id", "title", "question")) == [
+        ("u", "Untitled", ""), ("unknown", "Untitled", "")]
+
+
 def test_jsonl_lenient(spark, tmp_path):
     p = tmp_path / "x.jsonl"
     p.write_text('{"n":1,"context":"a"}\n{"n":2,\n\nnot json\n{"n":3}\n')
@@ -153,6 +164,16 @@ def test_predictions_written(spark, tmp_path):
     assert json.loads(joined(tmp_path / "null_odds_test")) == {"q1": -1.5}
 
 
+@pytest.mark.parametrize("methods", [["noise", "transform"], ["noise"], ["transform"], []])
+def test_augment_log(spark, tmp_path, methods):
+    made = [(m, f'{m}"{i}') for m in methods for i in range(12)]
+    df = spark.createDataFrame(made, "method string, file string").repartition(3)
+    sinks.write_augment_log(df, str(tmp_path / "log"), "file", F.col("file"))
+    got = json.loads(joined(tmp_path / "log"))
+    assert got == {"esc50_files": sorted(f for m, f in made if m == "noise"),
+                   "torch_augmented_files": sorted(f for m, f in made if m == "transform")}
+
+
 def test_metrics(spark, tmp_path):
     df = spark.createDataFrame([("f1", 2.5), ("correct", 3.0)], "key string, value double")
     sinks.write_metrics(df, str(tmp_path / "m"))
