@@ -51,15 +51,20 @@ def exact_match(prediction: ColumnLike, truth: ColumnLike) -> Column:
     return normalize_answer(prediction) == normalize_answer(truth)
 
 
-def best_f1(prediction: ColumnLike, truths: ColumnLike) -> Column:
-    """``best_over(token_f1, …)`` with the prediction split only once."""
-    return let(numbered(answer_tokens(prediction)), lambda p: F.array_max(F.transform(
-        col(truths), lambda x: let(numbered(answer_tokens(x)), lambda t: _f1(p, t)))))
+def best_scores(prediction: ColumnLike, truths: ColumnLike) -> Column:
+    """``{exact_match, f1}``: the best of each over the truths, null without a truth.
 
+    Every text is split once for both scores.
+    """
+    def against(words: Column) -> Column:
+        return let(numbered(words), lambda marked: F.transform(col(truths), lambda t: let(
+            answer_tokens(t), lambda w: F.struct(
+                (w == words).cast("double").alias("exact_match"), _f1(marked, numbered(w)).alias("f1")))))
+
+    def best(each: Column) -> Column:
+        return F.struct(*[F.array_max(each[f]).alias(f) for f in ("exact_match", "f1")])
 
-def best_em(prediction: ColumnLike, truths: ColumnLike) -> Column:
-    return let(normalize_answer(prediction), lambda p: F.array_max(F.transform(
-        col(truths), lambda x: (normalize_answer(x) == p).cast("double"))))
+    return let(let(answer_tokens(prediction), against), best)
 
 
 def best_over(metric: Metric, prediction: ColumnLike, truths: ColumnLike) -> Column:

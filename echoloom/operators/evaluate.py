@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.functions.scores import best_em, best_f1, verdict
+from echoloom.functions.scores import best_scores, verdict
 from echoloom.operators.spread import lookup_join
 
 # (true answer, predicted answer) -> aggregate over all questions.
@@ -28,11 +28,10 @@ def question_scores(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """
     joined = lookup_join(truth, predictions.select("id", "prediction"), "id")
     answered = F.col("prediction").isNotNull()
-    return joined.select(
-        "id", answered.alias("answered"),
-        F.when(answered, best_em("prediction", "truths")).otherwise(F.lit(0.0)).alias("exact_match"),
-        F.when(answered, best_f1("prediction", "truths")).otherwise(F.lit(0.0)).alias("f1"),
-    )
+    scored = joined.select("id", answered.alias("answered"),
+                           F.when(answered, best_scores("prediction", "truths")).alias("_s"))
+    return scored.select("id", "answered", *[
+        F.when(F.col("answered"), F.col("_s")[c]).otherwise(F.lit(0.0)).alias(c) for c in ("exact_match", "f1")])
 
 
 def em_f1(scores: DataFrame) -> DataFrame:

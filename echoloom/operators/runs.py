@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.operators.spread import blocked_rank
+from echoloom.operators.spread import blocked_rank, split_hot
 
 
 def logging_window_mean(df: DataFrame, every: int, value: str = "m") -> DataFrame:
@@ -62,6 +62,17 @@ class _Rule:
             return value - best < self.delta
         return value - best > self.delta
 
+    def first_better(self, values: np.ndarray, at: int, best: float) -> int:
+        """First index from ``at`` that improves on a set ``best``, else the length."""
+        size = 64
+        while at < len(values):
+            gap = values[at:at + size] - best
+            hits = gap < self.delta if self.minimize else gap > self.delta
+            if hits.any():
+                return at + int(hits.argmax())
+            at, size = at + size, size * 4
+        return len(values)
+
 
 def _follow(rule: _Rule, values: np.ndarray, steps: np.ndarray, at: int, best: float | None,
             counter: int, best_step: int | None) -> tuple:
@@ -69,16 +80,22 @@ def _follow(rule: _Rule, values: np.ndarray, steps: np.ndarray, at: int, best: f
 
     Returns (next improvement or None, best, best_step, counter, stop step or None).
     """
-    for i in range(at, len(values)):
-        value = float(values[i])
-        if not best:
-            best, best_step = value, int(steps[i])
-        if rule.better(value, best):
-            return i, best, best_step, counter, None
+    while at < len(values):
+        if best:
+            found = rule.first_better(values, at, best)
+            improved = found < len(values)
+        else:
+            best, best_step = float(values[at]), int(steps[at])
+            improved = rule.better(best, best)
+            found = at if improved else at + 1
+        waited = found - at
         if rule.patience is not None:
-            if counter >= rule.patience:
-                return None, best, best_step, counter, int(steps[i])
-            counter += 1
+            if counter + waited > rule.patience:
+                return None, best, best_step, counter, int(steps[at + rule.patience - counter])
+            counter += waited
+        if improved:
+            return found, best, best_step, counter, None
+        at = found
     return None, best, best_step, counter, None
 
 
@@ -141,30 +158,32 @@ def _enter(rule: _Rule, s: object, best: float | None, best_step: int | None, co
         leave = (float(s.open_best), _int(s.open_best_step), _int(s.open_counter), _int(s.open_stop))
         idle = leave[:2]
     else:
-        k = next((k for k, v in enumerate(s.value) if rule.better(float(v), best)), None)
+        k = rule.first_better(np.asarray(s.value, float), 0, best)
+        k = None if k == len(s.value) else k
         at = None if k is None else int(s.at[k])
         leave = None if k is None else (float(s.best[k]), int(s.best_step[k]), int(s.counter[k]), _int(s.stop[k]))
         idle = (best, best_step)
     waited = int(s.rows) if at is None else at
     if rule.patience is not None and counter + waited > rule.patience:
         # The run stops before the block's first improvement, within its head.
-        return _follow(rule, s.head, s.steps, 0, best, counter, best_step)[1:]
+        return _follow(rule, np.asarray(s.head, float), np.asarray(s.steps), 0, best, counter, best_step)[1:]
     if at is None:
         return *idle, counter + (waited if rule.patience is not None else 0), None
     return leave
 
 
 def early_stopping(df: DataFrame, value: str = "m", patience: int | None = 10, delta: float = 0.0,
-                   minimize: bool = False, width: int = 4096) -> DataFrame:
+                   minimize: bool = False, width: int = 50_000) -> DataFrame:
     """``run_id, best, best_step, stop_step`` of each run; ``patience`` None never stops.
 
     At each step, in order: an unset or zero best value takes the step's value;
     a value better by more than ``delta`` becomes the best and clears the
     counter; otherwise the counter grows, and beyond ``patience`` the run stops.
 
-    The fold is sequential, so a long run is cut into blocks of at most ``width``
-    steps that are summarised in parallel; the short summaries are then applied
-    in order, streaming over sorted partitions. ``step`` is unique per run.
+    The fold is sequential, so a run of more than ``width`` rows is cut into
+    blocks of at most that many, which are summarised in parallel; the short
+    summaries are then applied in order, streaming over sorted partitions.
+    ``step`` is a unique integer per run.
     """
     rule = _Rule(delta, minimize, patience)
 
@@ -195,7 +214,8 @@ def early_stopping(df: DataFrame, value: str = "m", patience: int | None = 10, d
 
     listed = F.sort_array(F.collect_list(F.struct(
         F.col("step").cast("bigint").alias("step"), F.col(value).cast("double").alias("m"))))
-    blocks = df.groupBy("run_id", F.floor(F.col("step") / F.lit(width)).alias("block")).agg(listed.alias("l"))
+    blocks = (split_hot(df, "run_id", "step", width, "block", "_whole")
+              .groupBy("run_id", "block").agg(listed.alias("l")))
     summaries = blocks.select("run_id", "block", "l.step", "l.m").mapInPandas(summarise, _SUMMARY)
     ordered = summaries.repartition("run_id").sortWithinPartitions("run_id", "block")
     return ordered.mapInPandas(apply, "run_id bigint, best double, best_step bigint, stop_step bigint")

@@ -38,7 +38,10 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
         if how == "inner":
             return left.join(known, key)
         probe = left.withColumn("_salt", F.when(F.col(key).isNull(), F.spark_partition_id()).otherwise(0))
-        return probe.join(known.withColumn("_salt", F.lit(0)), [key, "_salt"], how).drop("_salt")
+        # Always 0, but no literal: the optimizer would drop a constant from the
+        # join keys, and null keys would meet in one task again.
+        zero = F.pmod(F.spark_partition_id(), F.lit(1))
+        return probe.join(known.withColumn("_salt", zero), [key, "_salt"], how).drop("_salt")
     hot = (
         left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows"), "_hot").limit(HOT_KEYS)

@@ -23,21 +23,22 @@ def test_lookup_join_equals_join(spark, how, hot_rows):
     assert rows(got) == rows(left.join(right, "k", how).select("i", "k", "v"))
 
 
-def test_lookup_join_splits_hot_and_null_keys(spark):
+@pytest.mark.parametrize("hot_rows", [None, 200])
+def test_lookup_join_splits_hot_and_null_keys(spark, hot_rows):
     left = spark.range(0, 8000, 1, 16).select("id", F.when(F.col("id") % 3 == 0, "hot").when(
         F.col("id") % 3 == 1, None).otherwise(F.col("id").cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", "H")], "k string, v string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        got = spread.lookup_join(left, right, "k", "left", 200).withColumn("task", F.spark_partition_id())
+        got = spread.lookup_join(left, right, "k", "left", hot_rows).withColumn("task", F.spark_partition_id())
         per_task = {k: n for k, n in got.where("k = 'hot'").groupBy("task").count().collect()}
         nulls = {k: n for k, n in got.where("k is null").groupBy("task").count().collect()}
         assert got.where("v = 'H'").count() == got.where("k = 'hot'").count() == 2667
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(per_task) > 1 and len(nulls) > 1
+    assert len(nulls) > 2 and (len(per_task) > 2) == (hot_rows is not None)
 
 
 def _table(spark):

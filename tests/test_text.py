@@ -71,9 +71,9 @@ def test_both_empty_match_but_score_zero(spark):
 
 def test_best_over_truths(spark):
     rows = [("x y", ["y z", "x y", ""]), ("x", [])]
-    got = columns(spark, rows, "p string, ts array<string>", scores.best_f1("p", "ts"), scores.best_em("p", "ts"),
-                  scores.best_over(scores.token_f1, "p", "ts"))
-    assert got == [(1.0, 1.0, 1.0), (None, None, None)]
+    got = columns(spark, rows, "p string, ts array<string>", scores.best_scores("p", "ts"),
+                  scores.best_over(scores.token_f1, "p", "ts"), scores.best_over(scores.exact_match, "p", "ts"))
+    assert got == [((1.0, 1.0), 1.0, 1.0), ((None, None), None, None)]
 
 
 def test_long_texts_overlap(spark):
