@@ -24,5 +24,22 @@ def queries() -> dict[str, Query]:
     return _collect("QUERIES")
 
 
+# Sizes and positions are 32-bit integers in Spark and 64-bit in DuckDB.
+INTEGERS = {
+    "py_strip": ["n"], "flatten_hypotheses": ["segments"], "synthesis_metadata": ["context_length"],
+    "normalize_array_field": ["starts"], "nested_get_set": ["words"], "zip_answers": ["n"],
+    "answerable_only": ["answers"], "nest_qa": ["paragraph", "question"], "to_examples": ["questions"],
+    "chunk_contexts": ["chunk", "start", "n"],
+    "chunk_answer_spans": ["i", "chunk", "start", "start_position", "end_position"],
+    "nbest_spans": ["rank", "start", "end"], "trim_null_answer": ["probabilities"],
+    "score_answers": ["rank", "start", "end"], "match_length": ["i"], "snr_mix": ["i"], "signal_gain": ["i"],
+    "peak_normalize": ["i"], "augment_log": ["n"], "synthesis_plan": ["context_length"],
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return _collect("ORACLE")
+    found = _collect("ORACLE")
+    for name, columns in INTEGERS.items():
+        cast = ", ".join(f'"{c}"::int as "{c}"' for c in columns)
+        found[name] = f"select * replace ({cast}) from ({found[name]}) typed"
+    return found

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from echoloom.catalog import evaluate as scored
 from echoloom.catalog import fixtures as fx
+from echoloom.catalog import scoring
+from echoloom.catalog.qa import DOCUMENTS
 from echoloom.functions.text import content_id
 from echoloom.operators import qa as qa_ops
 from echoloom.operators import scoring as scoring_ops
@@ -73,7 +75,17 @@ select rid as lid, case when kind = '1' then '' else {fx.simple_normal_sql("repl
 from (select rid, kind, arg_max(context, ord) as context from heard where kind <> '0' group by rid, kind)"""
 
 
+_FIRST = """
+select qid as id, question, context, pairs[1].t as truth from placed where paragraph = 0"""
+
 ORACLE = {
+    "judge_answers": fx.sql(f"""
+select {scored.COUNTS} from (
+  select case when p = t then 'correct' when contains(t, p) or contains(p, t) then 'similar' else 'incorrect' end
+    as verdict
+  from (select {fx.strip_sql('truth')} as t, {fx.strip_sql("coalesce(text, '')")} as p
+    from first_ left join answers_ on first_.id = answers_.id))""", "f_qa", **DOCUMENTS, first_=_FIRST,
+                            **scoring.answers_sql("select id, question, context from first_", 1)),
     "build_documents": fx.sql("""
 select coalesce(title, 'Untitled') as title, coalesce(id, uit_id) as id, md5(text) as context,
   md5(question) as question, (a1 <> '')::int + (a2 <> '')::int as n

@@ -106,7 +106,7 @@ _JUDGED = f"""
 select *, case when p = t then 'correct' when contains(t, p) or contains(p, t) then 'similar' else 'incorrect' end
   as verdict
 from (select *, {fx.strip_sql('truth')} as t, {fx.strip_sql('prediction')} as p from pairs)"""
-_COUNTS = ", ".join(f"count(*) filter (verdict = '{v}') as {v}" for v in ("correct", "similar", "incorrect"))
+COUNTS = ", ".join(f"count(*) filter (verdict = '{v}') as {v}" for v in ("correct", "similar", "incorrect"))
 
 ORACLE = {
     "em_f1": fx.sql("""
@@ -122,10 +122,10 @@ select p.id, {fx.normal_sql('p.prediction')} = {fx.normal_sql('q.a1')} as exact_
 from f_qa q join f_predictions p on q.uit_id = p.id""", "f_qa", "f_predictions"),
     "strict_prediction_join": fx.sql("select id, truth, prediction from pairs", "f_qa", "f_predictions", pairs=_PAIRS),
     "verdicts": fx.sql("select id, verdict from judged", "f_qa", "f_predictions", pairs=_PAIRS, judged=_JUDGED),
-    "verdict_counts": fx.sql(f"select {_COUNTS} from judged", "f_qa", "f_predictions",
+    "verdict_counts": fx.sql(f"select {COUNTS} from judged", "f_qa", "f_predictions",
                              pairs=_PAIRS, judged=_JUDGED),
     "extra_metrics": fx.sql(f"""
-select {_COUNTS}, round(avg(case when prediction <> '' then 1.0::double else 0.0::double end), 6) as answered_share,
+select {COUNTS}, round(avg(case when prediction <> '' then 1.0::double else 0.0::double end), 6) as answered_share,
   round(avg(abs(length(truth) - length(prediction))), 6) as length_gap from judged""",
                             "f_qa", "f_predictions", pairs=_PAIRS, judged=_JUDGED),
 }

@@ -82,7 +82,7 @@ _PLACED = """
 select *, dense_rank() over (partition by ttl order by par) - 1 as paragraph,
   row_number() over (partition by ttl, context order by ord) - 1 as place
 from (select *, min(ord) over (partition by ttl, context) as par from good)"""
-_DOCS = {"zipped": _ANSWERS, "good": _GOOD, "placed": _PLACED}
+DOCUMENTS = {"zipped": _ANSWERS, "good": _GOOD, "placed": _PLACED}
 _MERGED = """
 select c.doc_id, c.context_id, coalesce(t.context, c.context) as context
 from (select doc_id, concat('ctx_', substr(md5(context), 1, 8)) as context_id,
@@ -103,13 +103,13 @@ select uit_id, coalesce(id, uit_id, 'unknown') as id, coalesce(title, 'Untitled'
                               zipped=_ANSWERS, good=_GOOD),
     "nest_qa": fx.sql("""
 select ttl as title, paragraph, md5(context) as context, place as question, qid as id,
-  array_to_string(list_transform(pairs, lambda a: a.t), '|') as answers from placed""", "f_qa", **_DOCS),
+  array_to_string(list_transform(pairs, lambda a: a.t), '|') as answers from placed""", "f_qa", **DOCUMENTS),
     "qa_document_stats": fx.sql("""
 select count(distinct ttl) as titles, count(distinct ttl || ':' || paragraph) as paragraphs, count(*) as questions
-from placed""", "f_qa", **_DOCS),
+from placed""", "f_qa", **DOCUMENTS),
     "to_examples": fx.sql("""
 select ttl as title, md5(max(context)) as context, count(*) as questions, false as impossible
-from placed where paragraph = 0 group by ttl""", "f_qa", **_DOCS),
+from placed where paragraph = 0 group by ttl""", "f_qa", **DOCUMENTS),
     "merge_transcripts": fx.sql("select doc_id, context_id, md5(context) as digest from merged",
                                 "f_contexts", "f_responses", merged=_MERGED),
     "merge_stats": fx.sql("select count(*) as questions, count(context) as with_context from merged",

@@ -85,7 +85,45 @@ select *, exp(score - max(score) over (partition by id)) as wt from (
 where rank <= 20"""
 _NBEST = {"starts": _STARTS.format("start_logits"), "ends": _STARTS.format("end_logits"), "ranked": _RANKED}
 
+
+
+def answers_sql(asked: str, n: int) -> dict[str, str]:
+    """The stand-in scorer and the ranking over ``asked(id, question, context)``.
+
+    Chunks of 61 words less the question, stride 16, the question cut to 16
+    words; the ``n`` best starts and ends of a chunk, spans of at most 30 words.
+    """
+    plain = "trim(lower({0}), '.,;:!?')"
+    best = "row_number() over (partition by id, c order by {0} desc, i)"
+    return {
+        "asked": asked,
+        "sized": f"select id, list_transform(qw, lambda q: {plain.format('q')}) as qs, cw, len(cw) as n, "
+                 f"61 - least(len(qw), 16) as room from (select id, {fx.words_sql('question')} as qw, "
+                 f"{fx.words_sql('context')} as cw from asked)",
+        "parts": "select id, qs, c, list_slice(cw, c * 16 + 1, c * 16 + room) as w from (select *, unnest(range(0, "
+                 "cast(case when n = 0 then 0 when n <= room then 1 else ceil((n - room) / 16.0) + 1 end as bigint))) "
+                 "as c from sized)",
+        "hits": f"select id, c, i, case when list_contains(qs, {plain.format('word')}) then 1.0::double else 0 end as hit "
+                "from (select id, qs, c, unnest(w) as word, unnest(range(0, len(w))) as i from parts)",
+        "marks": "select id, c, i, coalesce(lag(hit) over p, 0) - 2 * hit as s, coalesce(lead(hit) over p, 0.5) - 2 * hit "
+                 "as e from hits window p as (partition by id, c order by i)",
+        "tops": f"select *, {best.format('s')} as rs, {best.format('e')} as re from marks",
+        "pairs_": "select *, row_number() over (partition by id, c order by score desc, i, j) as r from ("
+                  "select a.id, a.c, a.i, b.i as j, a.s + b.e as score from tops a join tops b on a.id = b.id "
+                  f"and a.c = b.c and a.rs <= {n} and b.re <= {n} and b.i >= a.i and b.i - a.i + 1 <= 30)",
+        "placed_": "select p.id, score, c.c * 16 + i as start, c.c * 16 + j as \"end\", c.c, "
+                   "array_to_string(list_slice(w, i + 1, j + 1), ' ') as text "
+                   f"from pairs_ p join parts c on p.id = c.id and p.c = c.c where r <= {n}",
+        "answers_": "select *, exp(score - max(score) over (partition by id)) as wt from (select *, row_number() over "
+                    f"(partition by id order by score desc, start, \"end\", c) as rank from placed_) where rank <= {n}",
+    }
+
+
 ORACLE = {
+    "score_answers": fx.sql("""
+select id, rank, round(score, 6) as score, start, "end", text,
+  round(wt / sum(wt) over (partition by id), 6) as probability from answers_""", "f_qa",
+                            **answers_sql("select uit_id as id, question, context from f_qa", 3)),
     "chunk_contexts": fx.sql("""
 select doc_id, chunk, chunk * 128 as start, len(list_slice(w, chunk * 128 + 1, chunk * 128 + 384)) as n,
   md5(array_to_string(list_slice(w, chunk * 128 + 1, chunk * 128 + 384), ' ')) as digest from chunks""",
