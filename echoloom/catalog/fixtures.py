@@ -9,6 +9,10 @@ from echoloom.functions.text import PUNCTUATION, content_id
 from echoloom.operators.spread import blocked_rank
 
 
+# More than the turns of any conversation, so that conversation and turn make one integer.
+TURNS = 4_294_967_296
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -49,7 +53,7 @@ def qa(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("conv_id") % 10 != 9, F.concat(F.lit("conv_"), F.col("conv_id") % 10)).alias("title"),
         "context", "question",
         F.struct(F.array("a1", "a2").alias("text"), start.alias("answer_start")).alias("answers"),
-        "a1", "a2", "conv_id", "turn", (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("ord"))
+        "a1", "a2", "conv_id", "turn", (F.col("conv_id") * TURNS + F.col("turn")).alias("ord"))
 
 
 def predictions(spark: SparkSession, sf: str, missing: str | None = None) -> DataFrame:
@@ -146,7 +150,7 @@ select case when conv_id % 10 = 8 then null else concat('q', conv_id, '_', turn)
   nx as context, text as question,
   {'text': [a1, a2], 'answer_start':
     case when (conv_id + turn) % 7 = 0 then [0] else [0, cast(instr(nx, a2) - 1 as int)] end} as answers,
-  a1, a2, conv_id, turn, conv_id * 1000000 + turn as ord
+  a1, a2, conv_id, turn, conv_id * 4294967296 + turn as ord
 from (select *, split_part(nx, '.', 1) as a1, trim(split_part(nx, '.', 2)) as a2 from (
   select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as nx,
     lead(role) over (partition by conv_id order by turn) as nr from conversations) z

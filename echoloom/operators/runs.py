@@ -181,7 +181,7 @@ def early_stopping(df: DataFrame, value: str = "m", patience: int | None = 10, d
     counter; otherwise the counter grows, and beyond ``patience`` the run stops.
 
     The fold is sequential, so a run of more than ``width`` rows is cut into
-    blocks of at most that many, which are summarised in parallel; the short
+    blocks of at most twice that many, which are summarised in parallel; the short
     summaries are then applied in order, streaming over sorted partitions.
     ``step`` is a unique integer per run.
     """

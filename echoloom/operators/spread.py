@@ -82,8 +82,9 @@ def _with_block_totals(df: DataFrame, keys: Sequence[str], block: Column, weight
 
 
 def by_width(order: str, width: int) -> Column:
-    """Blocks of ``width`` consecutive values of a unique integer."""
-    return F.floor(F.col(order) / F.lit(width))
+    """Blocks of ``width`` consecutive values of a unique integer, named by their first value."""
+    value = F.col(order).cast("bigint")
+    return value - F.pmod(value, F.lit(width).cast("bigint"))
 
 
 def blocked_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, block: Column,
@@ -107,25 +108,38 @@ def blocked_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return blocked_sum(df, keys, order, name, block).withColumn(name, F.col(name) + 1)
 
 
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a table whose rows were counted and are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_KEYS else df
+
+
 def split_hot(df: DataFrame, key: str, order: str, limit: int, part: str, whole: str) -> DataFrame:
-    """Cut the rows of keys with more than ``limit`` rows into ordered parts.
+    """Cut the rows of keys with more than ``limit`` rows into ordered parts 0, 1, …
 
-    ``order`` is a unique integer, so a part, a run of ``limit`` of its values,
-    holds at most ``limit`` rows. Other keys are part 0 and ``whole``. The keys to
-    cut are counted and stored first, reading only the key column: without any
-    there is no join, a checked few are broadcast, and more are joined by shuffle.
+    ``order`` is a unique integer, so a run of ``limit`` of its values holds at
+    most ``limit`` rows; a part is as many runs as fit, at most ``2 * limit`` rows.
+    Other keys are part 0 and ``whole``. The keys to cut are counted first,
+    reading only the key column. Without any there is no join. Else the parts of
+    their runs are stored, and broadcast if a count finds them few.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
-    hot = materialize(counts.select(F.col(key).alias("_hot"), F.lit(True).alias("_cut")), "hot-keys")
+    hot = materialize(counts.select(F.col(key).alias("_hot")), "hot-keys")
     n = hot.count()
     if n == 0:
         return df.withColumns({part: F.lit(0).cast("bigint"), whole: F.lit(True)})
-    joined = df.join(F.broadcast(hot) if n <= BROADCAST_KEYS else hot,
-                     F.col(key).eqNullSafe(F.col("_hot")), "left")
-    cut = F.col("_cut").isNotNull()
+    runs = (
+        df.join(_bounded(hot, n), F.col(key).eqNullSafe(F.col("_hot")), "left_semi")
+        .groupBy(F.col(key).alias("_hot"), by_width(order, limit).alias("_run")).agg(F.count("*").alias("_rows"))
+    )
+    wide = by_width("_run", limit * 100_000)
+    placed = blocked_sum(runs, ["_hot"], ["_run"], "_earlier", wide, F.col("_rows"))
+    parts = materialize(placed.select("_hot", "_run", F.floor(F.col("_earlier") / F.lit(limit)).alias("_part")),
+                        "hot-parts")
+    same = F.col(key).eqNullSafe(F.col("_hot")) & (by_width(order, limit) == F.col("_run"))
+    joined = df.join(_bounded(parts, parts.count()), same, "left")
     return joined.withColumns({
-        part: F.when(cut, F.floor(F.col(order) / F.lit(limit))).otherwise(0).cast("bigint"), whole: ~cut,
-    }).drop("_hot", "_cut")
+        part: F.coalesce("_part", F.lit(0).cast("bigint")), whole: F.col("_part").isNull(),
+    }).drop("_hot", "_run", "_part")
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], seed: int | str, name: str, digits: int = 3) -> DataFrame:

