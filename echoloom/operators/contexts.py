@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.functions.text import content_id, is_blank, py_strip
@@ -35,11 +35,15 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(picked.alias("_row")).select(key, "_row.*").select(*df.columns)
 
 
-def last_wins(df: DataFrame, key: str, value: str, order: str | Column) -> DataFrame:
-    """A dictionary: the last non-null ``key``/``value`` pair per key in ``order``."""
-    known = df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-    return known.groupBy(key).agg(F.max_by(F.col(value), F.col(order) if isinstance(order, str) else order)
-                                  .alias(value))
+def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """A dictionary: the last non-null ``key``/``value`` pair per key in ``order``.
+
+    Null values lose by their order and go after the aggregate; filtering them
+    first would compute a derived value twice.
+    """
+    latest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
+    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(latest.alias(value))
+            .where(F.col(value).isNotNull()))
 
 
 def distinct_ids(df: DataFrame, column: str = "context_id") -> DataFrame:

@@ -49,18 +49,16 @@ def flatten_hypotheses(df: DataFrame) -> DataFrame:
     The text joins the first alternative of each segment; segments without one
     are left out; a missing confidence becomes 0. Error rows get no text.
     """
-    segments = F.filter(
-        F.transform(F.coalesce("results", F.expr("array()")), lambda r: r["alternatives"]),
-        lambda a: F.size(a) > 0)
-    kept = F.transform(segments, lambda a: F.transform(a, lambda x: x.withField(
-        "confidence", F.coalesce(x["confidence"], F.lit(0.0)))))
-    text = F.array_join(F.transform(F.col("all_alternatives"), lambda a: F.get(a, F.lit(0))["transcript"]), " ")
+    found = F.transform(F.coalesce("results", F.array().cast(df.schema["results"].dataType)),
+                        lambda r: r["alternatives"])
     failed = F.col("error").isNotNull()
-    return (
-        df.withColumn("all_alternatives", F.when(~failed, kept))
-        .withColumn("transcription", F.when(~failed, text))
-        .withColumn("empty_result", F.coalesce(F.size("all_alternatives") == 0, F.lit(True)))
-    )
+    segments = df.withColumn("_segments", F.when(~failed, F.filter(found, lambda a: F.size(a) > 0)))
+    kept = F.transform("_segments", lambda a: F.transform(a, lambda x: x.withField(
+        "confidence", F.coalesce(x["confidence"], F.lit(0.0)))))
+    text = F.array_join(F.transform("_segments", lambda a: F.get(a, F.lit(0))["transcript"]), " ")
+    return segments.select(
+        *df.columns, text.alias("transcription"), kept.alias("all_alternatives"),
+        F.coalesce(F.size("_segments") == 0, F.lit(True)).alias("empty_result"))
 
 
 def transcript_lines(df: DataFrame, keep: tuple[str, ...] = ("file_name", "processing_time")) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import wave
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from echoloom.functions.text import dirname, has_suffix
 
 LISTING = "path string, modificationTime timestamp, length bigint"
+LOCAL_SCHEME = "^file:/+"
 # Fixed value: bytes of a WAV header whose data chunk comes first.
 PLAIN_HEADER = 44
 
@@ -31,8 +33,8 @@ def list_media(spark: SparkSession, folder: str, suffix: str | None = None, recu
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], LISTING)
-    files = found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "modificationTime", "length")
-    return select_media(files, folder, suffix, recursive, ignore_case)
+    files = found.select(F.regexp_replace("path", LOCAL_SCHEME, "/").alias("path"), "modificationTime", "length")
+    return select_media(files, re.sub(LOCAL_SCHEME, "/", folder), suffix, recursive, ignore_case)
 
 
 def select_media(listing: DataFrame, folder: str, suffix: str | None = None, recursive: bool = True,
