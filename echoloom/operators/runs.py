@@ -125,7 +125,8 @@ def _summarise(rule: _Rule, values: np.ndarray, steps: np.ndarray) -> dict:
     running = np.minimum.accumulate(values) if rule.minimize else np.maximum.accumulate(values)
     fresh = np.flatnonzero(np.r_[True, running[1:] != running[:-1]])
     exits = {int(i): after(int(i)) for i in fresh[::-1]}
-    keep = len(steps) if rule.patience is None else min(len(steps), rule.patience + 1)
+    # Only a run that stops needs single rows, and it stops within patience + 1 of them.
+    keep = 0 if rule.patience is None else min(len(steps), rule.patience + 1)
     # An unset best value takes the first row; the counter that enters is added later.
     free = _Rule(rule.delta, rule.minimize, None)
     event, best, best_step, _, _ = _follow(free, values, steps, 0, None, 0, None)

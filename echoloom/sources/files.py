@@ -27,11 +27,27 @@ def _struct(schema: Schema) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-def read_jsonl(spark: SparkSession, source: Input, schema: Schema) -> DataFrame:
-    """One record per line. Blank lines are skipped; a bad line fails the job."""
+def _infer(spark: SparkSession, source: str, wrappers: tuple[str, ...], layout: str) -> T.StructType:
+    """All keys of the records, listed or not; the first type of a key counts."""
+    fields: dict[str, T.StructField] = {}
+    for f in spark.read.option("multiLine", layout == "document").json(source).schema.fields:
+        kind = f.dataType
+        listed = f.name in wrappers and isinstance(kind, T.ArrayType)
+        for g in (kind.elementType.fields if listed and isinstance(kind.elementType, T.StructType)
+                  else [] if listed else [f]):
+            fields.setdefault(g.name, g)
+    return T.StructType(list(fields.values()))
+
+
+def read_jsonl(spark: SparkSession, source: Input, schema: Schema | None) -> DataFrame:
+    """One record per line. Blank lines are skipped; a bad line fails the job.
+
+    Without a schema all keys are kept, for one more pass over the file.
+    """
     if isinstance(source, DataFrame):
         return source
-    return spark.read.schema(_struct(schema)).option("mode", "FAILFAST").json(source)
+    reader = spark.read.option("mode", "FAILFAST")
+    return (reader if schema is None else reader.schema(_struct(schema))).json(source)
 
 
 def read_jsonl_lenient(spark: SparkSession, source: Input, schema: Schema) -> tuple[DataFrame, DataFrame]:
@@ -60,18 +76,18 @@ def read_jsonl_with_keys(spark: SparkSession, path: str, schema: Schema, keys: s
     return lines.select(record.alias("r"), F.json_object_keys("value").alias(keys)).select("r.*", keys)
 
 
-def read_json_records(spark: SparkSession, source: Input, schema: Schema,
+def read_json_records(spark: SparkSession, source: Input, schema: Schema | None,
                       wrappers: tuple[str, ...] = WRAPPERS, layout: str = "document") -> DataFrame:
     """Records of a JSON list, of the lists under known fields, or the object itself.
 
     The lists are concatenated in the order of ``wrappers``; if none holds a
     record, the object is the record. ``layout="document"`` reads a file as one
     JSON value, which one task must parse; ``layout="lines"`` reads one document
-    per line and splits large files.
+    per line and splits large files. Without a schema all keys are kept.
     """
     if isinstance(source, DataFrame):
         return source
-    record = _struct(schema)
+    record = _infer(spark, source, wrappers, layout) if schema is None else _struct(schema)
     lists = [T.StructField(w, T.ArrayType(record)) for w in wrappers]
     own = [f for f in record.fields if f.name not in wrappers]
     read = spark.read.schema(T.StructType([*lists, *own])).option("multiLine", layout == "document")
@@ -102,7 +118,7 @@ def read_id_set(spark: SparkSession, source: Input, layout: str | None = None) -
     return found.select("context_id").where(F.col("context_id").isNotNull()).distinct()
 
 
-def read_splits(spark: SparkSession, sources: Mapping[str, Input], schema: Schema = QUESTION_SCHEMA) -> DataFrame:
+def read_splits(spark: SparkSession, sources: Mapping[str, Input], schema: Schema | None = QUESTION_SCHEMA) -> DataFrame:
     """Several splits as one table with a ``split`` column."""
     tables = [read_jsonl(spark, s, schema).withColumn("split", F.lit(name)) for name, s in sources.items()]
     whole = tables[0]

@@ -72,6 +72,19 @@ def test_wrapper_order(spark, tmp_path):
     assert [r.n for r in files.read_json_records(spark, str(p), RECORD).collect()] == [1, 2, 3]
 
 
+def test_unknown_keys_are_kept(spark, tmp_path):
+    p = tmp_path / "x.json"
+    p.write_text(json.dumps({"test": [{"n": 3, "z": 1.5}], "data": [{"n": 1, "more": "m"}], "test2": 0}))
+    got = files.read_json_records(spark, str(p), None)
+    assert set(got.columns) == {"n", "more", "z", "test2"}
+    assert rows(got.select("n", "more", "z")) == [(1, "m", None), (3, None, 1.5)]
+    lines = tmp_path / "x.jsonl"
+    lines.write_text('{"n":1,"k":{"a":2}}\n{"n":2,"other":[1]}\n')
+    assert rows(files.read_jsonl(spark, str(lines), None).select("n", "k.a", "other")) == [(1, 2, None), (2, None, [1])]
+    splits = files.read_splits(spark, {"a": str(lines), "b": spark.createDataFrame([(7,)], "n bigint")}, None)
+    assert rows(splits.select("n", "split")) == [(1, "a"), (2, "a"), (7, "b")]
+
+
 def test_contexts_and_ids(spark, tmp_path):
     items = [{"context_id": "a", "context": "A"}, {"context_id": "b", "context": "B"}, {"context_id": "a"}, {"x": 1}]
     wrapped, listed, lines = tmp_path / "w.json", tmp_path / "l.json", tmp_path / "x.jsonl"
