@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from echoloom import catalog
 from tools.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, name):
     good, text = compare(spark, con, name, SF, entry.queries(), entry.oracle_sql())
     assert good, text
@@ -28,4 +29,4 @@ def test_entry(spark):
 
 
 def test_each_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
