@@ -37,6 +37,8 @@ BLOCK_BYTES = 24 << 20
 # Fixed value: the White_Space property, which is what \s means to the pattern's engine.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEGMENT = regex.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+# Characters that no Unicode version has reclassified.
+_OLD = regex.compile(r"[\x00-\u024f]*")
 _LETTERS = regex.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # Rows between the steps; ``homes`` has the bucket of each word of a block, in the order of the numbers.
 _ROWS = "block string, bucket int, kind string, doc_ids array<bigint>, n array<bigint>, payload binary, homes binary"
@@ -49,6 +51,30 @@ def pretoken_pattern(pattern: str):
     return regex.compile(spelled)
 
 
+@lru_cache(maxsize=1)
+def _stand_ins() -> dict[int, str]:
+    """Characters whose class differs between the two engines' Unicode versions, and what to match in their place."""
+    import tiktoken
+
+    raw = {bytes([i]): i for i in range(256)}
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    found: dict[int, str] = {}
+    for part, member in ((r"\p{L}", "a"), (r"\p{N}", "1")):
+        theirs = set(bytes(tiktoken.Encoding("probe", pat_str=part, mergeable_ranks=raw, special_tokens={})
+                           .encode_ordinary(text)).decode())
+        ours = set(regex.findall(part, text))
+        found |= {ord(c): "\ue000" for c in ours - theirs} | {ord(c): member for c in theirs - ours}
+    return found
+
+
+def split(text: str, pattern: str) -> list[str]:
+    """The matches of the pattern, as the tokenizer's own engine finds them."""
+    find = pretoken_pattern(pattern)
+    if _OLD.fullmatch(text) or (masked := text.translate(_stand_ins())) == text:
+        return find.findall(text)
+    return [text[m.start():m.end()] for m in find.finditer(masked)]
+
+
 @lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to ids, from a file of base64 tokens and ranks."""
@@ -100,12 +126,12 @@ def number_words(texts: list[str], pattern: str) -> tuple[list[str], np.ndarray,
     numbers: dict[str, int] = {}
     flat: list[int] = []
     ends: list[int] = []
-    find, plain = pretoken_pattern(pattern).findall, _LETTERS.fullmatch
+    plain = _LETTERS.fullmatch
     for segment in coded.dictionary.to_pylist():
         if plain(segment):
             flat.append(numbers.setdefault(segment, len(numbers)))
         else:
-            flat += [numbers.setdefault(word, len(numbers)) for word in find(segment)]
+            flat += [numbers.setdefault(word, len(numbers)) for word in split(segment, pattern)]
         ends.append(len(flat))
     codes, n = gather(np.array(flat, np.int64), np.array(ends, np.int64),
                       coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))

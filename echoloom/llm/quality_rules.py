@@ -4,8 +4,8 @@ Every rule looks at whole-text counts and votes *bad*, *good* or nothing. A docu
 ``3 ** len(RULES)`` patterns, so the corpus reduces to a table of pattern counts whose size does not depend
 on the corpus; expectation-maximisation runs on that table and covers all documents. For each rule it estimates
 
-* the share of clean documents, among those the rule votes on, that it calls good, and
-* the share of junk documents, among those it votes on, that it calls bad,
+* the share of clean documents, among those the rule votes on, that it calls bad, and
+* that share for each of several kinds of junk,
 
 held at better than chance, so a document without a bad vote is never less likely clean than the corpus.
 
@@ -30,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+# No estimate is surer than this, so no single vote decides against all others for ever.
+MOST = 0.999
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
 _ENDED = re.compile(rb"[.!?:;\"')\]][ \t\x0b\x0c\r]*$")
@@ -89,7 +91,7 @@ RULES: tuple[tuple[str, Callable[[dict[str, np.ndarray]], np.ndarray]], ...] = (
     ("repeats", lambda f: _banded(r := f["n_repeat_words"] / f["words"], r > 0.4, r < 0.15)),
     ("lines", lambda f: _banded(r := f["n_dup_lines"] / f["lines"], (r > 0.5) & (f["n_lines"] > 3),
                                 (r < 0.1) & (f["n_lines"] > 3))),
-    ("variety", lambda f: _banded(r := f["n_distinct"] / np.sqrt(f["words"]), r < 1.5, r > 4)),
+    ("variety", lambda f: _banded(r := f["n_distinct"] / np.sqrt(f["words"]), (r < 1.5) & (f["n_words"] >= 20), r > 4)),
     ("word_length", lambda f: _banded(r := f["word_chars"] / f["words"], (r < 2) | (r > 15), (r > 3) & (r < 10))),
     ("sentences", lambda f: _banded(r := f["n_ended"] / f["lines"], (r < 0.1) & (f["n_lines"] > 3), r > 0.7)),
 )
@@ -135,31 +137,43 @@ def vote_digits(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // powers % 3
 
 
-def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
-    """Expectation-maximisation over pattern counts: share of clean documents, and per rule the
-    probability that a vote is good on clean and bad on junk documents."""
+def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation over pattern counts.
+
+    Returns the share of each class and, per class and rule, the probability that a vote is bad. Class 0 is clean;
+    the others are kinds of junk, one for each rule to start with, because junk of one kind passes most rules of
+    another and a single junk class would lose the kind that only one rule sees.
+    """
     digits, weight = vote_digits(codes), counts.astype(float)
-    good, bad = digits == GOOD, digits == BAD
-    prior = 0.85
-    right_clean, right_junk = np.full(len(RULES), 0.97), np.full(len(RULES), 0.4)
+    good, bad = (digits == GOOD).astype(float), (digits == BAD).astype(float)
+    # Starts from all-must-pass: junk of the kind of its first bad vote; the counts then correct rules and documents.
+    kind = np.where(bad.any(axis=1), bad.argmax(axis=1) + 1, 0)
+    member = np.eye(len(RULES) + 1)[kind]
+    before = -np.inf
     for _ in range(rounds):
-        clean = _posterior(good, bad, prior, right_clean, right_junk)
-        w, v = weight * clean, weight * (1 - clean)
-        before = np.concatenate([[prior], right_clean, right_junk])
-        # One pseudo-document per cell keeps the estimates inside (0, 1).
-        prior = np.clip((w.sum() + 1) / (weight.sum() + 2), 0.5, 0.9999)
-        right_clean = np.clip((w @ good + 1) / (w @ (good | bad) + 1.01), 0.5, 0.9999)
-        right_junk = np.maximum((v @ bad + 0.1) / (v @ (good | bad) + 1), 1 - right_clean)
-        right_junk = np.clip(right_junk, 1e-4, 0.9999)
-        if np.abs(before - np.concatenate([[prior], right_clean, right_junk])).max() < 1e-9:
+        w = member * weight[:, None]
+        share = (w.sum(axis=0) + 0.01) / (w.sum() + 0.01 * w.shape[1])
+        share[0] = max(share[0], 0.5)
+        share[1:] *= (1 - min(share[0], MOST)) / share[1:].sum()
+        # A pseudo-vote of each sort keeps the estimates inside (0, 1).
+        wrong = (w.T @ bad + 0.01) / (w.T @ (good + bad) + 0.02)
+        wrong[0] = np.clip(wrong[0], 1 - MOST, 0.5)
+        wrong[1:] = np.clip(np.maximum(wrong[1:], wrong[0]), 0, MOST)
+        member, likelihood = _members(good, bad, share, wrong)
+        total = float(weight @ likelihood)
+        if total - before < 1e-9 * abs(total):
             break
-    return float(prior), right_clean, right_junk
+        before = total
+    return share, wrong
 
 
-def _posterior(good, bad, prior, right_clean, right_junk):
-    odds = np.log(prior) - np.log1p(-prior)
-    odds = odds + good @ np.log(right_clean / (1 - right_junk)) + bad @ np.log((1 - right_clean) / right_junk)
-    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+def _members(good, bad, share, wrong) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each class per pattern, and the log-likelihood of the pattern."""
+    odds = np.log(share) + good @ np.log1p(-wrong).T + bad @ np.log(wrong).T
+    top = odds.max(axis=1, keepdims=True)
+    scaled = np.exp(odds - top)
+    total = scaled.sum(axis=1, keepdims=True)
+    return scaled / total, (top + np.log(total)).ravel()
 
 
 def pattern_posteriors(voted: DataFrame) -> dict[int, float]:
@@ -172,8 +186,8 @@ def pattern_posteriors(voted: DataFrame) -> dict[int, float]:
         return {}
     codes, counts = (np.array(x, np.int64) for x in zip(*sorted((r.votes, r.n) for r in rows)))
     digits = vote_digits(codes)
-    found = _posterior(digits == GOOD, digits == BAD, *fit(codes, counts))
-    return dict(zip(codes.tolist(), found.tolist()))
+    found, _ = _members((digits == GOOD).astype(float), (digits == BAD).astype(float), *fit(codes, counts))
+    return dict(zip(codes.tolist(), found[:, 0].tolist()))
 
 
 def score_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -133,7 +133,7 @@ def bindings(text: str) -> Iterator[tuple[list[str], list[Literal], list[str]]]:
             if bare and any(c.isdigit() for c in bare[0]):
                 literals.append((bare.start(), bare.end(), bare[0]))
                 last = "bare"
-            elif kind == "name":
+            if kind == "name":
                 names.append(got)
                 last, before = "name", got
             expect = False
@@ -160,6 +160,8 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     bound: dict[str, int] = {}
     found: set[tuple[int, int]] = set()
     for targets, literals, names in bindings(text):
+        # An unquoted word is a constant where one has that name, else a literal.
+        literals = [lit for lit in literals if lit[2] not in bound]
         whole = literal_score("".join(value for _, _, value in literals)) if len(literals) > 1 else 0.0
         own.append([(start, end, max(literal_score(value), whole)) for start, end, value in literals])
         uses.append([bound[name] for name in names if name in bound])
