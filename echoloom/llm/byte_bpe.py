@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,8 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.llm.batches import column, doc_rows, map_arrow, materialize
+from echoloom.llm.batches import column, doc_rows, map_arrow
 from echoloom.llm.token_files import gather
+from echoloom.session import scratch_dir
 
 # Bytes of text whose distinct words are numbered together.
 BLOCK_BYTES = 24 << 20
@@ -210,12 +212,11 @@ def encode_words(words: DataFrame, path: str, pattern: str, tasks: int) -> DataF
     return map_arrow(words.repartition(tasks, "bucket"), run, _ROWS)
 
 
-def assemble(block: pa.Table, path: str) -> pa.Table:
+def assemble(block: pa.Table, ids: pa.Table, path: str) -> pa.Table:
     """Per document of a block: its ids picked up by position, digested, and decoded again."""
-    rows = block.to_pylist()
-    own = next(r for r in rows if r["kind"] == "codes")
+    own = block.to_pylist()[0]
     codes, homes = unpack(own["payload"]), unpack(own["homes"])
-    found = sorted((r for r in rows if r["kind"] == "ids"), key=lambda r: r["bucket"])
+    found = sorted(ids.to_pylist(), key=lambda r: r["bucket"])
     # A bucket lists its words in the order of their numbers, so sorting the numbers by bucket finds them again.
     flat = np.concatenate([np.zeros(0, np.int64), *(unpack(r["payload"]) for r in found)])
     ends = np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.array(r["n"], np.int64) for r in found)]))
@@ -235,11 +236,20 @@ def assemble(block: pa.Table, path: str) -> pa.Table:
                      "decoded_sha256": pa.array(text_digests, pa.string())})
 
 
+def _stored_by_block(rows: DataFrame, buckets: int) -> DataFrame:
+    """The exploded rows as a table bucketed by block: the codes, the bulk of it, then meet the ids unshuffled."""
+    spark = rows.sparkSession
+    name = f"pretokens_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "block").option("path", scratch_dir(spark, "pretokens")).saveAsTable(name)
+    return spark.table(name)
+
+
 def encode_corpus(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """n_tokens, the digest of the ids and the digest of the decoded bytes, per row of ``docs``."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    exploded = materialize(explode_words(docs, pattern, tasks), "pretokens")
+    exploded = _stored_by_block(explode_words(docs, pattern, tasks), tasks)
     ids = encode_words(exploded.where("kind = 'words'"), path, pattern, tasks)
-    return exploded.where("kind = 'codes'").unionByName(ids).groupBy("block").applyInArrow(
-        lambda block: assemble(block, path),
+    codes = exploded.where("kind = 'codes'")
+    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
+        lambda block, found: assemble(block, found, path),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from echoloom.llm import byte_bpe, hilbert, quality_rules, secret_scan, token_files
+from echoloom.llm import byte_bpe, hilbert, quality_rules, secret_scan, simhash, token_files
 from echoloom.llm.batches import table
 
 
@@ -21,6 +21,10 @@ def op3_hilbert_shards(spark, sf):
     return hilbert.shard(table(spark, sf, "documents"))
 
 
+def op5_simhash(spark, sf):
+    return simhash.near_copies(table(spark, sf, "documents"))
+
+
 def op6_secret_scan(spark, sf):
     return secret_scan.scan(table(spark, sf, "documents"))
 
@@ -29,6 +33,6 @@ def op9_token_files(spark, sf):
     return token_files.token_index(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op6_secret_scan,
-                                   op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op5_simhash,
+                                   op6_secret_scan, op9_token_files)}
 ORACLE: dict[str, str] = {}
