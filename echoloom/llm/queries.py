@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from echoloom.llm import byte_bpe, hilbert, quality_rules, secret_scan, simhash, token_files
+from echoloom.llm import byte_bpe, hilbert, quality_rules, secret_scan, simhash, suffix_dedup, token_files
 from echoloom.llm.batches import table
 
 
@@ -33,6 +33,10 @@ def op9_token_files(spark, sf):
     return token_files.token_index(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op5_simhash,
-                                   op6_secret_scan, op9_token_files)}
+                                   op6_secret_scan, op9_token_files, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}
