@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from echoloom.llm import byte_bpe, hilbert, quality_rules, secret_scan, simhash, suffix_dedup, token_files
+from echoloom.llm import byte_bpe, decontaminate, hilbert, quality_rules, secret_scan, simhash, suffix_dedup, token_files
 from echoloom.llm.batches import table
 
 
@@ -29,6 +29,10 @@ def op6_secret_scan(spark, sf):
     return secret_scan.scan(table(spark, sf, "documents"))
 
 
+def op8_decontaminate(spark, sf):
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op9_token_files(spark, sf):
     return token_files.token_index(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,5 +42,5 @@ def op10_suffix_dedup(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op5_simhash,
-                                   op6_secret_scan, op9_token_files, op10_suffix_dedup)}
+                                   op6_secret_scan, op8_decontaminate, op9_token_files, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}
