@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from echoloom.llm import byte_bpe, decontaminate, hilbert, quality_rules, secret_scan, simhash, suffix_dedup, token_files
+from echoloom.llm import byte_bpe, classifier, decontaminate, hilbert, quality_rules, secret_scan, simhash, suffix_dedup, token_files
 from echoloom.llm.batches import table
 
 
@@ -21,6 +21,10 @@ def op3_hilbert_shards(spark, sf):
     return hilbert.shard(table(spark, sf, "documents"))
 
 
+def op4_quality_classifier(spark, sf):
+    return classifier.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op5_simhash(spark, sf):
     return simhash.near_copies(table(spark, sf, "documents"))
 
@@ -41,6 +45,6 @@ def op10_suffix_dedup(spark, sf):
     return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op5_simhash,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op4_quality_classifier, op5_simhash,
                                    op6_secret_scan, op8_decontaminate, op9_token_files, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}
