@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from echoloom.llm import byte_bpe, classifier, decontaminate, hilbert, quality_rules, secret_scan, simhash, suffix_dedup, token_files
+from echoloom.llm import (
+    byte_bpe, classifier, decontaminate, hilbert, language, quality_rules, secret_scan, simhash, suffix_dedup, token_files,
+)
 from echoloom.llm.batches import table
 
 
@@ -33,6 +35,10 @@ def op6_secret_scan(spark, sf):
     return secret_scan.scan(table(spark, sf, "documents"))
 
 
+def op7_language_id(spark, sf):
+    return language.identify(table(spark, sf, "pages"), table(spark, sf, "documents"))
+
+
 def op8_decontaminate(spark, sf):
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -45,6 +51,9 @@ def op10_suffix_dedup(spark, sf):
     return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op4_quality_classifier, op5_simhash,
-                                   op6_secret_scan, op8_decontaminate, op9_token_files, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op4_quality_classifier, op5_simhash, op6_secret_scan,
+    op7_language_id, op8_decontaminate, op9_token_files, op10_suffix_dedup)}
+# Their methods (expectation-maximisation, merges, links, suffix order, CRC) have no SQL form; tests/llm holds each
+# against brute force.
 ORACLE: dict[str, str] = {}
