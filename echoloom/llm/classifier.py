@@ -6,8 +6,8 @@
    sum of its neighbours' index vectors over all documents, within ``REACH`` units. Tasks add up their own sums; the
    shuffle carries ``BUCKETS * SIZE`` numbers a task, and as many in all reach the driver, whatever the corpus.
 3. *Pooling.* A document is the mean and the spread of its units' vectors, and its length.
-4. *Network.* Two layers, trained in numpy on at most ``MAX_LABELS`` labelled documents, those with the least hash of
-   their id; a fifth of them is kept to fit the temperature that calibrates the probabilities.
+4. *Network.* Two layers, trained in numpy on at most ``MAX_LABELS`` labelled documents, those with the least hash
+   of their id; a fifth of them is kept to fit the temperature that calibrates the probabilities.
 
 Labels come only from documents whose ``crc32(doc_id as text) % 4`` is not 2. No score depends on labels, language,
 source or id of its document.
@@ -218,9 +218,12 @@ def train(pooled: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
     """A network from at most ``max_labels`` labelled rows that may be learned from."""
     given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     given = given.where(F.col("y").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("y").alias("y"))
-    draw = F.xxhash64("doc_id")
-    rows = pooled.join(given, "doc_id").select("doc_id", "pooled", "y", draw.alias("draw")).orderBy(
-        "draw", "doc_id", "pooled").limit(max_labels).collect()
+    known = pooled.join(given, "doc_id").select("doc_id", "pooled", "y", F.xxhash64("doc_id").alias("draw"))
+    # Hashes are spread evenly, so a cut below the bound leaves about that many rows, and only those are sent.
+    n = known.count()
+    if n > max_labels:
+        known = known.where(F.col("draw") < int(2 ** 64 * (0.95 * max_labels / n)) - 2 ** 63)
+    rows = sorted(known.collect(), key=lambda r: (r.draw, r.doc_id, bytes(r.pooled)))[:max_labels]
     x = np.frombuffer(b"".join(bytes(r.pooled) for r in rows), "<f4").reshape(-1, 2 * SIZE + 1).astype(np.float64)
     return Network(x, np.array([r.y for r in rows]), np.array([r.draw % 5 == 0 for r in rows], bool))
 
