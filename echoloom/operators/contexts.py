@@ -55,16 +55,18 @@ def id_collisions(dictionary: DataFrame) -> DataFrame:
     return dictionary.groupBy("context_id").agg(F.count("*").alias("contexts")).where(F.col("contexts") > 1)
 
 
-def replace_contexts(df: DataFrame, dictionary: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def replace_contexts(df: DataFrame, dictionary: DataFrame, hot_rows: int | None = None,
+                     order: str | None = None) -> DataFrame:
     """Replace known text by its id; unknown or blank text passes unchanged.
 
     The join carries a 256-bit digest, so the dictionary's text is not shuffled;
     finding hot texts beforehand would read all text twice, so their split is
     left to adaptive execution unless ``hot_rows`` is given. ``known`` is true for a hit, false for a miss, null for blank text.
-    ``dictionary`` holds each text once.
+    Of several ids for one text the last wins, by ``order`` or in the order of the scan.
     """
-    digests = dictionary.select(F.sha2("context", 256).alias("_digest"),
-                                F.col("context_id").alias("_known_id"))
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    digests = last_wins(dictionary.select(F.sha2("context", 256).alias("_digest"), F.col("context_id").alias(
+        "_known_id"), place.alias("_place")), "_digest", "_known_id", "_place")
     marked = df.withColumn("_digest", F.when(~is_blank("context"), F.sha2(py_strip("context"), 256)))
     joined = lookup_join(marked, digests, "_digest", hot_rows=hot_rows)
     hit = F.col("_known_id").isNotNull()

@@ -19,14 +19,23 @@ def truths(df: DataFrame) -> DataFrame:
     return df.select("id", F.transform("answers", lambda a: a["text"]).alias("truths"))
 
 
-def question_scores(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+def last_rows(df: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """The last row of each key, null being a key, by ``order`` or in the order of the scan."""
+    rest = [c for c in df.columns if c != key]
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    placed = df.select(key, F.struct(*rest).alias("_row"), place.alias("_place"))
+    return placed.groupBy(key).agg(F.max_by("_row", "_place").alias("_row")).select(key, "_row.*").select(*df.columns)
+
+
+def question_scores(truth: DataFrame, predictions: DataFrame, order: str | None = None) -> DataFrame:
     """``id, answered, exact_match, f1``: best over the truths, 0 if unanswered.
 
-    ``predictions`` has one row per id. The words are compared within the row,
-    so the join on the id is the only shuffle. A question that is answered but
-    has no truth gets null scores.
+    Of several questions, or predictions, with one id the last counts, by
+    ``order`` (a column of both) or in the order of the scan. The words are compared within the row. A question
+    that is answered but has no truth gets null scores.
     """
-    joined = lookup_join(truth, predictions.select("id", "prediction"), "id")
+    said = last_rows(predictions, order=order).select("id", "prediction")
+    joined = lookup_join(last_rows(truth, order=order), said, "id")
     answered = F.col("prediction").isNotNull()
     scored = joined.select("id", answered.alias("answered"),
                            F.when(answered, best_scores("prediction", "truths")).alias("_s"))
@@ -56,9 +65,10 @@ def first_truths(df: DataFrame) -> DataFrame:
 def strict_prediction_join(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Truth with its prediction; the job fails on the first id without one.
 
-    The check is part of the join's projection, so it costs no second pass.
+    The check is part of the join's projection, so it costs no second pass. Of
+    several truths, or predictions, with one id the last in the scan counts.
     """
-    joined = lookup_join(truth, predictions.select("id", "prediction"), "id")
+    joined = lookup_join(last_rows(truth), last_rows(predictions).select("id", "prediction"), "id")
     missing = F.raise_error(F.concat(F.lit("no prediction for question "), F.coalesce("id", F.lit("null"))))
     return joined.withColumn("prediction", F.coalesce("prediction", missing.cast("string")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.functions.text import ColumnLike, basename, col, dirname, hash_pick, join_path, stem
-from echoloom.operators.spread import lookup_join
+from echoloom.operators.spread import blocked_rank, by_width, lookup_join
 
 # Limits of an inline recognition request.
 MAX_INLINE_BYTES = 10 * 1024 * 1024
@@ -101,13 +101,17 @@ def voice_type(name: ColumnLike) -> Column:
 def assign(df: DataFrame, catalogue: DataFrame, key: str, seed: int | str, index: str = "idx") -> DataFrame:
     """Give each row one catalogue entry, chosen by a hash of ``key`` and ``seed``.
 
-    ``catalogue`` is indexed 0..n-1; n is a subquery. The join is an equi-join on
-    the index: Spark broadcasts a catalogue below its size threshold and
-    otherwise shuffles on the evenly spread index.
+    Entries are numbered 0..n-1 in the order of ``index``, whatever its values; n
+    is a subquery, and an empty catalogue fails the job. The join is an equi-join on
+    the number: Spark broadcasts a catalogue below its size threshold and
+    otherwise shuffles on the evenly spread number.
     """
     n = catalogue.select(F.count("*")).scalar()
-    entries = catalogue.withColumnRenamed(index, "_slot")
-    return df.withColumn("_slot", hash_pick(n, seed, key)).join(entries, "_slot").drop("_slot")
+    entries = blocked_rank(catalogue, [], [index], "_slot", by_width(index, 100_000)).withColumn(
+        "_slot", F.col("_slot") - 1).drop(index)
+    filled = F.when(n > 0, F.lit(True)).otherwise(F.raise_error(F.lit("the catalogue is empty")).cast("boolean"))
+    slot = hash_pick(F.greatest(n, F.lit(1)), seed, key)
+    return df.where(filled).withColumn("_slot", slot.cast("bigint")).join(entries, "_slot", "left").drop("_slot")
 
 
 def synthesis_metadata(contexts: DataFrame, voices: DataFrame, seed: int | str = 0,

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from echoloom.functions.text import hash_order
 from echoloom.session import materialize
 
-# At most this many keys are treated as hot, so the table of hot keys has a
-# fixed size bound and may be broadcast. Any key beyond it owns less than
-# 1/HOT_KEYS of the rows, which the ordinary shuffle carries.
-HOT_KEYS = 1024
 # Largest counted number of keys that is broadcast.
 BROADCAST_KEYS = 100_000
 
@@ -42,20 +38,22 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
         # join keys, and null keys would meet in one task again.
         zero = F.pmod(F.spark_partition_id(), F.lit(1))
         return probe.join(known.withColumn("_salt", zero), [key, "_salt"], how).drop("_salt")
-    hot = (
+    counts = (
         left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows"), "_hot").limit(HOT_KEYS)
-        .select("_hot", F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
+        .where(F.col("_rows") > hot_rows).select("_hot", F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
     )
+    # Every hot key is split; the table of them is broadcast only if a count finds it small.
+    hot = materialize(counts, "hot-keys")
+    hot = _bounded(hot, hot.count())
     probe = (
         left.withColumn("_task", F.spark_partition_id())
-        .join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+        .join(hot, F.col(key) == F.col("_hot"), "left")
         .withColumn("_salt", F.when(F.col(key).isNull(), F.col("_task")).otherwise(
             F.pmod(F.col("_task"), F.coalesce("_salts", F.lit(1)))))
         .drop("_task", "_hot", "_salts")
     )
     build = (
-        known.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+        known.join(hot, F.col(key) == F.col("_hot"), "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
         .drop("_hot", "_salts")
     )

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echoloom.functions.text import py_strip
+
 Schema = T.StructType | str
 Input = str | DataFrame
 
@@ -55,7 +57,7 @@ def read_jsonl_lenient(spark: SparkSession, source: Input, schema: Schema) -> tu
     fields = _struct(schema)
     if isinstance(source, DataFrame):
         return source, spark.createDataFrame([], "line string")
-    lines = spark.read.text(source).where(F.trim("value") != "")
+    lines = spark.read.text(source).where(F.length(py_strip("value")) > 0)
     marked = T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())])
     parsed = lines.select("value", F.from_json(
         "value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
@@ -71,7 +73,7 @@ def read_jsonl_with_keys(spark: SparkSession, path: str, schema: Schema, keys: s
     extra column tells them apart. A bad line fails the job.
     """
     fields = _struct(schema)
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(F.length(py_strip("value")) > 0)
     record = F.from_json("value", fields, {"mode": "FAILFAST"})
     return lines.select(record.alias("r"), F.json_object_keys("value").alias(keys)).select("r.*", keys)
 
@@ -83,14 +85,16 @@ def read_json_records(spark: SparkSession, source: Input, schema: Schema | None,
     The lists are concatenated in the order of ``wrappers``; if none holds a
     record, the object is the record. ``layout="document"`` reads a file as one
     JSON value, which one task must parse; ``layout="lines"`` reads one document
-    per line and splits large files. Without a schema all keys are kept.
+    per line and splits large files. Without a schema all keys are kept. A corrupt or partial document
+    fails the job.
     """
     if isinstance(source, DataFrame):
         return source
     record = _infer(spark, source, wrappers, layout) if schema is None else _struct(schema)
     lists = [T.StructField(w, T.ArrayType(record)) for w in wrappers]
     own = [f for f in record.fields if f.name not in wrappers]
-    read = spark.read.schema(T.StructType([*lists, *own])).option("multiLine", layout == "document")
+    read = (spark.read.schema(T.StructType([*lists, *own])).option("multiLine", layout == "document")
+            .option("mode", "FAILFAST"))
     found = F.concat(*[F.coalesce(F.col(w), F.array().cast(T.ArrayType(record))) for w in wrappers])
     itself = F.array(F.struct(*[F.col(f.name) if f.name not in wrappers
                                 else F.lit(None).cast(f.dataType).alias(f.name) for f in record.fields]))
@@ -128,10 +132,11 @@ def read_splits(spark: SparkSession, sources: Mapping[str, Input], schema: Schem
 
 
 def read_qa_documents(spark: SparkSession, source: Input, layout: str = "document") -> DataFrame:
-    """``title, paragraphs`` of nested question documents."""
+    """``title, paragraphs`` of nested question documents; a corrupt or partial one fails the job."""
     if isinstance(source, DataFrame):
         return source
-    read = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", layout == "document")
+    read = (spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", layout == "document")
+            .option("mode", "FAILFAST"))
     return read.json(source).select(F.inline("data"))
 
 
@@ -142,6 +147,6 @@ def read_predictions(spark: SparkSession, source: Input, layout: str = "document
     """
     if isinstance(source, DataFrame):
         return source
-    text = spark.read.text(source, wholetext=layout == "document").where(F.trim("value") != "")
+    text = spark.read.text(source, wholetext=layout == "document").where(F.length(py_strip("value")) > 0)
     answers = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     return text.select(F.explode(answers).alias("id", "prediction"))

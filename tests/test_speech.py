@@ -72,7 +72,11 @@ def test_metadata_keeps_successes(spark):
     row = ops.synthesis_metadata(texts, voices).collect()
     assert [(r.context_id, r.audio_file, r.context_length) for r in row] == [("ctx_1", "ctx_1.mp3", 5)]
     assert row[0].timestamp > 1.6e9
-    assert ops.assign(texts, voices.where("false"), "context_id", 0).count() == 0
+    with pytest.raises(Exception, match="catalogue is empty"):
+        ops.assign(texts, voices.where("false"), "context_id", 0).collect()
+    gaps = voices.withColumn("idx", F.col("idx") * 7 + 3)
+    assert sorted(ops.assign(texts, gaps, "context_id", 0).collect()) == sorted(
+        ops.assign(texts, voices, "context_id", 0).collect())
 
 
 def _resolve(refs, files, base):
