@@ -28,7 +28,7 @@ def queries() -> dict[str, Query]:
 INTEGERS = {
     "py_strip": ["n"], "flatten_hypotheses": ["segments"], "synthesis_metadata": ["context_length"],
     "normalize_array_field": ["starts"], "nested_get_set": ["words"], "zip_answers": ["n"],
-    "answerable_only": ["answers"], "nest_qa": ["paragraph", "question"], "to_examples": ["questions"],
+    "answerable_only": ["answers"],
     "chunk_contexts": ["chunk", "start", "n"],
     "chunk_answer_spans": ["i", "chunk", "start", "start_position", "end_position"],
     "nbest_spans": ["rank", "start", "end"], "trim_null_answer": ["probabilities"],

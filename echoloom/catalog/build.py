@@ -59,8 +59,7 @@ def judge_answers(spark, sf):
     documents = _documents(spark, sf)
     ranked = evaluate.predict(documents, scoring_ops.lexical_scorer, n_best=1, max_seq_length=64, doc_stride=16,
                               max_query_length=16)
-    examples = qa_ops.to_examples(documents).select("title", F.array(
-        F.struct("context", "qas")).alias("paragraphs"))
+    examples = qa_ops.to_examples(documents)
     return evaluate.judge(examples, scoring_ops.best_predictions(ranked, evaluate.questions(documents)))
 
 

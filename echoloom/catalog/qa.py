@@ -31,11 +31,8 @@ def _documents(spark, sf):
 
 
 def nest_qa(spark, sf):
-    paragraphs = _documents(spark, sf).select("title", F.posexplode("paragraphs").alias("paragraph", "p"))
-    questions = paragraphs.select("title", "paragraph", F.md5("p.context").alias("context"),
-                                  F.posexplode("p.qas").alias("question", "q"))
-    return questions.select("title", "paragraph", "context", "question", "q.id",
-                            F.array_join("q.answers.text", "|").alias("answers"))
+    return _documents(spark, sf).select("title_at", "paragraph_at", "at", "title", F.md5("context").alias("context"),
+                                        "id", F.array_join("answers.text", "|").alias("answers"))
 
 
 def qa_document_stats(spark, sf):
@@ -44,8 +41,9 @@ def qa_document_stats(spark, sf):
 
 def to_examples(spark, sf):
     examples = ops.to_examples(materialize(_documents(spark, sf), "documents"))
-    return examples.select("title", F.md5("context").alias("context"), F.size("qas").alias("questions"),
-                           F.exists("qas", lambda q: q["is_impossible"]).alias("impossible"))
+    return examples.groupBy("title_at").agg(
+        F.any_value("title").alias("title"), F.any_value(F.md5("context")).alias("context"),
+        F.count("*").alias("questions"), F.bool_or("is_impossible").alias("impossible")).drop("title_at")
 
 
 def _merged(spark, sf):
@@ -102,8 +100,10 @@ select uit_id, coalesce(id, uit_id, 'unknown') as id, coalesce(title, 'Untitled'
     "answerable_only": fx.sql("select qid as id, ttl as title, len(pairs) as answers from good", "f_qa",
                               zipped=_ANSWERS, good=_GOOD),
     "nest_qa": fx.sql("""
-select ttl as title, paragraph, md5(context) as context, place as question, qid as id,
-  array_to_string(list_transform(pairs, lambda a: a.t), '|') as answers from placed""", "f_qa", **DOCUMENTS),
+select min(ord) over (partition by ttl) as title_at, min(ord) over (partition by ttl, context) as paragraph_at,
+  ord as at, ttl as title, md5(context) as context, qid as id,
+  array_to_string(list_transform(pairs, lambda a: a.t), '|') as answers from good""", "f_qa", zipped=_ANSWERS,
+                      good=_GOOD),
     "qa_document_stats": fx.sql("""
 select count(distinct ttl) as titles, count(distinct ttl || ':' || paragraph) as paragraphs, count(*) as questions
 from placed""", "f_qa", **DOCUMENTS),

@@ -13,7 +13,6 @@ from echoloom.operators import augment as augment_ops
 from echoloom.operators import contexts as context_ops
 from echoloom.operators import qa as qa_ops
 from echoloom.operators import scoring as scoring_ops
-from echoloom.operators.spread import number_rows
 from echoloom.session import scratch_dir
 from echoloom.sinks import files as sinks
 from echoloom.sources import files as sources
@@ -29,26 +28,17 @@ def roundtrip_jsonl(spark, sf):
                        F.array_join(F.col("answers.answer_start").cast("array<string>"), "|").alias("starts"))
 
 
-def _lines(spark, path):
-    """Lines of a written document without the commas between its items."""
-    return spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("line"))
-
-
 def write_contexts_json(spark, sf):
     path = scratch_dir(spark, "contexts-document")
     found = context_ops.distinct_contexts(fx.contexts(spark, sf), "doc_id")
     sinks.write_contexts_json(found, path, "first_seen")
-    items = _lines(spark, path).where(F.col("line").startswith('{"context_id"'))
-    return items.select(F.from_json("line", sources.CONTEXT_SCHEMA).alias("c")).select(
-        "c.context_id", F.md5("c.context").alias("digest"))
+    return sources.read_contexts(spark, path, layout="document").select("context_id", F.md5("context").alias("digest"))
 
 
 def write_qa_document(spark, sf):
     path = scratch_dir(spark, "qa-document")
     sinks.write_qa_documents(qa_ops.nest(fx.qa(spark, sf), "ord"), path)
-    titles = _lines(spark, path).where(F.col("line").startswith('{"title"')).select(
-        F.from_json("line", f"struct<{sources.ARTICLE}>").alias("a")).select("a.*")
-    return qa_ops.flatten_documents(titles).select(
+    return qa_ops.flatten_documents(sources.read_qa_documents(spark, path)).select(
         "title", "id", F.md5("context").alias("context"), F.size("answers").alias("answers"))
 
 
@@ -67,26 +57,25 @@ def write_predictions(spark, sf):
     sinks.write_predictions(named, path, odds)
 
     def entries(name, kind):
-        items = _lines(spark, f"{path}/{name}").where(F.length("line") > 1)
-        return items.select(F.explode(F.from_json(F.concat(F.lit("{"), "line", F.lit("}")), f"map<string,{kind}>"))
+        whole = spark.read.text(f"{path}/{name}", wholetext=True)
+        return whole.select(F.explode(F.from_json("value", f"map<string,{kind}>", {"mode": "FAILFAST"}))
                             .alias("id", "value"))
 
     nbest = entries("nbest_predictions_test", "array<struct<text:string,probability:double>>")
-    return (entries("predictions_test", "string").withColumnRenamed("value", "prediction")
+    return (sources.read_predictions(spark, f"{path}/predictions_test")
             .join(nbest.select("id", F.array_join("value.text", "|").alias("nbest")), "id")
             .join(entries("null_odds_test", "double").withColumnRenamed("value", "odds"), "id"))
 
 
 def write_augment_log(spark, sf):
-    """The written lists again as rows; a list starts behind each line of the frame."""
+    """The written lists again as rows."""
     path = scratch_dir(spark, "augment-log")
     files = fx.table(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id", F.lit(".mp3")).alias("file"))
     sinks.write_augment_log(augment_ops.ratio_split(files, "file", seed=SEED), path, "file", hash_order(SEED, "file"))
-    lines = number_rows(spark.read.text(path))
-    second = lines.where(F.col("value").startswith("]") & (F.length("value") > 2)).select("ord").scalar()
-    return lines.where(F.col("value").rlike('^,?"')).select(
-        F.regexp_extract("value", '"(.*)"', 1).alias("file"),
-        F.when(F.col("ord") < second, "noise").otherwise("transform").alias("method"))
+    both = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(
+        f"{sinks.NOISE_FILES} array<string>, {sinks.TRANSFORMED_FILES} array<string>").json(path)
+    listed = F.create_map(F.lit("noise"), F.col(sinks.NOISE_FILES), F.lit("transform"), F.col(sinks.TRANSFORMED_FILES))
+    return both.select(F.explode(listed).alias("method", "files")).select(F.explode("files").alias("file"), "method")
 
 
 def write_metrics(spark, sf):

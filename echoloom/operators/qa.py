@@ -1,4 +1,4 @@
-"""Question records: merge transcripts, pair answers, nest into documents."""
+"""Question records: merge transcripts, pair answers, find their places in documents."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from echoloom.functions.text import ColumnLike, col
 from echoloom.operators.contexts import last_wins
-from echoloom.operators.spread import lookup_join, split_hot
+from echoloom.operators.spread import lookup_join
 
 ANSWER = "array<struct<text:string,answer_start:bigint>>"
+PLACED = ("title_at", "paragraph_at", "at", "title", "context", "id", "question", "answers")
 
 
 def merge_transcripts(questions: DataFrame, transcripts: DataFrame, order: str,
@@ -59,84 +60,83 @@ def identity(df: DataFrame, keys: str | None = None) -> DataFrame:
     })
 
 
-def _usable(identified: DataFrame) -> DataFrame:
-    return (identified.where(F.col("context") != "")
-            .withColumn("answers", zip_answers("answers")).where(F.size("answers") > 0))
-
-
 def answerable(df: DataFrame, keys: str | None = None) -> DataFrame:
     """Questions that reach a document: a context and at least one usable answer.
 
     Dropping the others before the grouping means that no empty paragraph or
     title ever forms.
     """
-    return _usable(identity(df, keys))
+    return (identity(df, keys).where(F.col("context") != "")
+            .withColumn("answers", zip_answers("answers")).where(F.size("answers") > 0))
+
+
+def place(entries: DataFrame) -> DataFrame:
+    """Add ``title_at`` and ``paragraph_at``, the first ``at`` of each row's title and paragraph.
+
+    ``at`` is a unique integer. Equal titles are one title, equal contexts of a
+    title one paragraph. Texts are compared by digest; the places of paragraphs
+    form a table of numbers, joined back to the rows.
+    """
+    digest = lambda *c: F.sha2(F.to_json(F.struct(*c)), 256)
+    marked = entries.withColumns({"_title": digest("title"), "_paragraph": digest("title", "context")})
+    paragraphs = marked.groupBy("_title", "_paragraph").agg(F.min("at").alias("paragraph_at"))
+    titles = paragraphs.groupBy("_title").agg(F.min("paragraph_at").alias("title_at"))
+    places = lookup_join(paragraphs, titles, "_title").drop("_title")
+    return lookup_join(marked.drop("_title"), places, "_paragraph").drop("_paragraph")
 
 
-def nest(df: DataFrame, order: str, max_questions: int = 50_000, keys: str | None = None) -> DataFrame:
-    """``first_seen, title, part, whole, paragraphs[{context, qas[{id, question, answers}]}]``.
+def nest(df: DataFrame, order: str, keys: str | None = None) -> DataFrame:
+    """The questions of a document and where they stand in it, one row each.
 
-    Titles, paragraphs and questions keep first-seen order; ``order`` is a
-    unique integer. A title is one row, part 0. A title with more than
-    ``max_questions`` records is not ``whole``: it goes on in further rows, each
-    a run of the input, so that no huge group becomes one array.
-    Partial aggregation carries a paragraph's text once per task and group, not
-    with each question.
+    ``title_at, paragraph_at, at, title, context, id, question, answers``; titles,
+    paragraphs and questions keep first-seen order, that of these numbers.
+    ``order`` is a unique integer. Text is nested only where a file is written,
+    so no title or paragraph is ever one row, whatever its size.
     """
-    rows = split_hot(identity(df, keys), "title", order, max_questions, "part", "whole").transform(_usable)
-    question = F.struct(F.col(order).cast("bigint").alias("at"), F.struct("id", "question", "answers").alias("qa"))
-    entries = rows.groupBy("title", "part", "whole", "context").agg(
-        F.sort_array(F.collect_list(question)).alias("_l"))
-    paragraph = F.struct(F.col("_l")[0]["at"].alias("at"), "context",
-                         F.transform("_l", lambda q: q["qa"]).alias("qas"))
-    return (
-        entries.select("title", "part", "whole", paragraph.alias("_p"))
-        .groupBy("title", "part", "whole").agg(F.sort_array(F.collect_list("_p")).alias("_l"))
-        .select(F.col("_l")[0]["at"].alias("first_seen"), "title", "part", "whole",
-                F.transform("_l", lambda p: F.struct(p["context"].alias("context"), p["qas"].alias("qas")))
-                .alias("paragraphs"))
-    )
+    rows = answerable(df, keys).select(F.col(order).cast("bigint").alias("at"), "title", "context", "id", "question",
+                                       "answers")
+    return place(rows).select(*PLACED)
+
+
+def _entries(documents: DataFrame) -> DataFrame:
+    """Questions with places, of ``nest`` or of documents that were read.
+
+    An empty paragraph or title of a read document is a row with a null question
+    (``asked`` is false). Questions that name no place count in the order of the scan.
+    """
+    if "paragraphs" not in documents.columns:
+        return documents.withColumn("asked", F.lit(True))
+    paragraphs = documents.select("title", F.explode_outer("paragraphs").alias("p"))
+    rows = paragraphs.select("title", "p.context", F.explode_outer("p.qas").alias("q"))
+    at = F.monotonically_increasing_id()
+    if "at" in rows.schema["q"].dataType.names:
+        at = F.coalesce("q.at", at)
+    return place(rows.select(at.alias("at"), "title", "context", "q.id", "q.question", "q.answers",
+                             F.col("q").isNotNull().alias("asked")))
 
 
 def document_stats(documents: DataFrame) -> DataFrame:
-    """Titles, paragraphs and questions; what goes on in several parts counts once."""
-    questions = F.aggregate("paragraphs", F.lit(0), lambda s, p: s + F.size(p["qas"]))
-    sizes = documents.groupBy("whole").agg(
-        F.count_if("whole").alias("titles"), F.sum(F.when(F.col("whole"), F.size("paragraphs"))).alias("paragraphs"),
-        F.sum(questions).alias("questions"))
-    cut = documents.where(~F.col("whole")).select("title", F.explode("paragraphs.context").alias("c"))
-    distinct = cut.select("title", F.sha2("c", 256).alias("c")).distinct().groupBy("title").agg(
-        F.count("*").alias("n")).agg(F.count("*").alias("titles"), F.sum("n").alias("paragraphs"),
-                                     F.lit(0).cast("bigint").alias("questions"))
-    both = sizes.drop("whole").unionByName(distinct)
-    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("titles", "paragraphs", "questions")])
+    """Titles, paragraphs and questions: the first row of a title or paragraph stands at its place."""
+    return _entries(documents).agg(
+        F.count_if(F.col("at") == F.col("title_at")).alias("titles"),
+        F.count_if((F.col("at") == F.col("paragraph_at")) & F.col("context").isNotNull()).alias("paragraphs"),
+        F.count_if("asked").alias("questions"))
 
 
 def flatten_documents(documents: DataFrame) -> DataFrame:
     """One row per question of every paragraph: ``title, context, id, question, answers``."""
+    columns = ("title", "context", "id", "question", "answers")
+    if "paragraphs" not in documents.columns:
+        return documents.select(*columns)
     paragraphs = documents.select("title", F.explode("paragraphs").alias("p"))
-    return (paragraphs.select("title", F.col("p.context").alias("context"), F.explode("p.qas").alias("q"))
-            .select("title", "context", "q.id", "q.question", "q.answers"))
+    return paragraphs.select("title", "p.context", F.explode("p.qas").alias("q")).select(
+        "title", "context", "q.id", "q.question", "q.answers")
 
 
 def to_examples(documents: DataFrame) -> DataFrame:
-    """``title, context, qas`` of the first paragraph of each title, all answerable.
-
-    Where that paragraph goes on in further parts of its title, each is a row.
-    """
-    possible = lambda qas: F.transform(qas, lambda q: q.withField("is_impossible", F.lit(False)))
-    first = F.get("paragraphs", F.lit(0))
-    found = documents.where(F.size("paragraphs") > 0)
-    if "whole" in documents.columns:
-        found = found.where("whole")
-    simple = found.select("title", first["context"].alias("context"), possible(first["qas"]).alias("qas"))
-    if "whole" not in documents.columns:
-        return simple
-    cut = documents.where(~F.col("whole"))
-    openings = cut.groupBy("title").agg(F.min_by(first["context"], "first_seen").alias("_opening"))
-    same = F.filter("paragraphs", lambda p: p["context"] == F.col("_opening"))
-    rest = cut.join(openings, "title").select("title", F.explode(same).alias("p"))
-    return simple.unionByName(rest.select("title", "p.context", possible(F.col("p.qas")).alias("qas")))
+    """The questions of the first paragraph of each title, all answerable, one row each."""
+    first = _entries(documents).where(F.col("asked") & (F.col("paragraph_at") == F.col("title_at")))
+    return first.select(*PLACED, F.lit(False).alias("is_impossible"))
 
 
 def trim_null_answer(df: DataFrame) -> DataFrame:

@@ -49,14 +49,14 @@ def merge(questions: DataFrame, lines: DataFrame, order: str) -> DataFrame:
 
 
 def documents(merged: DataFrame, order: str, split: str | None = None) -> DataFrame:
-    """Nested documents of one split, or of all records."""
+    """The placed questions of one split, or of all records."""
     chosen = merged if split is None else merged.where(F.col("split") == split)
     return qa.nest(chosen, order)
 
 
 def build(records: DataFrame, responses: DataFrame, order: str, response_order: str,
           normalizer: Normalizer = simple_normalizer) -> DataFrame:
-    """The whole chain up to nested documents."""
+    """The whole chain up to the questions of nested documents."""
     _, questions = prepare(records, order)
     lines = transcripts(responses, response_order, normalizer)
     return documents(merge(questions, lines, response_order), order)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from echoloom.operators import evaluate as ops
 from echoloom.operators import qa, scoring
@@ -11,8 +10,7 @@ from echoloom.operators import qa, scoring
 
 def questions(documents: DataFrame) -> DataFrame:
     """``id, question, context`` of each title's first paragraph."""
-    return qa.to_examples(documents).select("context", F.explode("qas").alias("q")).select(
-        F.col("q.id").alias("id"), F.col("q.question").alias("question"), "context")
+    return qa.to_examples(documents).select("id", "question", "context")
 
 
 def predict(documents: DataFrame, scorer: scoring.Scorer, **knobs: int) -> DataFrame:

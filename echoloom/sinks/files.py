@@ -12,6 +12,9 @@ from echoloom.session import materialize
 # Keys of the augmentation log.
 NOISE_FILES, TRANSFORMED_FILES = "esc50_files", "torch_augmented_files"
 
+# Bytes of the rows of a JSON document that one task may write to one file.
+ONE_FILE = 4 << 30
+
 
 def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
     """One object per line, raw UTF-8, columns in order; replaces ``path``."""
@@ -19,27 +22,33 @@ def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
 
 
 def write_document(rows: DataFrame, path: str, frame: list[str], stored: bool = False) -> None:
-    """One JSON document from ``order, json`` rows, in order, between the texts of ``frame``.
+    """One JSON document in one file, from ``order, json`` rows between the texts of ``frame``.
 
     With more than two texts, ``section`` (0, 1, …) tells after which one a row
-    stands. The rows are sorted by range, never gathered: a small document is one
-    file, and of a large one the files in name order make up the document. Unless
-    they come from a ``stored`` table they are stored first, since a range sort
-    reads its input twice.
+    stands; ``join`` is what stands before a row that is not the first of its
+    section, a comma by default. One JSON value cannot be written by several
+    tasks: rows of more than ``ONE_FILE`` bytes are refused before anything is
+    written, and the ``lines`` layouts take any size. Unless they come from a
+    ``stored`` table the rows are stored first, to be measured.
     """
     sections = rows if "section" in rows.columns else rows.withColumn("section", F.lit(0))
     items = sections if stored else materialize(sections, "document-rows")
+    size = items.agg(F.sum(F.octet_length("json"))).first()[0] or 0
+    if size > ONE_FILE:
+        raise ValueError(f"{size} bytes are too much for one JSON document; write layout='lines'")
     first = F.lit(False)
     for n in range(len(frame) - 1):
         start = items.where(F.col("section") == n).select(F.min("order")).scalar()
         first = first | ((F.col("section") == n) & (F.col("order") == start))
+    before = F.col("join") if "join" in items.columns else F.lit(",")
     body = items.select((F.col("section") * 2 + 1).alias("place"), "order", F.when(first, F.col("json"))
-                        .otherwise(F.concat(F.lit(","), F.col("json"))).alias("value"))
+                        .otherwise(F.concat(before, F.col("json"))).alias("value"))
     texts = F.array(*[F.struct(F.lit(n * 2).alias("place"), F.lit(text).alias("value"))
                       for n, text in enumerate(frame)])
     ends = rows.sparkSession.range(1, numPartitions=1).select(F.inline(texts))
     whole = body.unionByName(ends, allowMissingColumns=True)
-    whole.orderBy("place", "order").select("value").write.mode("overwrite").text(path)
+    whole.repartition(1).sortWithinPartitions("place", "order").select("value").write.mode("overwrite").option(
+        "maxRecordsPerFile", 0).text(path)
 
 
 def write_contexts_json(df: DataFrame, path: str, order: str, layout: str = "document",
@@ -63,21 +72,39 @@ def write_contexts_json(df: DataFrame, path: str, order: str, layout: str = "doc
     documents.select(F.to_json(F.struct("contexts")).alias("value")).write.mode("overwrite").text(path)
 
 
-def _article() -> Column:
-    return F.struct("title", "paragraphs")
-
-
-def write_qa_documents(documents: DataFrame, path: str, version: str = "v1.0", layout: str = "document") -> None:
-    """Nested question documents, ``{"version", "data": […]}``, by ``first_seen``.
+def write_qa_documents(documents: DataFrame, path: str, version: str = "v1.0", layout: str = "document",
+                       per_line: int = 1000) -> None:
+    """Placed questions (``qa.nest``) as nested question documents, ``{"version", "data": […]}``.
 
-    ``layout="lines"`` writes one document per title and line.
+    A question opens its paragraph or title if it stands at that one's place, so
+    a document is put together from questions, never from whole titles.
+    ``layout="lines"`` writes documents of one paragraph and at most ``per_line``
+    of its questions, one per line; a question names its place as ``at``, and
+    readers put a title together again.
     """
+    answers = ["id", "question", "answers"]
     if layout == "document":
-        rows = documents.select(F.col("first_seen").alias("order"), F.to_json(_article()).alias("json"))
-        write_document(rows, path, [f'{{"version":"{version}","data":[', "]}"])
+        opens = F.col("at") == F.col("paragraph_at")
+        begins = F.col("at") == F.col("title_at")
+        inside = lambda c: F.to_json(F.struct(c), {"ignoreNullFields": "false"})
+        entered = lambda c: F.left(inside(c), F.length(inside(c)) - 1)
+        paragraph = F.when(opens, F.concat(entered("context"), F.lit(',"qas":['))).otherwise("")
+        title = F.when(begins, F.concat(entered("title"), F.lit(',"paragraphs":['))).otherwise("")
+        rows = materialize(documents.select(
+            F.struct("title_at", "paragraph_at", "at").alias("order"),
+            F.when(begins, "]}]},").when(opens, "]},").otherwise(",").alias("join"),
+            F.concat(title, paragraph, F.to_json(F.struct(*answers))).alias("json"), F.lit(0).alias("section")),
+            "document-rows")
+        end = "]}" if rows.isEmpty() else "]}]}]}"
+        write_document(rows, path, [f'{{"version":"{version}","data":[', end], stored=True)
         return
-    line = F.struct(F.lit(version).alias("version"), F.array(_article()).alias("data"))
-    documents.select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)
+    asked = F.struct("at", *answers)
+    lines = documents.groupBy("paragraph_at", by_width("at", per_line).alias("_run")).agg(
+        F.any_value("title").alias("title"), F.any_value("context").alias("context"),
+        F.sort_array(F.collect_list(asked)).alias("qas"))
+    article = F.struct("title", F.array(F.struct("context", "qas")).alias("paragraphs"))
+    line = F.struct(F.lit(version).alias("version"), F.array(article).alias("data"))
+    lines.select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)
 
 
 def export_splits(df: DataFrame, path: str) -> None:
@@ -91,10 +118,16 @@ def _entry(value: Column) -> Column:
     return F.substring(whole, F.lit(2), F.length(whole) - 2)
 
 
-def write_predictions(ranked: DataFrame, path: str, null_odds: DataFrame | None = None) -> None:
+def _write_lines(entries: DataFrame, path: str) -> None:
+    entries.select(F.concat(F.lit("{"), "json", F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_predictions(ranked: DataFrame, path: str, null_odds: DataFrame | None = None,
+                      layout: str = "document") -> None:
     """``predictions``, ``nbest_predictions`` and ``null_odds`` below ``path``.
 
-    Each is one JSON object keyed by question id. ``ranked`` has ``id, rank,
+    Each is one JSON object keyed by question id, or with ``layout="lines"`` one
+    object per question and line. ``ranked`` has ``id, rank,
     text, probability``; ``null_odds`` has ``id, odds``. Ranking is stored once
     and serves all three.
     """
@@ -102,22 +135,30 @@ def write_predictions(ranked: DataFrame, path: str, null_odds: DataFrame | None
     listed = F.sort_array(F.collect_list(F.struct("rank", "text", "probability")))
     plain = F.transform("_l", lambda x: F.struct(x["text"].alias("text"), x["probability"].alias("probability")))
     parts = {
-        "predictions_test": (ranked.where(F.col("rank") == 1), F.col("text"), True),
-        "nbest_predictions_test": (ranked.groupBy("id").agg(listed.alias("_l")), plain, True),
+        "predictions_test": (ranked.where(F.col("rank") == 1), F.col("text")),
+        "nbest_predictions_test": (ranked.groupBy("id").agg(listed.alias("_l")), plain),
     }
     if null_odds is not None:
-        parts["null_odds_test"] = (null_odds, F.col("odds"), False)
-    for name, (rows, value, stored) in parts.items():
+        parts["null_odds_test"] = (null_odds, F.col("odds"))
+    for name, (rows, value) in parts.items():
         entries = rows.select(F.col("id").alias("order"), _entry(value).alias("json"))
-        write_document(entries, f"{path}/{name}", ["{", "}"], stored)
+        if layout == "lines":
+            _write_lines(entries, f"{path}/{name}")
+        else:
+            write_document(entries, f"{path}/{name}", ["{", "}"])
 
 
-def write_augment_log(split: DataFrame, path: str, key: str, order: Column) -> None:
+def write_augment_log(split: DataFrame, path: str, key: str, order: Column, layout: str = "document") -> None:
     """The files of both augmentation branches (``method``) as one JSON document.
 
     ``order`` puts the files of a branch in order and tells them apart.
+    ``layout="lines"`` writes a document per file, one per line.
     """
     quoted = F.to_json(F.array(key))
+    if layout == "lines":
+        name = F.when(F.col("method") == "noise", NOISE_FILES).otherwise(TRANSFORMED_FILES)
+        _write_lines(split.select(F.concat(F.lit('"'), name, F.lit('":'), quoted).alias("json")), path)
+        return
     rows = split.select(F.when(F.col("method") == "noise", 0).otherwise(1).alias("section"), order.alias("order"),
                         F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("json"))
     write_document(rows, path, [f'{{"{NOISE_FILES}":[', f'],"{TRANSFORMED_FILES}":[', "]}"])

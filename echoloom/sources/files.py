@@ -17,7 +17,7 @@ QUESTION_SCHEMA = ("id string, uit_id string, title string, context string, cont
                    "answers struct<text:array<string>,answer_start:array<bigint>>")
 CONTEXT_SCHEMA = "context_id string, context string"
 QAS = ("array<struct<id:string,question:string,"
-       "answers:array<struct<text:string,answer_start:bigint>>,is_impossible:boolean>>")
+       "answers:array<struct<text:string,answer_start:bigint>>,is_impossible:boolean,at:bigint>>")
 ARTICLE = f"title:string,paragraphs:array<struct<context:string,qas:{QAS}>>"
 DOCUMENT_SCHEMA = f"version string, data array<struct<{ARTICLE}>>"
 
@@ -132,7 +132,10 @@ def read_splits(spark: SparkSession, sources: Mapping[str, Input], schema: Schem
 
 
 def read_qa_documents(spark: SparkSession, source: Input, layout: str = "document") -> DataFrame:
-    """``title, paragraphs`` of nested question documents; a corrupt or partial one fails the job."""
+    """``title, paragraphs`` of nested question documents; a corrupt or partial one fails the job.
+
+    Questions written by line carry their place in the whole as ``at``.
+    """
     if isinstance(source, DataFrame):
         return source
     read = (spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", layout == "document")

@@ -120,11 +120,12 @@ def test_predictions_document(spark, tmp_path):
 
 
 def _documents(spark, n=50):
-    qas = F.array(F.struct(F.concat(F.lit("q"), "id").alias("id"), F.lit("Q?").alias("question"), F.array(
-        F.struct(F.lit("ä").alias("text"), F.lit(0).cast("bigint").alias("answer_start"))).alias("answers")))
+    answers = F.array(F.struct(F.lit("ä").alias("text"), F.lit(0).cast("bigint").alias("answer_start")))
+    at = F.col("id")
     return spark.range(n).repartition(4).select(
-        F.col("id").alias("first_seen"), F.concat(F.lit("t"), "id").alias("title"), F.lit(0).alias("part"),
-        F.array(F.struct(F.lit("c").alias("context"), qas.alias("qas"))).alias("paragraphs"))
+        at.alias("title_at"), at.alias("paragraph_at"), at.alias("at"), F.concat(F.lit("t"), at).alias("title"),
+        F.lit("c").alias("context"), F.concat(F.lit("q"), at).alias("id"), F.lit("Q?").alias("question"),
+        answers.alias("answers"))
 
 
 def test_qa_documents(spark, tmp_path):
@@ -142,6 +143,25 @@ def test_qa_documents(spark, tmp_path):
     assert rows(files.read_qa_documents(spark, lines, layout="lines").select("title")) == sorted(want)
     sinks.write_qa_documents(_documents(spark).where("false"), str(tmp_path / "none"))
     assert json.loads(joined(tmp_path / "none")) == {"version": "v1.0", "data": []}
+    assert rows(files.read_qa_documents(spark, whole).select("title")) == sorted(want)
+
+
+@pytest.mark.parametrize("merge", ["true", "false"])
+def test_one_document_is_one_file(spark, tmp_path, monkeypatch, merge):
+    df = spark.range(2000).select(F.concat(F.lit("c"), "id").alias("context_id"), F.lit("ü").alias("context"),
+                                  F.col("id").alias("n")).repartition(7)
+    path, setting = str(tmp_path / "d"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, merge)
+    try:
+        sinks.write_contexts_json(df, path, "n")
+    finally:
+        spark.conf.set(setting, before)
+    assert files.read_contexts(spark, path, "document").select("context_id").distinct().count() == 2000
+    monkeypatch.setattr(sinks, "ONE_FILE", 1000)
+    with pytest.raises(ValueError, match="lines"):
+        sinks.write_contexts_json(df, str(tmp_path / "refused"), "n")
+    assert not (tmp_path / "refused").exists()
 
 
 def test_contexts_json(spark, tmp_path):
@@ -175,6 +195,9 @@ def test_predictions_written(spark, tmp_path):
     assert json.loads(joined(tmp_path / "nbest_predictions_test"))["q1"] == [
         {"text": 'a"b', "probability": 0.9}, {"text": "c", "probability": 0.1}]
     assert json.loads(joined(tmp_path / "null_odds_test")) == {"q1": -1.5}
+    sinks.write_predictions(ranked, str(tmp_path / "lines"), odds, layout="lines")
+    assert rows(files.read_predictions(spark, str(tmp_path / "lines" / "predictions_test"), "lines")) == [
+        ("q1", 'a"b'), ("q2", "")]
 
 
 @pytest.mark.parametrize("methods", [["noise", "transform"], ["noise"], ["transform"], []])
@@ -185,6 +208,9 @@ def test_augment_log(spark, tmp_path, methods):
     got = json.loads(joined(tmp_path / "log"))
     assert got == {"esc50_files": sorted(f for m, f in made if m == "noise"),
                    "torch_augmented_files": sorted(f for m, f in made if m == "transform")}
+    sinks.write_augment_log(df, str(tmp_path / "lines"), "file", F.col("file"), layout="lines")
+    entries = [json.loads(x) for x in joined(tmp_path / "lines").splitlines()]
+    assert sorted(f for e in entries for files_ in e.values() for f in files_) == sorted(f for _, f in made)
 
 
 def test_metrics(spark, tmp_path):

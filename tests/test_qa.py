@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from echoloom.operators import qa as ops
+from echoloom.sinks import files as sinks
+from echoloom.sources import files
 
 SCHEMA = ("ord bigint, id string, uit_id string, title string, context string, question string, "
           "answers struct<text:array<string>,answer_start:array<int>>")
@@ -41,45 +43,59 @@ def _expected(rows):
 
 def _nested(documents):
     titles = {}
-    for d in sorted(documents.collect(), key=lambda d: d.first_seen):
-        paragraphs = titles.setdefault(d.title, {})
-        for p in d.paragraphs:
-            paragraphs.setdefault(p.context, []).extend(
-                (q.id, q.question, [(a.text, a.answer_start) for a in q.answers]) for q in p.qas)
+    for r in sorted(documents.collect(), key=lambda r: (r.title_at, r.paragraph_at, r["at"])):
+        titles.setdefault(r.title, {}).setdefault(r.context, []).append(
+            (r.id, r.question, [(a.text, a.answer_start) for a in r.answers]))
     return titles
 
 
-@pytest.mark.parametrize("limit", [10_000, 7, 40])
-def test_nest(spark, limit):
-    data = _rows()
-    rng = random.Random(4)
-    df = spark.createDataFrame(rng.sample(data, len(data)), SCHEMA).repartition(5)
-    docs = ops.nest(df, "ord", max_questions=limit)
-    want = _expected(data)
-    got = _nested(docs)
-    assert got == want
-    assert list(got) == list(want)
-    assert [list(p) for p in got.values()] == [list(p) for p in want.values()]
-    parts = docs.collect()
-    assert max(sum(len(p.qas) for p in d.paragraphs) for d in parts) <= 2 * limit
-    assert all(d.whole for d in parts) == (limit > 600)
+def _ordered(titles):
+    return [(t, list(ps.items())) for t, ps in titles.items()]
+
+
+def _check(docs, want):
     stats = tuple(ops.document_stats(docs).first())
     assert stats == (len(want), sum(map(len, want.values())), sum(len(q) for t in want.values() for q in t.values()))
     examples = {}
-    for e in ops.to_examples(docs).collect():
-        assert not any(q.is_impossible for q in e.qas)
-        examples.setdefault((e.title, e.context), []).extend(q.id for q in e.qas)
-    firsts = {(t, next(iter(ps))): [q[0] for q in next(iter(ps.values()))] for t, ps in want.items()}
-    assert {k: sorted(v) for k, v in examples.items()} == {k: sorted(v) for k, v in firsts.items()}
+    for e in sorted(ops.to_examples(docs).collect(), key=lambda e: e["at"]):
+        assert not e.is_impossible
+        examples.setdefault((e.title, e.context), []).append(e.id)
+    assert examples == {(t, next(iter(ps))): [q[0] for q in next(iter(ps.values()))] for t, ps in want.items()}
+    flat = sorted((r.title, r.context, r.id, r.question) for r in ops.flatten_documents(docs).collect())
+    assert flat == sorted((t, c, q[0], q[1]) for t, ps in want.items() for c, qs in ps.items() for q in qs)
 
 
-def test_examples_without_parts(spark):
+@pytest.mark.parametrize("one_title", [False, True])
+def test_nest_in_memory_and_read_again(spark, tmp_path, one_title):
+    data = _rows()
+    if one_title:
+        data = [(*r[:3], "all", *r[4:]) for r in data]
+    rng = random.Random(4)
+    df = spark.createDataFrame(rng.sample(data, len(data)), SCHEMA).repartition(5)
+    docs = ops.nest(df, "ord")
+    want = _expected(data)
+    assert _ordered(_nested(docs)) == _ordered(want)
+    _check(docs, want)
+    whole, lines = str(tmp_path / "whole"), str(tmp_path / "lines")
+    sinks.write_qa_documents(docs, whole)
+    _check(files.read_qa_documents(spark, whole), want)
+    sinks.write_qa_documents(docs, lines, layout="lines", per_line=30)
+    back = files.read_qa_documents(spark, lines, layout="lines")
+    _check(back, want)
+    assert max(len(p.qas) for r in back.collect() for p in r.paragraphs) <= 30
+    assert _ordered(_nested(ops.to_examples(back))) == _ordered({t: dict(list(ps.items())[:1]) for t, ps in want.items()})
+
+
+def test_documents_with_empty_parts(spark):
     docs = spark.createDataFrame(
-        [("t", [("c1", [("q1", "Q", [("a", 0)])]), ("c2", [])]), ("none", [])],
+        [("t", [("c1", [("q1", "Q", [("a", 0)])]), ("c2", [])]), ("none", []),
+         ("late", [("c3", []), ("c4", [("q2", "Q", [])])])],
         "title string, paragraphs array<struct<context:string,qas:array<struct<id:string,question:string,"
         "answers:array<struct<text:string,answer_start:bigint>>>>>>")
-    got = ops.to_examples(docs).collect()
-    assert [(r.title, r.context, r.qas[0].is_impossible) for r in got] == [("t", "c1", False)]
+    assert [(r.title, r.context, r.id, r.is_impossible) for r in ops.to_examples(docs).collect()] == [
+        ("t", "c1", "q1", False)]
+    assert tuple(ops.document_stats(docs).first()) == (3, 4, 2)
+    assert ops.flatten_documents(docs).count() == 2
 
 
 @pytest.mark.parametrize("hot_rows", [2, 1_000_000])
