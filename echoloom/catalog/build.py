@@ -57,7 +57,7 @@ def report_documents(spark, sf):
 def judge_answers(spark, sf):
     """Answers of the stand-in scorer to first paragraphs, judged against these questions."""
     documents = _documents(spark, sf)
-    ranked = evaluate.predict(documents, scoring_ops.lexical_scorer, n_best=1, max_seq_length=64, doc_stride=16,
+    ranked = evaluate.predict(documents, scoring.lexical_scorer, n_best=1, max_seq_length=64, doc_stride=16,
                               max_query_length=16)
     examples = qa_ops.to_examples(documents)
     return evaluate.judge(examples, scoring_ops.best_predictions(ranked, evaluate.questions(documents)))

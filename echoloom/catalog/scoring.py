@@ -22,6 +22,20 @@ def chunk_answer_spans(spark, sf):
     return spans.select("uit_id", "i", "chunk", "start", "start_position", "end_position")
 
 
+def lexical_scores(question: list[str], words: list[str]) -> tuple[list[float], list[float]]:
+    """A deterministic stand-in for a model: words near words of the question score high."""
+    asked = {w.lower().strip(".,;:!?") for w in question}
+    hit = [1.0 if w.lower().strip(".,;:!?") in asked else 0.0 for w in words]
+    start = [(hit[i - 1] if i else 0.0) - 2 * hit[i] for i in range(len(hit))]
+    end = [(hit[i + 1] if i + 1 < len(hit) else 0.5) - 2 * hit[i] for i in range(len(hit))]
+    return start, end
+
+
+def lexical_scorer(questions, words):
+    scored = [lexical_scores(q, w) for q, w in zip(questions, words)]
+    return [s for s, _ in scored], [e for _, e in scored]
+
+
 def _nbest(spark, sf):
     return ops.nbest_spans(fx.logits(spark, sf), "id", n_best=20, max_answer_length=30)
 
@@ -32,8 +46,10 @@ def nbest_spans(spark, sf):
 
 
 def trim_null_answer(spark, sf):
-    named = _nbest(spark, sf).withColumn("text", F.concat_ws("-", "start", "end"))
-    trimmed = qa_ops.trim_null_answer(ops.answers_by_question(named))
+    logits = fx.logits(spark, sf)
+    spans = ops.nbest_spans(logits, "id", n_best=20, max_answer_length=30, first=1)
+    whole = ops.with_null_answer(spans, ops.null_scores(logits), n_best=20)
+    trimmed = qa_ops.trim_null_answer(ops.answers_by_question(whole))
     return trimmed.select("id", F.array_join("answer", "|").alias("answer"),
                           F.size("probability").alias("probabilities"))
 
@@ -50,7 +66,7 @@ def attach_results(spark, sf):
 
 def score_answers(spark, sf):
     rows = fx.qa(spark, sf).select(F.col("uit_id").alias("id"), "question", "context")
-    best = ops.answer_questions(rows, ops.lexical_scorer, n_best=3, max_seq_length=64, doc_stride=16,
+    best = ops.answer_questions(rows, lexical_scorer, n_best=3, max_seq_length=64, doc_stride=16,
                                 max_query_length=16)
     return best.withColumns({c: F.round(c, 6) for c in ("score", "probability")})
 
@@ -83,6 +99,20 @@ select *, exp(score - max(score) over (partition by id)) as wt from (
     row_number() over (partition by s.id order by s.v + e.v desc, s.i, e.i) as rank
   from starts s join ends e on s.id = e.id and s.r <= 20 and e.r <= 20 and e.i >= s.i and e.i - s.i + 1 <= 30)
 where rank <= 20"""
+# Slot 0 is the null answer: it takes part in the choice of starts and ends, and is no span.
+_SLOTTED = """
+select id, start, "end", score from (
+  select s.id, s.i as start, e.i as "end", s.v + e.v as score,
+    row_number() over (partition by s.id order by s.v + e.v desc, s.i, e.i) as r
+  from starts s join ends e on s.id = e.id and s.r <= 20 and e.r <= 20 and s.i >= 1 and e.i >= s.i
+    and e.i - s.i + 1 <= 30)
+where r <= 20"""
+_ENTRIES = """
+select id, text, missing, least(r, 21) as rank from (
+  select *, row_number() over (partition by id order by score desc, missing, start, "end") as r from (
+    select id, start || '-' || "end" as text, score, false as missing, start, "end" from spans
+    union all select id, '', start_logits[1] + end_logits[1], true, null, null from f_logits))
+where missing or r <= 20"""
 _NBEST = {"starts": _STARTS.format("start_logits"), "ends": _STARTS.format("end_logits"), "ranked": _RANKED}
 
 
@@ -97,7 +127,7 @@ def answers_sql(asked: str, n: int) -> dict[str, str]:
     best = "row_number() over (partition by id, c order by {0} desc, i)"
     return {
         "asked": asked,
-        "sized": f"select id, list_transform(qw, lambda q: {plain.format('q')}) as qs, cw, len(cw) as n, "
+        "sized": f"select id, list_transform(qw[1:16], lambda q: {plain.format('q')}) as qs, cw, len(cw) as n, "
                  f"61 - least(len(qw), 16) as room from (select id, {fx.words_sql('question')} as qw, "
                  f"{fx.words_sql('context')} as cw from asked)",
         "parts": "select id, qs, c, list_slice(cw, c * 16 + 1, c * 16 + room) as w from (select *, unnest(range(0, "
@@ -140,11 +170,11 @@ from (select *, first >= chunk * 16 and last < least(chunk * 16 + 32, n) as insi
 select id, rank, start, "end", round(score, 6) as score,
   round(wt / sum(wt) over (partition by id), 6) as probability from ranked""", "f_logits", **_NBEST),
     "trim_null_answer": fx.sql("""
-select r.id, coalesce(string_agg(r.start || '-' || r."end", '|' order by r.rank) filter (r.rank < m.last), '')
-    as answer,
+select r.id, coalesce(string_agg(r.text, '|' order by r.rank) filter (r.rank < m.last), '') as answer,
   count(*) - 1 as probabilities
-from ranked r join (select id, max(rank) as last from ranked group by id) m on r.id = m.id group by r.id""",
-                               "f_logits", **_NBEST),
+from entries r join (select id, max(rank) as last from entries group by id) m on r.id = m.id group by r.id""",
+                               "f_logits", starts=_NBEST["starts"], ends=_NBEST["ends"],
+                               spans=_SLOTTED, entries=_ENTRIES),
     "attach_results": fx.sql("""
 select id as feature_id, label as example_id, n_name, round(list_max(start_logits), 6) as best
 from f_logits join embeddings on id = vec_id join nation on label = n_nationkey""", "f_logits"),

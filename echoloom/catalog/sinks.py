@@ -51,10 +51,11 @@ def export_splits(spark, sf):
 
 def write_predictions(spark, sf):
     path = scratch_dir(spark, "answers")
-    ranked = scoring_ops.nbest_spans(fx.logits(spark, sf), "id", n_best=5, max_answer_length=30)
-    named = ranked.withColumn("id", F.concat(F.lit("v"), "id")).withColumn("text", F.concat_ws("-", "start", "end"))
-    odds = named.where(F.col("rank") == 1).select("id", F.col("start").cast("double").alias("odds"))
-    sinks.write_predictions(named, path, odds)
+    logits = fx.logits(spark, sf).withColumn("id", F.concat(F.lit("v"), "id"))
+    nulls = scoring_ops.null_scores(logits)
+    spans = scoring_ops.nbest_spans(logits, "id", n_best=5, max_answer_length=30, first=1)
+    odds = scoring_ops.null_odds(spans, nulls)
+    sinks.write_predictions(scoring_ops.with_null_answer(spans, nulls, n_best=5), path, odds)
 
     def entries(name, kind):
         whole = spark.read.text(f"{path}/{name}", wholetext=True)
@@ -64,7 +65,7 @@ def write_predictions(spark, sf):
     nbest = entries("nbest_predictions_test", "array<struct<text:string,probability:double>>")
     return (sources.read_predictions(spark, f"{path}/predictions_test")
             .join(nbest.select("id", F.array_join("value.text", "|").alias("nbest")), "id")
-            .join(entries("null_odds_test", "double").withColumnRenamed("value", "odds"), "id"))
+            .join(entries("null_odds_test", "double").select("id", F.round("value", 6).alias("odds")), "id"))
 
 
 def write_augment_log(spark, sf):
@@ -95,12 +96,20 @@ QUERIES = {
 }
 
 _REPORT = evaluate_queries.ORACLE["em_f1"]
-_NBEST = """
+_SPANS = """
 select * from (
-  select s.id, s.i as start, e.i as "end",
+  select s.id, s.i as start, e.i as "end", s.v + e.v as score,
     row_number() over (partition by s.id order by s.v + e.v desc, s.i, e.i) as rank
-  from starts s join ends e on s.id = e.id and s.r <= 5 and e.r <= 5 and e.i >= s.i and e.i - s.i + 1 <= 30)
+  from starts s join ends e on s.id = e.id and s.r <= 5 and e.r <= 5 and s.i >= 1 and e.i >= s.i
+    and e.i - s.i + 1 <= 30)
 where rank <= 5"""
+_NULLS = "select id, start_logits[1] + end_logits[1] as score from f_logits"
+_LISTED = """
+select id, text, least(r, 6) as rank from (
+  select *, row_number() over (partition by id order by score desc, missing, start, "end") as r from (
+    select id, start || '-' || "end" as text, score, false as missing, start, "end" from spans
+    union all select id, '', score, true, null, null from nulls_))
+where missing or r <= 5"""
 _STARTS = """
 select id, v, i, row_number() over (partition by id order by v desc, i) as r
 from (select id, unnest({0}) as v, unnest(range(0, len({0}))) as i from f_logits)"""
@@ -118,10 +127,12 @@ select coalesce(title, 'Untitled') as title, coalesce(id, uit_id) as id, md5(con
 from f_qa where len(answers.answer_start) = 2 and (a1 <> '' or a2 <> '')""", "f_qa"),
     "export_splits": fx.sql("select doc_id, title, split, md5(context) as digest from f_contexts", "f_contexts"),
     "write_predictions": fx.sql("""
-select 'v' || id as id, max(start || '-' || "end") filter (rank = 1) as prediction,
-  string_agg(start || '-' || "end", '|' order by rank) as nbest, max(start::double) filter (rank = 1) as odds
-from ranked group by id""", "f_logits", starts=_STARTS.format("start_logits"), ends=_STARTS.format("end_logits"),
-                                ranked=_NBEST),
+select 'v' || l.id as id, max(text) filter (rank = 1) as prediction, string_agg(text, '|' order by rank) as nbest,
+  round(max(o.odds), 6) as odds
+from listed l join (select n.id, n.score - coalesce(s.score, 0) as odds from nulls_ n
+  left join spans s on n.id = s.id and s.rank = 1) o on l.id = o.id
+group by l.id""", "f_logits", starts=_STARTS.format("start_logits"), ends=_STARTS.format("end_logits"),
+                                spans=_SPANS, nulls_=_NULLS, listed=_LISTED),
     "write_augment_log": augment_queries.ORACLE["ratio_split"],
     "write_metrics": f"""
 select key || ' = ' || printf('%.4f', value) as line from (

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from echoloom.functions.text import ColumnLike, col, let, tokens
 
-# question words and chunk words -> start and end score of each chunk word
-Scorer = Callable[[list[str], list[str]], tuple[list[float], list[float]]]
+# question words and chunk words of a batch -> start and end scores of the words of each chunk
+Scorer = Callable[[pd.Series, pd.Series], tuple[Iterable[list[float]], Iterable[list[float]]]]
 
 
 def chunk_starts(n: Column, length: Column, stride: int) -> Column:
@@ -68,35 +67,22 @@ def chunk_answer_spans(df: DataFrame, length: Column | int = 384, stride: int =
 
 
 def score_chunks(chunks: DataFrame, scorer: Scorer) -> DataFrame:
-    """Run an injected scorer over chunk rows in Arrow batches.
+    """Run an injected scorer over chunk rows, a batch at a time.
 
     ``chunks`` has ``question`` and ``words``; adds ``start_logits, end_logits``.
-    Batches stream through, so a task holds one batch at a time.
+    Only these two columns go to Python, and only the scores come back.
     """
-    schema = T.StructType([*chunks.schema.fields,
-                           T.StructField("start_logits", T.ArrayType(T.DoubleType())),
-                           T.StructField("end_logits", T.ArrayType(T.DoubleType()))])
+    @F.pandas_udf("start_logits array<double>, end_logits array<double>")
+    def run(question: pd.Series, words: pd.Series) -> pd.DataFrame:
+        starts, ends = scorer(question.fillna("").astype(str).str.split(), words.map(list))
+        return pd.DataFrame({"start_logits": list(starts), "end_logits": list(ends)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scored = [scorer((q or "").split(), list(w)) for q, w in zip(batch["question"], batch["words"])]
-            yield batch.assign(start_logits=[s for s, _ in scored], end_logits=[e for _, e in scored])
-
-    return chunks.mapInPandas(run, schema)
-
-
-def lexical_scorer(question: list[str], words: list[str]) -> tuple[list[float], list[float]]:
-    """A deterministic stand-in for a model: words near words of the question score high."""
-    asked = {w.lower().strip(".,;:!?") for w in question}
-    hit = [1.0 if w.lower().strip(".,;:!?") in asked else 0.0 for w in words]
-    start = [(hit[i - 1] if i else 0.0) - 2 * hit[i] for i in range(len(hit))]
-    end = [(hit[i + 1] if i + 1 < len(hit) else 0.5) - 2 * hit[i] for i in range(len(hit))]
-    return start, end
+    return chunks.withColumn("_scores", run("question", "words")).select(*chunks.columns, "_scores.*")
 
 
 def feature_spans(start_logits: ColumnLike, end_logits: ColumnLike, n_best: int = 20,
-                  max_answer_length: int = 30) -> Column:
-    """Best ``n_best`` spans of one feature as ``[{score, start, end}]``.
+                  max_answer_length: int = 30, first: int = 0) -> Column:
+    """Best ``n_best`` spans of one feature as ``[{score, start, end}]``, from slot ``first`` on.
 
     Pairs only the ``n_best`` best starts with the ``n_best`` best ends, a fixed
     number of candidates per row whatever the length of the text. Equal scores
@@ -109,7 +95,7 @@ def feature_spans(start_logits: ColumnLike, end_logits: ColumnLike, n_best: int
     def pair(starts: Column, ends: Column) -> Column:
         pairs = F.flatten(F.transform(starts, lambda s: F.transform(ends, lambda e: F.struct(
             (s["s"] + e["s"]).alias("cost"), s["i"].alias("start"), e["i"].alias("end")))))
-        fits = F.filter(pairs, lambda p: (p["end"] >= p["start"]) & (
+        fits = F.filter(pairs, lambda p: (p["start"] >= first) & (p["end"] >= p["start"]) & (
             p["end"] - p["start"] + 1 <= max_answer_length))
         return F.transform(F.slice(F.sort_array(fits), 1, n_best), lambda p: F.struct(
             (-p["cost"]).alias("score"), p["start"].alias("start"), p["end"].alias("end")))
@@ -118,7 +104,7 @@ def feature_spans(start_logits: ColumnLike, end_logits: ColumnLike, n_best: int
 
 
 def nbest_spans(features: DataFrame, key: str = "id", n_best: int = 20, max_answer_length: int = 30,
-                keep: tuple[str, ...] = ()) -> DataFrame:
+                keep: tuple[str, ...] = (), first: int = 0) -> DataFrame:
     """``key, rank, score, start, end, probability``: the best spans per question.
 
     Each feature contributes at most ``n_best`` spans and the rank filter also
@@ -127,14 +113,49 @@ def nbest_spans(features: DataFrame, key: str = "id", n_best: int = 20, max_answ
     through and break ties between features.
     """
     spans = features.select(key, *keep, F.explode(
-        feature_spans("start_logits", "end_logits", n_best, max_answer_length)).alias("s")).select(
+        feature_spans("start_logits", "end_logits", n_best, max_answer_length, first)).alias("s")).select(
         key, *keep, "s.*")
     best = Window.partitionBy(key).orderBy(F.desc("score"), *keep, "start", "end")
     ranked = spans.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n_best)
+    return _with_probability(ranked, key)
+
+
+def _with_probability(ranked: DataFrame, key: str) -> DataFrame:
+    """The softmax of the scores of a key; a missing score counts as 0."""
     group = Window.partitionBy(key)
-    weight = F.exp(F.col("score") - F.max("score").over(group))
-    return (ranked.withColumn("_weight", weight)
-            .withColumn("probability", F.col("_weight") / F.sum("_weight").over(group)).drop("_weight"))
+    score = F.coalesce("score", F.lit(0.0))
+    weighed = ranked.withColumn("_weight", F.exp(score - F.max(score).over(group)))
+    return weighed.withColumn("probability", F.col("_weight") / F.sum("_weight").over(group)).drop("_weight")
+
+
+def null_scores(features: DataFrame, key: str = "id") -> DataFrame:
+    """``key, null_score``: the least score of slot 0, which stands for no answer, over a question's features."""
+    score = F.get("start_logits", F.lit(0)) + F.get("end_logits", F.lit(0))
+    return features.groupBy(key).agg(F.min(score).alias("null_score"))
+
+
+def with_null_answer(ranked: DataFrame, nulls: DataFrame, key: str = "id", n_best: int = 20) -> DataFrame:
+    """The n-best lists with the null answer: an empty ``text`` without ``start`` and ``end``.
+
+    It stands where its score puts it, behind the spans of equal score, and last
+    if that is beyond the ``n_best`` entries; a question without a span has it alone.
+    ``ranked`` holds at most ``n_best`` spans of a question.
+    """
+    spans = ranked.drop("rank", "probability").withColumn("_null", F.lit(False))
+    if "text" not in ranked.columns:
+        spans = spans.withColumn("text", F.concat_ws("-", "start", "end"))
+    empty = nulls.select(key, F.col("null_score").alias("score"), F.lit("").alias("text"), F.lit(True).alias("_null"))
+    best = Window.partitionBy(key).orderBy(F.desc("score"), "_null", "start", "end")
+    placed = spans.unionByName(empty, allowMissingColumns=True).withColumn("rank", F.row_number().over(best))
+    kept = placed.where(F.col("_null") | (F.col("rank") <= n_best))
+    return _with_probability(kept.withColumn("rank", F.least("rank", F.lit(n_best + 1))).drop("_null"), key)
+
+
+def null_odds(ranked: DataFrame, nulls: DataFrame, key: str = "id") -> DataFrame:
+    """``key, odds``: the null score less the best span's, or less 0 without a span."""
+    best = ranked.where((F.col("rank") == 1) & F.col("start").isNotNull()).select(key, F.col("score").alias("_best"))
+    return nulls.join(best, key, "left").select(
+        key, (F.col("null_score") - F.coalesce("_best", F.lit(0.0))).alias("odds"))
 
 
 def answers_by_question(ranked: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -153,9 +174,14 @@ def attach_results(results: DataFrame, features: DataFrame, examples: DataFrame)
 def answer_questions(df: DataFrame, scorer: Scorer, n_best: int = 20, max_answer_length: int = 30,
                      max_seq_length: int = 512, doc_stride: int = 128,
                      max_query_length: int = 64) -> DataFrame:
-    """Chunk, score and rank: ``id, question, context`` to the ranked answers per id."""
+    """Chunk, score and rank: ``id, question, context`` to the ranked answers per id.
+
+    The scorer sees the first ``max_query_length`` words of a question. A question
+    without any span, say of a blank context, has one empty answer without score.
+    """
     room = room_for_context("question", max_seq_length, max_query_length)
-    chunks = chunk_contexts(df.select("id", "question", "context"), "context", room, doc_stride)
+    cut = F.array_join(F.slice(tokens("question"), 1, max_query_length), " ")
+    chunks = chunk_contexts(df.select("id", cut.alias("question"), "context"), "context", room, doc_stride)
     scored = score_chunks(chunks, scorer)
     # Take the text out of the chunk before the words are dropped.
     spans = scored.select("id", "chunk", F.col("start").alias("offset"), "words", F.explode(
@@ -164,13 +190,12 @@ def answer_questions(df: DataFrame, scorer: Scorer, n_best: int = 20, max_answer
         (F.col("offset") + F.col("s.start")).alias("start"), (F.col("offset") + F.col("s.end")).alias("end"),
         F.array_join(F.slice("words", F.col("s.start") + 1, F.col("s.end") - F.col("s.start") + 1), " ")
         .alias("text"))
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "start", "end", "chunk")
-    group = Window.partitionBy("id")
-    weight = F.exp(F.col("score") - F.max("score").over(group))
-    return (spans.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n_best)
-            .withColumn("_weight", weight)
-            .withColumn("probability", F.col("_weight") / F.sum("_weight").over(group))
-            .select("id", "rank", "score", "start", "end", "text", "probability"))
+    # An entry behind all spans, for questions that have none.
+    entries = spans.unionByName(df.select("id", F.lit("").alias("text")), allowMissingColumns=True)
+    best = Window.partitionBy("id").orderBy(F.desc_nulls_last("score"), "start", "end", "chunk")
+    ranked = entries.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n_best)
+    ranked = ranked.where(F.col("score").isNotNull() | (F.col("rank") == 1))
+    return _with_probability(ranked, "id").select("id", "rank", "score", "start", "end", "text", "probability")
 
 
 def best_predictions(ranked: DataFrame, questions: DataFrame | None = None) -> DataFrame:

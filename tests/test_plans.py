@@ -1,6 +1,7 @@
 import glob
 import json
 
+from echoloom.catalog.scoring import lexical_scorer
 from echoloom.operators import scoring
 from echoloom.operators.spread import number_rows
 from echoloom.plans import build, evaluate
@@ -41,7 +42,7 @@ def test_files_to_scores(spark, tmp_path):
     assert texts == {f"river {n} flows north" for n in range(3)}
 
     knobs = dict(n_best=2, max_seq_length=32, max_query_length=8, doc_stride=4)
-    ranked = evaluate.predict(documents, scoring.lexical_scorer, **knobs)
+    ranked = evaluate.predict(documents, lexical_scorer, **knobs)
     predictions = scoring.best_predictions(ranked, evaluate.questions(documents))
     report = evaluate.report(documents, predictions).first()
     asked = documents.count()

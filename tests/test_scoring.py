@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from echoloom.catalog.scoring import lexical_scorer, lexical_scores
 from echoloom.operators import evaluate, scoring
 
 
@@ -75,18 +76,45 @@ def test_answers_are_found(spark):
     df = spark.createDataFrame(rows, "id string, question string, context string")
     got = {}
     knobs = dict(n_best=3, max_answer_length=4, max_seq_length=30, doc_stride=10, max_query_length=8)
-    for r in scoring.answer_questions(df, scoring.lexical_scorer, **knobs).orderBy("id", "rank").collect():
+    for r in scoring.answer_questions(df, lexical_scorer, **knobs).orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append((r.score, r.start, r.end, r.text))
     for qid, question, context in rows:
         found = []
         for n, (at, part) in enumerate(chunks_of(context.split(), 30 - 3 - 6, 10)):
-            s, e = scoring.lexical_scorer(question.split(), part)
+            s, e = lexical_scores(question.split()[:8], part)
             for score, i, j, _ in best_spans([(s, e)], 3, 4):
                 found.append((score, at + i, at + j, n, " ".join(part[i:j + 1])))
         found = sorted(found, key=lambda p: (-p[0], p[1], p[2], p[3]))[:3]
         assert got[qid] == [(s, i, j, t) for s, i, j, _, t in found]
 
 
+def test_long_questions_are_cut_and_blank_contexts_answered(spark):
+    df = spark.createDataFrame([("long", "a b c d", "x d y"), ("blank", "a", " "), ("none", None, None)],
+                               "id string, question string, context string")
+    seen = lambda q, w: ([[float(len(x))] * len(c) for x, c in zip(q, w)], [[0.0] * len(c) for c in w])
+    got = scoring.answer_questions(df, seen, n_best=2, max_seq_length=10, max_query_length=2).collect()
+    assert {r.score for r in got if r.id == "long"} == {2.0} and sum(r.id == "long" for r in got) == 2
+    rest = [tuple(r) for r in got if r.id != "long"]
+    assert sorted(rest) == [(i, 1, None, None, None, "", 1.0) for i in ("blank", "none")]
+
+
+@pytest.mark.parametrize("slot,rank", [(9.0, 1), (2.75, 2), (-50.0, 3)])
+def test_null_answer(spark, slot, rank):
+    features = spark.createDataFrame(
+        [("q", [slot, 2.0, 1.0], [0.0, 1.0, 0.5]), ("q", [slot + 5, 0.0, 0.0], [0.0, 0.0, 0.0]), ("n", [slot], [1.0])],
+        "id string, start_logits array<double>, end_logits array<double>")
+    spans = scoring.nbest_spans(features, "id", n_best=2, first=1)
+    nulls = scoring.null_scores(features)
+    got = scoring.with_null_answer(spans, nulls, n_best=2).orderBy("id", "rank").collect()
+    mine = [r for r in got if r.id == "q"]
+    assert [r.rank for r in mine if r.text == ""] == [rank] and [r.rank for r in mine] == list(range(1, len(mine) + 1))
+    assert len(mine) == (3 if rank == 3 else 2)
+    assert sum(r.probability for r in mine) == pytest.approx(1)
+    assert [(r.rank, r.text, r.score) for r in got if r.id == "n"] == [(1, "", slot + 1)]
+    odds = {r.id: r.odds for r in scoring.null_odds(spans, nulls).collect()}
+    assert odds == {"q": slot - 3.0, "n": slot + 1}
+
+
 def test_no_room_for_context(spark):
     with pytest.raises(ValueError):
         scoring.room_for_context("q", max_seq_length=64, max_query_length=64)
