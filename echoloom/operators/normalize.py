@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -27,6 +28,19 @@ def nfc_normalizer(c: Column) -> Column:
     return simple_normalizer(compose(c))
 
 
+def _nfc_each(c: Column) -> Column:
+    """``nfc_normalizer`` of each item of an array, in one crossing: Python cannot run inside ``transform``."""
+    @F.pandas_udf("array<string>")
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda items: None if items is None else [
+            None if x is None else unicodedata.normalize("NFC", x) for x in items])
+
+    return F.transform(compose(c), simple_normalizer)
+
+
+nfc_normalizer.each = _nfc_each
+
+
 def _type_at(schema: T.StructType, path: str) -> T.DataType | None:
     """Type of the field a path leads to; null when a step is missing or no struct."""
     current: T.DataType = schema
@@ -70,12 +84,16 @@ def set_nested(df: DataFrame, path: str, value: Column) -> DataFrame:
 
 def normalize_field(df: DataFrame, path: str = "context",
                     normalizer: Normalizer = simple_normalizer) -> DataFrame:
-    """Normalise a string, or each item of a string array; leave others alone."""
+    """Normalise a string, or each item of a string array; leave others alone.
+
+    A normaliser that runs in Python brings its form for arrays as ``each``.
+    """
     kind = _type_at(df.schema, path)
     if isinstance(kind, T.StringType):
         new = normalizer(_at(path))
     elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
-        new = F.transform(_at(path), normalizer)
+        each = getattr(normalizer, "each", lambda c: F.transform(c, normalizer))
+        new = each(_at(path))
     else:
         return df
     head, *rest = path.split(".")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echoloom.functions.text import hash_order
@@ -14,6 +15,18 @@ from echoloom.session import materialize
 BROADCAST_KEYS = 100_000
 
 
+# Settings without which a hot key of a join stays in one task.
+SKEW_SETTINGS = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                 "spark.sql.adaptive.forceOptimizeSkewedJoin")
+
+
+def check_skew_settings(spark: SparkSession) -> None:
+    """Warn where a session does not split the hot keys of joins; its settings are left alone."""
+    off = [key for key in SKEW_SETTINGS if spark.conf.get(key) != "true"]
+    if off:
+        warnings.warn(f"hot keys stay in one task without {', '.join(off)}; set them, or pass hot_rows", stacklevel=3)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
                 hot_rows: int | None = None) -> DataFrame:
     """Join rows to a table with unique ``key`` values, whatever the key's distribution.
@@ -31,6 +44,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
         raise ValueError(f"unsupported join type {how!r}")
     known = right.where(F.col(key).isNotNull())
     if hot_rows is None:
+        check_skew_settings(left.sparkSession)
         if how == "inner":
             return left.join(known, key)
         probe = left.withColumn("_salt", F.when(F.col(key).isNull(), F.spark_partition_id()).otherwise(0))

@@ -30,14 +30,18 @@ def _struct(schema: Schema) -> T.StructType:
 
 
 def _infer(spark: SparkSession, source: str, wrappers: tuple[str, ...], layout: str) -> T.StructType:
-    """All keys of the records, listed or not; the first type of a key counts."""
+    """All keys of the records, listed or not; a key of two types is read as text, or as double if both are numbers."""
     fields: dict[str, T.StructField] = {}
     for f in spark.read.option("multiLine", layout == "document").json(source).schema.fields:
         kind = f.dataType
         listed = f.name in wrappers and isinstance(kind, T.ArrayType)
         for g in (kind.elementType.fields if listed and isinstance(kind.elementType, T.StructType)
                   else [] if listed else [f]):
-            fields.setdefault(g.name, g)
+            known = fields.setdefault(g.name, g)
+            if known.dataType != g.dataType:
+                both = {type(known.dataType), type(g.dataType)}
+                wide = T.DoubleType() if both == {T.LongType, T.DoubleType} else T.StringType()
+                fields[g.name] = T.StructField(g.name, wide)
     return T.StructType(list(fields.values()))
 
 

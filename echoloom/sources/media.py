@@ -5,11 +5,10 @@ from __future__ import annotations
 import io
 import re
 import wave
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoloom.functions.text import dirname, has_suffix
@@ -55,19 +54,32 @@ def wav_seconds(content: bytes | None) -> float | None:
         return None
 
 
+def _little_endian(head: Column, at: int, size: int) -> Column:
+    """The unsigned integer in ``size`` bytes from the 1-based byte ``at``."""
+    digits = F.hex(F.substring(head, at, size))
+    swapped = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+    return F.conv(swapped, 16, 10).cast("bigint")
+
+
 def media_duration(files: DataFrame) -> DataFrame:
     """``path, duration_s`` from ``path, content``; null for other formats.
 
-    A plain header fits 44 bytes, and only those go to Python; files with more
-    chunks before the samples are passed whole.
+    The length of plain PCM comes from its 44 header bytes by expressions. Python
+    sees only WAV files whose header has another form, and no other format.
     """
-    plain = F.substring("content", 37, 4) == F.lit(b"data")
-    heads = files.select("path", F.when(plain, F.substring("content", 1, PLAIN_HEADER))
-                         .otherwise(F.col("content")).alias("content"))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"path": batch["path"],
-                                "duration_s": pd.Series([wav_seconds(c) for c in batch["content"]], dtype="float64")})
-
-    return heads.mapInPandas(measure, "path string, duration_s double")
+    content = F.col("content")
+    marked = lambda at, mark: F.substring(content, at, len(mark)) == F.lit(mark)
+    wav = marked(1, b"RIFF") & marked(9, b"WAVE")
+    plain = (wav & marked(13, b"fmt \x10\0\0\0\x01\0") & marked(37, b"data")
+             & (F.octet_length(content) >= PLAIN_HEADER))
+    frame = _little_endian(content, 23, 2) * F.floor((_little_endian(content, 35, 2) + 7) / 8)
+    frames = F.floor(F.try_divide(_little_endian(content, 41, 4), frame))
+
+    @F.pandas_udf("double")
+    def measure(contents: pd.Series) -> pd.Series:
+        return pd.Series([wav_seconds(c) for c in contents], dtype="float64")
+
+    other = measure(F.when(wav & ~plain, content))
+    return files.select("path", other.alias("_other"), plain.alias("_plain"),
+                        F.try_divide(frames, _little_endian(content, 25, 4)).alias("_header")).select(
+        "path", F.when(F.col("_plain"), F.col("_header")).otherwise(F.col("_other")).alias("duration_s"))

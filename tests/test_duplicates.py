@@ -1,5 +1,7 @@
 """Repeated ids count once, the last one, and partial documents are refused."""
 
+import json
+
 import pytest
 
 from echoloom.operators import contexts, evaluate
@@ -53,3 +55,10 @@ def test_blank_lines_of_any_kind(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('\t\n{"id":"a"}\n \u2003\n')
     good, bad = files.read_jsonl_lenient(spark, str(tmp_path / "a.jsonl"), "id string")
     assert (good.count(), bad.count()) == (1, 0)
+
+
+def test_a_key_of_two_types_keeps_both_values(spark, tmp_path):
+    (tmp_path / "mixed.json").write_text(json.dumps(
+        {"data": [{"id": 1, "n": 1}], "train": [{"id": "abc", "n": 1.5}]}))
+    got = files.read_json_records(spark, str(tmp_path / "mixed.json"), None)
+    assert sorted((r.id, r.n) for r in got.collect()) == [("1", 1.0), ("abc", 1.5)]

@@ -240,6 +240,12 @@ def test_media(spark, tmp_path):
     _wav(tmp_path / "sub" / "B.WAV", 4000, 8000, b"data" * 20)
     (tmp_path / "c.mp3").write_bytes(b"ID3")
     (tmp_path / "bad.wav").write_bytes(b"RIFF")
+    _wav(tmp_path / "odd.wav", 5, 11025)
+    (tmp_path / "odd.wav").write_bytes((tmp_path / "odd.wav").read_bytes()[:22] + b"\0\0" +
+                                       (tmp_path / "odd.wav").read_bytes()[24:])
+    content = spark.read.format("binaryFile").load(str(tmp_path / "odd.wav"))
+    assert media.media_duration(content).first().duration_s is None
+    (tmp_path / "odd.wav").unlink()
     name = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
     folder = str(tmp_path)
     assert name(media.list_media(spark, folder)) == ["B.WAV", "a.wav", "bad.wav", "c.mp3"]

@@ -102,3 +102,14 @@ def test_number_rows_in_file_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(got) == 1000 and all(r.ord == r.v + 1 for r in got)
+
+
+def test_a_session_that_keeps_hot_keys_together_is_named(spark):
+    left, right = spark.range(3).withColumnRenamed("id", "k"), spark.range(2).selectExpr("id as k", "id as v")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        with pytest.warns(UserWarning, match="skewJoin"):
+            assert spread.lookup_join(left, right, "k").count() == 3
+        assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "false"
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

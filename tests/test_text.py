@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from echoloom.functions import scores, text
-from echoloom.operators.normalize import nfc_normalizer
+from echoloom.operators.normalize import nfc_normalizer, normalize_field
 
 # Code points that the engines case alike, with blanks and marks mixed in often.
 CHARACTERS = st.one_of(
@@ -111,3 +111,9 @@ def test_hash_helpers_repeat(spark):
         text.hash_pick(F.lit(7), 1, "id").alias("p"), text.hash_unit(1, "id").alias("u"))
     a, b = [sorted(map(tuple, df.repartition(n).collect())) for n in (1, 5)]
     assert a == b and {p for p, _ in a} == set(range(7)) and all(0 <= u < 1 for _, u in a)
+
+
+def test_nfc_in_arrays(spark):
+    df = spark.createDataFrame([(["Việt  NAM", None],), (None,)], "s array<string>")
+    got = normalize_field(df, "s", nfc_normalizer).collect()
+    assert [r.s for r in got] == [["việt nam", None], None]
