@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from echoloom.llm.batches import column, doc_rows, fresh, map_arrow, materialize, texts_of
 from echoloom.llm.components import connected
+from echoloom.llm.shingle_links import shingle_links
 
 SHINGLE = 4
 SEED = 42
@@ -250,13 +251,15 @@ def near_links(prints: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     return pairs.unionByName(more.select("a", "b"))
 
 
-def groups(prints: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+def groups(prints: DataFrame, key_rows: int = KEY_ROWS, more: DataFrame | None = None) -> DataFrame:
     """Per distinct fingerprint of ``doc_id, print`` rows: its component's smallest doc_id and where that row is.
 
-    ``keeper`` is the fingerprint of the component's first row, by doc_id, then fingerprint.
+    ``keeper`` is the fingerprint of the component's first row, by doc_id, then fingerprint. ``more`` are further
+    links of fingerprints.
     """
     nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "prints")
-    labels = connected(near_links(nodes, key_rows))
+    found = near_links(nodes, key_rows)
+    labels = connected(found if more is None else found.unionByName(more))
     labelled = nodes.join(labels, F.col("print") == F.col("node"), "left").select(
         "print", "first", F.coalesce("component", "print").alias("component"))
     # Nulls last: the smallest known id leads.
@@ -273,8 +276,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _node(text: str) -> int:
+    print_ = fingerprint(text)
+    return print_ - (1 << 64) if print_ >> 63 else print_
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``, the one with the smallest doc_id; all columns unchanged."""
+    """One row of each component of ``docs``, the one with the smallest doc_id; all columns unchanged.
+
+    Texts are linked by near fingerprints, and by a similarity of 0.8 of their five-word shingles, which the distance
+    of fingerprints alone does not find.
+    """
     print_, twin = fresh(docs, "print_of_text", "twin_of_row")
     names = docs.columns
 
@@ -287,7 +299,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
                        docs.withColumn("text", F.col("text").cast("string"))
                        .withColumn(print_, F.lit(0).cast("bigint")).schema)
     prints = materialize(fingerprints(docs), "fingerprints")
-    found = materialize(groups(prints), "groups")
+    found = materialize(groups(prints, more=shingle_links(docs, _node)), "groups")
     keepers = found.where(F.col("print") == F.col("keeper")).select(
         F.col("print").alias("_keeper"), F.col("component_id").alias("_keeper_id"))
     same = (F.col(print_) == F.col("_keeper")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keeper_id"))

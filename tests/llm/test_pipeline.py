@@ -31,7 +31,7 @@ def test_stages(spark, docs, tmp_path):
         kept.append({r.doc_id: r.text for r in held.collect()})
     assert set(kept[0]) == clean | {400, 401, 402, 403, 404, 500, 501, 502, 503, 600}
     prints = [(d, brute_print(texts[d])) for d in sorted(kept[0])]
-    assert set(kept[1]) == set(brute_groups(prints)[1])
+    assert set(kept[1]) == set(brute_groups(prints, [texts[d] for d, _ in prints])[1])
     assert set(kept[2]) == clean | {600}
     assert kept[3] == {d: secret_scan.mask(texts[d]) for d in kept[2]} and "Hunter2" not in kept[3][600]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()

@@ -4,15 +4,26 @@ import numpy as np
 import pytest
 import xxhash
 
-from echoloom.llm import components, simhash as ops
+from echoloom.llm import components, shingle_links, simhash as ops
 from tests.llm.conftest import AWKWARD
 
 
-def brute_print(text):
+def brute_words(text):
     words = []
     for part in (text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace(
             "\x0c", " ").split(" "):
         words += ["".join(c.lower() if "A" <= c <= "Z" else c for c in part)] if part else []
+    return words
+
+
+def brute_similar(one, two):
+    """Whether two texts share four fifths of their distinct five-word shingles."""
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(brute_words, (one, two)))
+    return bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def brute_print(text):
+    words = brute_words(text)
     if not words:
         return 0
     grams = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))]
@@ -20,8 +31,8 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_groups(prints):
-    """Component leader per row of (doc_id, fingerprint)."""
+def brute_groups(prints, texts=None):
+    """Component leader per row of (doc_id, fingerprint); similar texts are linked too where there are any."""
     leader = list(range(len(prints)))
 
     def find(i):
@@ -31,7 +42,7 @@ def brute_groups(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i][1] ^ prints[j][1]).bit_count() <= 4:
+            if (prints[i][1] ^ prints[j][1]).bit_count() <= 4 or texts and brute_similar(texts[i], texts[j]):
                 leader[find(i)] = find(j)
     ids = {}
     for i, (doc, _) in enumerate(prints):
@@ -55,7 +66,37 @@ def test_documents(docs):
     assert sorted((tuple(r) for r in got), key=str) == want
     kept = ops.keep_first(docs(rows))
     assert kept.columns == docs(rows).columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(brute_groups(prints)[1], key=str)
+    leads = brute_groups(prints, [t for _, t in rows])[1]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(leads, key=str)
+
+
+def test_copies_with_words_changed(docs):
+    """Copies beyond the distance of fingerprints go, a star of copies of one text among them; other texts stay."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+
+    def changed(text, n):
+        new = list(text)
+        for at in rng.sample(range(len(text)), n):
+            new[at] = rng.choice(words)
+        return new
+
+    rows, texts = [], [rng.choices(words, k=rng.randrange(60, 300)) for _ in range(40)]
+    for i, text in enumerate(texts):
+        rows += [(i, " ".join(text)), (100 + i, " ".join(changed(text, len(text) * (i % 5) // 100)))]
+    star = rng.choices(words, k=200)
+    rows += [(500, " ".join(star).upper())] + [(501 + i, " ".join(changed(star, 4))) for i in range(150)]
+    rng.shuffle(rows)
+    want = brute_groups([(i, brute_print(t)) for i, t in rows], [t for _, t in rows])[1]
+    assert 41 < len(want) < 80
+    assert sorted(r.doc_id for r in ops.keep_first(docs(rows)).collect()) == sorted(want)
+
+
+def test_shingle_sets():
+    assert not len(shingle_links.shingles(None)) and not len(shingle_links.shingles(" \t "))
+    assert len(shingle_links.shingles("One two")) == 1
+    assert (shingle_links.shingles("one TWO") == shingle_links.shingles(" One\ttwo\n")).all()
+    assert len(shingle_links.shingles("a b c d e " * 900)) == 5
 
 
 @pytest.mark.parametrize("key_rows", [2048, 16])
