@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from echoloom.llm.batches import column, doc_rows, fresh, map_arrow, materialize, texts_of
 from echoloom.llm.components import connected
-from echoloom.llm.shingle_links import shingle_links
+from echoloom.llm.shingle_links import shingle_components
+from echoloom.operators.spread import lookup_join
 
 SHINGLE = 4
 SEED = 42
@@ -38,6 +39,8 @@ SEGMENTS = (13, 13, 13, 13, 12)
 # Segments in a key.
 CHAIN = 3
 KEY_ROWS = 2048
+# What parts words, as for ``bytes.split``.
+BLANKS = " \t\n\r\x0b\x0c"
 
 _OFFSETS = tuple(sum(SEGMENTS[:i]) for i in range(len(SEGMENTS)))
 _MASKS = tuple(((1 << w) - 1) << o for w, o in zip(SEGMENTS, _OFFSETS))
@@ -251,22 +254,24 @@ def near_links(prints: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     return pairs.unionByName(more.select("a", "b"))
 
 
-def groups(prints: DataFrame, key_rows: int = KEY_ROWS, more: DataFrame | None = None) -> DataFrame:
+def groups(prints: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """Per distinct fingerprint of ``doc_id, print`` rows: its component's smallest doc_id and where that row is.
 
-    ``keeper`` is the fingerprint of the component's first row, by doc_id, then fingerprint. ``more`` are further
-    links of fingerprints.
+    ``keeper`` is the fingerprint of the component's first row, by doc_id, then fingerprint.
     """
     nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "prints")
-    found = near_links(nodes, key_rows)
-    labels = connected(found if more is None else found.unionByName(more))
-    labelled = nodes.join(labels, F.col("print") == F.col("node"), "left").select(
-        "print", "first", F.coalesce("component", "print").alias("component"))
+    found = _led(nodes.withColumnRenamed("print", "node"), connected(near_links(nodes, key_rows)))
+    return found.withColumnRenamed("node", "print")
+
+
+def _led(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, component_id, keeper`` of ``node, first`` rows and the components of those that are linked."""
+    labelled = nodes.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     # Nulls last: the smallest known id leads.
-    lead = F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "print")).alias("lead")
+    lead = F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "node")).alias("lead")
     leads = labelled.groupBy("component").agg(lead).select(
-        "component", F.col("lead.first").alias("component_id"), F.col("lead.print").alias("keeper"))
-    return labelled.join(leads, "component").select("print", "component_id", "keeper")
+        "component", F.col("lead.first").alias("component_id"), F.col("lead.node").alias("keeper"))
+    return labelled.join(leads, "component").select("node", "component_id", "keeper")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -276,38 +281,49 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _node(text: str) -> int:
-    print_ = fingerprint(text)
-    return print_ - (1 << 64) if print_ >> 63 else print_
+def _print_pairs(prints: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Pairs ``a, b`` of nodes to compare: those of equal fingerprints with the least one, and least ones of near ones."""
+    least = materialize(prints.groupBy("print").agg(F.min("node").alias("least")), "prints")
+    equal = lookup_join(prints.select("print", "node"), least, "print", "inner").where("node <> least")
+    one, two = (least.select(F.col("print").alias(n), F.col("least").alias(f"node_{n}")) for n in ("a", "b"))
+    near = near_links(least, key_rows).distinct().join(one, "a").join(two, "b").select("node_a", "node_b")
+    pairs = equal.select("node", "least").union(near).toDF("x", "y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``, the one with the smallest doc_id; all columns unchanged.
 
-    Texts are linked by near fingerprints, and by a similarity of 0.8 of their five-word shingles, which the distance
-    of fingerprints alone does not find.
+    Equal texts are linked, and texts with a similarity of 0.8 of their five-word shingles. Near fingerprints only
+    propose pairs: texts that share a long template have near fingerprints without being copies. Texts without a word
+    are copies of one another.
     """
-    print_, twin = fresh(docs, "print_of_text", "twin_of_row")
-    names = docs.columns
+    node_, twin = fresh(docs, "node_of_text", "twin_of_row")
+    blank = F.xxhash64(F.lit(""))
+
+    def node(text):
+        return F.when(F.btrim(text, F.lit(BLANKS)) != "", F.xxhash64(text)).otherwise(blank)
 
     def run(batches):
         for batch in batches:
             prints = pa.array(_signed(fingerprint(t) for t in texts_of(batch)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*names, print_])
-
-    marked = map_arrow(docs.withColumn("text", F.col("text").cast("string")), run,
-                       docs.withColumn("text", F.col("text").cast("string"))
-                       .withColumn(print_, F.lit(0).cast("bigint")).schema)
-    prints = materialize(fingerprints(docs), "fingerprints")
-    found = materialize(groups(prints, more=shingle_links(docs, _node)), "groups")
-    keepers = found.where(F.col("print") == F.col("keeper")).select(
-        F.col("print").alias("_keeper"), F.col("component_id").alias("_keeper_id"))
-    same = (F.col(print_) == F.col("_keeper")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keeper_id"))
-    kept = marked.join(keepers, same, "left_semi")
-    rows = prints.join(keepers, (F.col("print") == F.col("_keeper")) & F.col("doc_id").eqNullSafe(
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "node"), prints],
+                                             ["doc_id", "node", "print"])
+
+    texts = doc_rows(docs).withColumn("node", node(F.col("text")))
+    prints = materialize(map_arrow(texts, run, "doc_id long, node long, print long"), "fingerprints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
+    worded = F.col("node") != blank
+    labels = shingle_components(texts.where(worded).select(F.col("node").alias("digest"), "text"),
+                                _print_pairs(prints.where(worded).select("print", "node").distinct()))
+    keepers = materialize(_led(nodes, labels), "groups").where("node = keeper").select(
+        F.col("keeper").alias("_keeper"), F.col("component_id").alias("_keeper_id"))
+    kept = docs.withColumn(node_, node(F.col("text").cast("string"))).join(keepers, (F.col(node_) == F.col(
+        "_keeper")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keeper_id")), "left_semi")
+    rows = prints.join(keepers, (F.col("node") == F.col("_keeper")) & F.col("doc_id").eqNullSafe(
         F.col("_keeper_id")), "left_semi").count()
     if rows > keepers.count():
-        # Rows that share the id and the fingerprint of a keeper: one of them stays.
-        one = Window.partitionBy(print_, "doc_id").orderBy(F.xxhash64("text"))
+        # Rows that share the id and the text of a keeper: one of them stays.
+        one = Window.partitionBy(node_, "doc_id").orderBy(F.xxhash64("text"))
         kept = kept.withColumn(twin, F.row_number().over(one)).where(F.col(twin) == 1).drop(twin)
-    return kept.drop(print_)
+    return kept.drop(node_)
