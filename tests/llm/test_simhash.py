@@ -103,6 +103,60 @@ def test_template_family_stays(docs, shared, own):
     assert sorted(r.doc_id for r in ops.keep_first(docs(rows + [(900, rows[7][1])])).collect()) == list(range(300))
 
 
+def family_and_revisions(rng):
+    """Texts around a template, near copies of some of them, and chains of texts that each revise the last one."""
+    words = [f"w{i}" for i in range(10 ** 5)]
+    template = rng.choices(words, k=122)
+    texts = [template + rng.choices(words, k=22) for _ in range(240)]
+    texts += [t[:130] + rng.choices(words, k=10) + t[140:] for t in texts[:40]]
+    for _ in range(12):
+        text = rng.choices(words, k=154)
+        for step in range(8):
+            texts.append(text)
+            text = text[:step * 15] + rng.choices(words, k=11) + text[step * 15 + 11:]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("key_rows", [2048, 32])
+def test_components_equal_brute_force(spark, key_rows):
+    """All similar pairs are linked, also where no band proposes any, in blocks too."""
+    rows = family_and_revisions(random.Random(key_rows))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(i, j) for i in range(len(rows)) for j in range(i)
+            if 5 * len(both := sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]) - len(both))]
+    leader = list(range(len(rows)))
+    for i, j in near * 8:
+        leader[i] = leader[j] = min(leader[i], leader[j])
+    texts = spark.createDataFrame(rows, "digest long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    with pytest.MonkeyPatch.context() as patch:
+        # Bands that propose nothing: what is left to them must not matter.
+        patch.setattr(shingle_links, "_candidates", lambda bands: none)
+        got = {r.node: r.component for r in shingle_links.shingle_components(texts, none, key_rows).collect()}
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(leader[i], []).append(d)
+    assert got == {d: min(g) for g in groups.values() if len(g) > 1 for d in g}
+    assert len(got) == 80 + 96
+
+
+def test_similar_sets_keep_parities_and_prefixes():
+    """At the least similarity sets are within the parity bound and meet in their prefixes, whatever shingle is common."""
+    rng = random.Random(3)
+    for n in [1, 4, 9, 45, 450, 4500] * 5:
+        both, one = (np.array([rng.getrandbits(64) for _ in range(k)], np.uint64) for k in (4 * n, n))
+        own = rng.randrange(n + 1)
+        a, b = (np.sort(np.append(both, x)) for x in (one[:own], one[own:]))
+        assert shingle_links.similar(a, b)
+        x, y = (np.frombuffer(shingle_links.parities(s), np.uint8) for s in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) * 9 <= len(a) + len(b)
+        common = np.sort(both[:n])
+        counts = np.array([rng.randrange(8, 99) for _ in common])
+        assert len(np.intersect1d(shingle_links.prefix(a, common, counts), shingle_links.prefix(b, common, counts)))
+
+
 def test_shingle_sets():
     assert not len(shingle_links.shingles(None)) and not len(shingle_links.shingles(" \t "))
     assert len(shingle_links.shingles("One two")) == 1
