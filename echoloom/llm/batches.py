@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,24 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[list[int | None], list[str]]]:
+    """(doc ids, texts) of runs of documents of at most ``limit`` bytes; a longer text is a run of its own."""
+    ids: list[int | None] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        lengths = pc.binary_length(column(batch, "text")).fill_null(0).to_pylist()
+        for doc_id, text, length in zip(column(batch, "doc_id").to_pylist(), texts_of(batch), lengths):
+            if ids and size + length > limit:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(doc_id)
+            texts.append(text)
+            size += length
+    if ids:
+        yield ids, texts
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -52,4 +71,4 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-__all__ = ["BATCH_BYTES", "column", "doc_rows", "fresh", "map_arrow", "materialize", "table", "texts_of"]
+__all__ = ["BATCH_BYTES", "blocks", "column", "doc_rows", "fresh", "map_arrow", "materialize", "table", "texts_of"]

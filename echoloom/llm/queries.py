@@ -6,6 +6,7 @@ import public_tokenizers
 
 from echoloom.llm import (
     byte_bpe, classifier, decontaminate, hilbert, language, quality_rules, secret_scan, simhash, suffix_dedup, token_files,
+    tokenizer_alignment,
 )
 from echoloom.llm.batches import table
 
@@ -51,9 +52,14 @@ def op10_suffix_dedup(spark, sf):
     return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
 
 
+def op11_tokenizer_alignment(spark, sf):
+    return tokenizer_alignment.align_corpus(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op4_quality_classifier, op5_simhash, op6_secret_scan,
-    op7_language_id, op8_decontaminate, op9_token_files, op10_suffix_dedup)}
+    op7_language_id, op8_decontaminate, op9_token_files, op10_suffix_dedup, op11_tokenizer_alignment)}
 # Their methods (expectation-maximisation, merges, links, suffix order, CRC) have no SQL form; tests/llm holds each
 # against brute force.
 ORACLE: dict[str, str] = {}
