@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from echoloom.llm import (
-    byte_bpe, classifier, decontaminate, hilbert, language, quality_rules, secret_scan, simhash, suffix_dedup, token_files,
-    tokenizer_alignment,
+    byte_bpe, classifier, decontaminate, hilbert, language, quality_rules, secret_scan, simhash, sketches, suffix_dedup,
+    token_files, tokenizer_alignment,
 )
 from echoloom.llm.batches import table
 
@@ -57,9 +57,14 @@ def op11_tokenizer_alignment(spark, sf):
                                             public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_fingerprints(spark, sf):
+    return sketches.fingerprint_edits(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op4_quality_classifier, op5_simhash, op6_secret_scan,
-    op7_language_id, op8_decontaminate, op9_token_files, op10_suffix_dedup, op11_tokenizer_alignment)}
+    op7_language_id, op8_decontaminate, op9_token_files, op10_suffix_dedup, op11_tokenizer_alignment,
+    op12_fingerprints)}
 # Their methods (expectation-maximisation, merges, links, suffix order, CRC) have no SQL form; tests/llm holds each
 # against brute force.
 ORACLE: dict[str, str] = {}
