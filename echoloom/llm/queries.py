@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from echoloom.llm import (
-    byte_bpe, classifier, decontaminate, hilbert, language, quality_rules, secret_scan, simhash, sketches, suffix_dedup,
-    token_files, tokenizer_alignment,
+    byte_bpe, classifier, conversation_repair, decontaminate, hilbert, language, quality_rules, secret_scan, simhash,
+    sketches, suffix_dedup, token_files, tokenizer_alignment,
 )
 from echoloom.llm.batches import table
 
@@ -61,10 +61,15 @@ def op12_fingerprints(spark, sf):
     return sketches.fingerprint_edits(table(spark, sf, "documents"))
 
 
+def op13_conversation_repair(spark, sf):
+    conversations = table(spark, sf, "conversations")
+    return conversation_repair.repair_conversations(conversation_repair.damage(conversations), conversations)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op4_quality_classifier, op5_simhash, op6_secret_scan,
     op7_language_id, op8_decontaminate, op9_token_files, op10_suffix_dedup, op11_tokenizer_alignment,
-    op12_fingerprints)}
+    op12_fingerprints, op13_conversation_repair)}
 # Their methods (expectation-maximisation, merges, links, suffix order, CRC) have no SQL form; tests/llm holds each
 # against brute force.
 ORACLE: dict[str, str] = {}
