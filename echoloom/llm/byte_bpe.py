@@ -30,12 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.llm.batches import column, doc_rows, map_arrow
+from echoloom.llm.batches import blocks, doc_rows, map_arrow
 from echoloom.llm.token_files import gather
 from echoloom.session import scratch_dir
 
 # Bytes of text whose distinct words are numbered together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
+# Distinct words leave a block in this many rows at most, some kilobytes each, however many tasks encode them.
+BUCKETS = 96
+# Distinct words that a task remembers; beyond, it starts anew, which changes the work only.
+KNOWN_WORDS = 500_000
 # Fixed value: the White_Space property, which is what \s means to the pattern's engine.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEGMENT = regex.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -85,10 +89,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str):
+def _encoding(path: str):
+    """An encoding that merges whatever it is given as one piece."""
     import tiktoken
 
-    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+    return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=load_ranks(path), special_tokens={})
 
 
 @lru_cache(maxsize=2)
@@ -117,53 +122,37 @@ def number_words(texts: list[str], pattern: str) -> tuple[list[str], np.ndarray,
 
     Texts are first cut at white space, where the pattern always cuts, so each distinct piece is matched once.
     """
-    segments: list[str] = []
-    per_text = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        before = len(segments)
-        segments += _SEGMENT.findall(text)
-        per_text[i] = len(segments) - before
-    coded = pa.array(segments, pa.large_string()).dictionary_encode()
-    del segments
+    pieces: dict[str, int] = {}
+    number = pieces.setdefault
+    coded = []
+    for text in texts:
+        found = _SEGMENT.findall(text)
+        coded.append(np.fromiter((number(s, len(pieces)) for s in found), np.int32, len(found)))
+    per_text = np.fromiter(map(len, coded), np.int64, len(coded))
     numbers: dict[str, int] = {}
     flat: list[int] = []
     ends: list[int] = []
     plain = _LETTERS.fullmatch
-    for segment in coded.dictionary.to_pylist():
+    for segment in pieces:
         if plain(segment):
             flat.append(numbers.setdefault(segment, len(numbers)))
         else:
             flat += [numbers.setdefault(word, len(numbers)) for word in split(segment, pattern)]
         ends.append(len(flat))
     codes, n = gather(np.array(flat, np.int64), np.array(ends, np.int64),
-                      coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+                      np.concatenate([np.zeros(0, np.int32), *coded]))
     total = np.concatenate([[0], np.cumsum(n)])
     cuts = np.concatenate([[0], np.cumsum(per_text)])
     return list(numbers), codes, np.diff(total[cuts])
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
-            text = text or ""
-            if ids and size + len(text) > BLOCK_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(doc_id)
-            texts.append(text)
-            size += len(text)
-    if ids:
-        yield ids, texts
-
-
 def explode_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """One ``codes`` row per block, and its distinct pre-tokens as one ``words`` row per bucket."""
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for number, (ids, texts) in enumerate(_blocks(batches)):
+        for number, (ids, texts) in enumerate(blocks(batches, BLOCK_BYTES)):
             words, codes, n = number_words(texts, pattern)
             raw = [w.encode("utf-8") for w in words]
             frequent = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
@@ -190,26 +179,29 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(names))
 
 
-def encode_words(words: DataFrame, path: str, pattern: str, tasks: int) -> DataFrame:
+def encode_words(words: DataFrame, path: str, tasks: int) -> DataFrame:
     """``ids`` rows for the ``words`` rows: each distinct pre-token meets its ranks once, in its bucket's task."""
     def run(batches):
-        piece = _encoding(path, pattern)._encode_single_piece
+        encode = _encoding(path).encode_ordinary
         known: dict[bytes, list[int]] = {}
+        last = None
         for batch in batches:
             for row in batch.to_pylist():
+                if row["bucket"] != last or len(known) > KNOWN_WORDS:
+                    known, last = {}, row["bucket"]
                 data = zstandard.decompress(row["payload"])
                 ends = np.cumsum(row["n"]).tolist()
                 out = []
                 for a, b in zip([0, *ends], ends):
                     word = data[a:b]
                     if (ids := known.get(word)) is None:
-                        ids = known[word] = piece(word)
+                        ids = known[word] = encode(word.decode())
                     out.append(ids)
                 flat = np.fromiter((i for ids in out for i in ids), np.int64)
                 yield _rows([(row["block"], row["bucket"], "ids", None, list(map(len, out)), pack(flat), None)])
 
-    # A bucket's blocks meet in one task; there are as many buckets as tasks, and both grow with the cluster's setting.
-    return map_arrow(words.repartition(tasks, "bucket"), run, _ROWS)
+    # A bucket's blocks meet in one task, one bucket after the other.
+    return map_arrow(words.repartition(tasks, "bucket").sortWithinPartitions("bucket"), run, _ROWS)
 
 
 def assemble(block: pa.Table, ids: pa.Table, path: str) -> pa.Table:
@@ -241,14 +233,17 @@ def _stored_by_block(rows: DataFrame, buckets: int) -> DataFrame:
     spark = rows.sparkSession
     name = f"pretokens_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, "block").option("path", scratch_dir(spark, "pretokens")).saveAsTable(name)
-    return spark.table(name)
+    stored = spark.table(name)
+    # The frame knows files and buckets; only the name goes, the files of an external table stay.
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def encode_corpus(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """n_tokens, the digest of the ids and the digest of the decoded bytes, per row of ``docs``."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    exploded = _stored_by_block(explode_words(docs, pattern, tasks), tasks)
-    ids = encode_words(exploded.where("kind = 'words'"), path, pattern, tasks)
+    exploded = _stored_by_block(explode_words(docs, pattern, BUCKETS), tasks)
+    ids = encode_words(exploded.where("kind = 'words'"), path, tasks)
     codes = exploded.where("kind = 'codes'")
     return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
         lambda block, found: assemble(block, found, path),
