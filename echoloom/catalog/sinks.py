@@ -58,9 +58,7 @@ def write_predictions(spark, sf):
     sinks.write_predictions(scoring_ops.with_null_answer(spans, nulls, n_best=5), path, odds)
 
     def entries(name, kind):
-        whole = spark.read.text(f"{path}/{name}", wholetext=True)
-        return whole.select(F.explode(F.from_json("value", f"map<string,{kind}>", {"mode": "FAILFAST"}))
-                            .alias("id", "value"))
+        return sources.read_json_entries(spark, f"{path}/{name}", kind).withColumnRenamed("key", "id")
 
     nbest = entries("nbest_predictions_test", "array<struct<text:string,probability:double>>")
     return (sources.read_predictions(spark, f"{path}/predictions_test")
@@ -73,10 +71,9 @@ def write_augment_log(spark, sf):
     path = scratch_dir(spark, "augment-log")
     files = fx.table(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id", F.lit(".mp3")).alias("file"))
     sinks.write_augment_log(augment_ops.ratio_split(files, "file", seed=SEED), path, "file", hash_order(SEED, "file"))
-    both = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(
-        f"{sinks.NOISE_FILES} array<string>, {sinks.TRANSFORMED_FILES} array<string>").json(path)
-    listed = F.create_map(F.lit("noise"), F.col(sinks.NOISE_FILES), F.lit("transform"), F.col(sinks.TRANSFORMED_FILES))
-    return both.select(F.explode(listed).alias("method", "files")).select(F.explode("files").alias("file"), "method")
+    method = F.when(F.col("key") == sinks.NOISE_FILES, "noise").otherwise("transform")
+    lists = sources.read_json_lists(spark, path, (sinks.NOISE_FILES, sinks.TRANSFORMED_FILES), "string")
+    return lists.select(F.col("value").alias("file"), method.alias("method"))
 
 
 def write_metrics(spark, sf):

@@ -57,6 +57,19 @@ def scan_json_wrapped(spark, sf):
     return files.read_json_records(spark, path, RECORD, layout="lines").select("doc_id", "title", "split", _digest())
 
 
+def scan_json_document(spark, sf):
+    """One document in parts: two lists of records, whose own fields are named like wrappers."""
+    path = scratch_dir(spark, "one-document")
+    rows = fx.contexts(spark, sf)
+    own = F.array(F.struct(F.lit(-1).alias("doc_id")))
+    record = F.struct("doc_id", "context", "title", "split", own.alias("items"), own.alias("data"))
+    section = F.when(F.col("split") == "train", 0).otherwise(1)
+    sinks.write_document(rows.select(section.alias("section"), F.col("doc_id").alias("order"),
+                                     F.to_json(record).alias("json")), path,
+                         ['{"version":"1,0","other":[1,2],"data":[', '],"test":[', '],"more":{"train":[{}]}}'])
+    return files.read_json_records(spark, path, RECORD).select("doc_id", "title", "split", _digest())
+
+
 def scan_contexts_json(spark, sf):
     path = scratch_dir(spark, "contexts")
     known = fx.contexts(spark, sf).select(fx.content_id("context").alias("context_id"), "context", "doc_id")
@@ -147,7 +160,7 @@ def media_duration(spark, sf):
 
 QUERIES = {
     "scan_jsonl_strict": scan_jsonl_strict, "scan_jsonl_lenient": scan_jsonl_lenient,
-    "scan_json_wrapped": scan_json_wrapped, "scan_contexts_json": scan_contexts_json,
+    "scan_json_wrapped": scan_json_wrapped, "scan_json_document": scan_json_document, "scan_contexts_json": scan_contexts_json,
     "load_id_set": load_id_set, "scan_splits": scan_splits, "list_media": list_media,
     "list_media_flat": list_media_flat, "scan_qa_document": scan_qa_document,
     "scan_predictions": scan_predictions, "media_duration": media_duration,
@@ -162,6 +175,7 @@ ORACLE = {
 select doc_id, case when doc_id % 10 = 0 then 'reject' else 'good' end as kind,
   case when doc_id % 10 = 0 then '' else md5(context) end as digest from f_contexts""", "f_contexts"),
     "scan_json_wrapped": fx.sql(_ROWS, "f_contexts"),
+    "scan_json_document": fx.sql(_ROWS, "f_contexts"),
     "scan_contexts_json": fx.sql(f"""
 select {fx.id_sql('context')} as context_id, md5(context) as digest from f_contexts""", "f_contexts"),
     "load_id_set": fx.sql(f"""

@@ -1,4 +1,8 @@
-"""Read, write and normalise one field of a record, addressed by a dotted path."""
+"""Read, write and normalise one field of a record, addressed by a dotted path.
+
+A path leads through the columns and structs of a table, and on through the objects of a VARIANT column: there each row
+has its own keys and types, and what a path finds is decided row by row.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echoloom.functions import variants
 from echoloom.functions.text import simple_normalizer
 
 Normalizer = Callable[[Column], Column]
@@ -59,13 +64,38 @@ def _at(path: str) -> Column:
     return c
 
 
+def _into_variant(schema: T.StructType, path: str) -> tuple[str, str] | None:
+    """The path of the VARIANT column that a path leads into, and the path inside it."""
+    parts = path.split(".")
+    for n in range(1, len(parts)):
+        if isinstance(_type_at(schema, ".".join(parts[:n])), T.VariantType):
+            return ".".join(parts[:n]), ".".join(parts[n:])
+    return None
+
+
+def _as_variant(df: DataFrame, value: Column) -> Column:
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    if isinstance(kind, T.VariantType):
+        return value
+    nested = isinstance(kind, (T.StructType, T.MapType, T.ArrayType))
+    return F.to_variant_object(value) if nested else value.cast("variant")
+
+
 def get_nested(df: DataFrame, path: str) -> Column:
-    """The value at a path, null where the path does not exist."""
+    """The value at a path, null where the path does not exist; as VARIANT inside a VARIANT column."""
+    if inside := _into_variant(df.schema, path):
+        return variants.get_path(_at(inside[0]), inside[1])
     return _at(path) if _type_at(df.schema, path) is not None else F.lit(None)
 
 
 def set_nested(df: DataFrame, path: str, value: Column) -> DataFrame:
-    """Set the value at a path; parents that are missing or no struct are made."""
+    """Set the value at a path; parents that are missing or no struct (no object in a VARIANT column) are made.
+
+    A VARIANT value that is no object itself stays as it is.
+    """
+    if inside := _into_variant(df.schema, path):
+        column, rest = inside
+        return set_nested(df, column, variants.set_path(_at(column), rest, _as_variant(df, value)))
     head, *rest = path.split(".")
 
     def build(parts: list[str], current: Column | None, kind: T.DataType | None) -> Column:
@@ -86,8 +116,12 @@ def normalize_field(df: DataFrame, path: str = "context",
                     normalizer: Normalizer = simple_normalizer) -> DataFrame:
     """Normalise a string, or each item of a string array; leave others alone.
 
-    A normaliser that runs in Python brings its form for arrays as ``each``.
+    Inside a VARIANT column this is decided row by row, item by item. A normaliser
+    that runs in Python brings its form for arrays as ``each``.
     """
+    if inside := _into_variant(df.schema, path):
+        column, rest = inside
+        return _put(df, column, variants.change_text(_at(column), rest, normalizer, getattr(normalizer, "each", None)))
     kind = _type_at(df.schema, path)
     if isinstance(kind, T.StringType):
         new = normalizer(_at(path))
@@ -96,6 +130,11 @@ def normalize_field(df: DataFrame, path: str = "context",
         new = each(_at(path))
     else:
         return df
+    return _put(df, path, new)
+
+
+def _put(df: DataFrame, path: str, new: Column) -> DataFrame:
+    """Replace the value at a path that exists."""
     head, *rest = path.split(".")
     if rest:
         # A null parent has no such path: withField keeps it null.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echoloom.functions.variants import to_line
 from echoloom.operators.spread import blocked_rank, by_width
 from echoloom.session import materialize
 
@@ -12,8 +13,8 @@ from echoloom.session import materialize
 # Keys of the augmentation log.
 NOISE_FILES, TRANSFORMED_FILES = "esc50_files", "torch_augmented_files"
 
-# Bytes of the rows of a JSON document that one task may write to one file.
-ONE_FILE = 4 << 30
+# Bytes of a JSON document that one task writes to one file.
+PART_BYTES = 128 << 20
 
 
 def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
@@ -21,21 +22,25 @@ def write_jsonl(df: DataFrame, path: str, keep_nulls: bool = False) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(path)
 
 
+def write_records(df: DataFrame, path: str, column: str = "record") -> None:
+    """A VARIANT column as one JSON value per line, with all keys it has; replaces ``path``."""
+    df.select(to_line(F.col(column)).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_document(rows: DataFrame, path: str, frame: list[str], stored: bool = False) -> None:
-    """One JSON document in one file, from ``order, json`` rows between the texts of ``frame``.
+    """One JSON document below ``path``, from ``order, json`` rows between the texts of ``frame``.
 
     With more than two texts, ``section`` (0, 1, …) tells after which one a row
     stands; ``join`` is what stands before a row that is not the first of its
-    section, a comma by default. One JSON value cannot be written by several
-    tasks: rows of more than ``ONE_FILE`` bytes are refused before anything is
-    written, and the ``lines`` layouts take any size. Unless they come from a
-    ``stored`` table the rows are stored first, to be measured.
+    section, a comma by default. The document is written in parts of about
+    ``PART_BYTES``, one file each, by as many tasks: the files in the order of
+    their names are the document, and ``sources.documents`` reads them as one.
+    Unless they come from a ``stored`` table the rows are stored first, to be
+    measured.
     """
     sections = rows if "section" in rows.columns else rows.withColumn("section", F.lit(0))
     items = sections if stored else materialize(sections, "document-rows")
     size = items.agg(F.sum(F.octet_length("json"))).first()[0] or 0
-    if size > ONE_FILE:
-        raise ValueError(f"{size} bytes are too much for one JSON document; write layout='lines'")
     first = F.lit(False)
     for n in range(len(frame) - 1):
         start = items.where(F.col("section") == n).select(F.min("order")).scalar()
@@ -47,7 +52,10 @@ def write_document(rows: DataFrame, path: str, frame: list[str], stored: bool =
                       for n, text in enumerate(frame)])
     ends = rows.sparkSession.range(1, numPartitions=1).select(F.inline(texts))
     whole = body.unionByName(ends, allowMissingColumns=True)
-    whole.repartition(1).sortWithinPartitions("place", "order").select("value").write.mode("overwrite").option(
+    parts = -(-size // PART_BYTES) or 1
+    # Part files bear the number of their range.
+    ranges = whole.repartition(1) if parts == 1 else whole.repartitionByRange(parts, "place", "order")
+    ranges.sortWithinPartitions("place", "order").select("value").write.mode("overwrite").option(
         "maxRecordsPerFile", 0).text(path)
 
 

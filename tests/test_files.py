@@ -76,7 +76,7 @@ def test_unknown_keys_are_kept(spark, tmp_path):
     p = tmp_path / "x.json"
     p.write_text(json.dumps({"test": [{"n": 3, "z": 1.5}], "data": [{"n": 1, "more": "m"}], "test2": 0}))
     got = files.read_json_records(spark, str(p), None)
-    assert set(got.columns) == {"n", "more", "z", "test2"}
+    assert set(got.columns) == {"n", "more", "z"}  # ``test2`` is a key of the document, not of a record
     assert rows(got.select("n", "more", "z")) == [(1, "m", None), (3, None, 1.5)]
     lines = tmp_path / "x.jsonl"
     lines.write_text('{"n":1,"k":{"a":2}}\n{"n":2,"other":[1]}\n')
@@ -147,7 +147,7 @@ def test_qa_documents(spark, tmp_path):
 
 
 @pytest.mark.parametrize("merge", ["true", "false"])
-def test_one_document_is_one_file(spark, tmp_path, monkeypatch, merge):
+def test_one_document_in_parts(spark, tmp_path, monkeypatch, merge):
     df = spark.range(2000).select(F.concat(F.lit("c"), "id").alias("context_id"), F.lit("ü").alias("context"),
                                   F.col("id").alias("n")).repartition(7)
     path, setting = str(tmp_path / "d"), "spark.sql.adaptive.coalescePartitions.enabled"
@@ -157,11 +157,14 @@ def test_one_document_is_one_file(spark, tmp_path, monkeypatch, merge):
         sinks.write_contexts_json(df, path, "n")
     finally:
         spark.conf.set(setting, before)
+    assert len(glob.glob(f"{path}/part-*")) == 1
     assert files.read_contexts(spark, path, "document").select("context_id").distinct().count() == 2000
-    monkeypatch.setattr(sinks, "ONE_FILE", 1000)
-    with pytest.raises(ValueError, match="lines"):
-        sinks.write_contexts_json(df, str(tmp_path / "refused"), "n")
-    assert not (tmp_path / "refused").exists()
+    monkeypatch.setattr(sinks, "PART_BYTES", 10_000)
+    parts = str(tmp_path / "parts")
+    sinks.write_contexts_json(df, parts, "n")
+    assert len(glob.glob(f"{parts}/part-*")) > 4
+    assert json.loads(joined(parts)) == json.loads(joined(path))
+    assert rows(files.read_contexts(spark, parts, "document")) == rows(files.read_contexts(spark, path, "document"))
 
 
 def test_contexts_json(spark, tmp_path):
