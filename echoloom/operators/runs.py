@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.operators.spread import blocked_rank, split_hot
+from echoloom.operators.spread import blocked_rank, bounded, by_width
+from echoloom.session import materialize
 
 
 def logging_window_mean(df: DataFrame, every: int, value: str = "m") -> DataFrame:
@@ -51,172 +50,140 @@ def mean_of_batch_means(df: DataFrame, value: str) -> DataFrame:
             .agg(F.avg("_mean").alias("eval_loss"), F.count("*").alias("batches")))
 
 
+STATE = "struct<best:double,best_step:bigint,counter:bigint,stop:bigint,up:boolean>"
+# Rows folded at once, and summaries put together at once.
+WIDTH, GROUP = 4096, 64
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _state(best: Column, best_step: Column, counter: Column, stop: Column, up: Column) -> Column:
+    fields = {"best": best, "best_step": best_step, "counter": counter, "stop": stop, "up": up}
+    return F.struct(*[c.alias(n) for n, c in fields.items()]).cast(STATE)
+
+
+def _unset() -> Column:
+    return _state(F.lit(None), F.lit(None), F.lit(0), F.lit(None), F.lit(False))
+
+
+def _from_row(x: Column) -> Column:
+    """The state right after a row that improved."""
+    return _state(x["m"], x["step"], F.lit(0), F.lit(None), F.lit(False))
+
+
 class _Rule:
-    """When a metric value improves on the best one; a best of 0 counts as unset."""
+    """The early-stop rule as expressions; a best of 0 counts as unset."""
 
     def __init__(self, delta: float, minimize: bool, patience: int | None):
         self.delta, self.minimize, self.patience = delta, minimize, patience
 
-    def better(self, value: float, best: float) -> bool:
-        if self.minimize and best:
-            return value - best < self.delta
-        return value - best > self.delta
-
-    def first_better(self, values: np.ndarray, at: int, best: float) -> int:
-        """First index from ``at`` that improves on a set ``best``, else the length."""
-        size = 64
-        while at < len(values):
-            gap = values[at:at + size] - best
-            hits = gap < self.delta if self.minimize else gap > self.delta
-            if hits.any():
-                return at + int(hits.argmax())
-            at, size = at + size, size * 4
-        return len(values)
+    def step(self, s: Column, x: Column) -> Column:
+        """The state after one more row; ``up`` says whether the row improved."""
+        unset = F.coalesce(s["best"], F.lit(0.0)) == 0
+        held = _let(F.struct(F.when(unset, x["m"]).otherwise(s["best"]).alias("best"),
+                             F.when(unset, x["step"]).otherwise(s["best_step"]).alias("best_step")),
+                    lambda b: self._judged(s, x, b))
+        return F.when(s["stop"].isNotNull(), s).otherwise(held)
+
+    def _judged(self, s: Column, x: Column, b: Column) -> Column:
+        gap = x["m"] - b["best"]
+        better = gap > self.delta
+        if self.minimize:
+            better = F.when(b["best"] != 0, gap < self.delta).otherwise(better)
+        none, no = F.lit(None), F.lit(False)
+        idle = _state(b["best"], b["best_step"], F.lit(0), none, no)
+        if self.patience is not None:
+            idle = F.when(s["counter"] < self.patience, _state(
+                b["best"], b["best_step"], s["counter"] + 1, none, no)).otherwise(
+                _state(b["best"], b["best_step"], s["counter"], x["step"], no))
+        return F.when(F.coalesce(better, no), _state(x["m"], x["step"], F.lit(0), none, F.lit(True))).otherwise(idle)
+
+    def fold(self, rows: Column, start: Column) -> Column:
+        return F.aggregate(rows, start, self.step)
+
+    def enter(self, s: Column, head: Column) -> Column:
+        """The state after a block: its first rows one by one, up to one that improves, and from there its exit."""
+        def go(acc: Column, x: Column) -> Column:
+            after = _let(self.step(acc["s"], x), lambda t: F.struct(
+                F.when(t["up"], x["exit"]).otherwise(t).alias("s"), (t["up"] | t["stop"].isNotNull()).alias("done")))
+            return F.when(acc["done"], acc).otherwise(after)
+
+        start = F.struct(s.alias("s"), s["stop"].isNotNull().alias("done"))
+        return F.aggregate(head, start, go, lambda acc: acc["s"])
+
+
+def _heads(rule: _Rule, blocks: DataFrame) -> DataFrame:
+    """Summaries of ordered blocks ``l``: the rows an entering state can look at, each with the state it would lead to.
+
+    A block that holds more rows than ``patience`` either improves in its first ``patience + 1`` rows or ends the run
+    there; from an improvement on, nothing depends on what entered. Without patience every row is kept.
+    """
+    n = F.size("l")
+    kept = n if rule.patience is None else F.least(n, F.lit(rule.patience + 1))
+    first = F.transform(F.sequence(F.lit(1), kept), lambda i: _let(F.element_at("l", i), lambda x: F.struct(
+        x["step"].alias("step"), x["m"].alias("m"),
+        rule.fold(F.slice("l", i + 1, F.greatest(n - i, F.lit(0))), _from_row(x)).alias("exit"))))
+    return blocks.select("run_id", "block", first.alias("head"))
 
 
-def _follow(rule: _Rule, values: np.ndarray, steps: np.ndarray, at: int, best: float | None,
-            counter: int, best_step: int | None) -> tuple:
-    """Go on from row ``at`` to the next improvement, a stop or the end.
+def _compose(rule: _Rule, heads: DataFrame) -> DataFrame:
+    """Each ``GROUP`` consecutive summaries as one: the first one's rows, their exits led through the others.
 
-    Returns (next improvement or None, best, best_step, counter, stop step or None).
-    """
-    while at < len(values):
-        if best:
-            found = rule.first_better(values, at, best)
-            improved = found < len(values)
-        else:
-            best, best_step = float(values[at]), int(steps[at])
-            improved = rule.better(best, best)
-            found = at if improved else at + 1
-        waited = found - at
-        if rule.patience is not None:
-            if counter + waited > rule.patience:
-                return None, best, best_step, counter, int(steps[at + rule.patience - counter])
-            counter += waited
-        if improved:
-            return found, best, best_step, counter, None
-        at = found
-    return None, best, best_step, counter, None
-
-
-def _summarise(rule: _Rule, values: np.ndarray, steps: np.ndarray) -> dict:
-    """What a block of consecutive rows does to any state that enters it.
-
-    An entering best value meets its first improvement at a row that is better
-    than all rows of the block before it; from an improvement on, the outcome no
-    longer depends on what entered. So one outcome per such row, and one for an
-    unset best value, describe the block.
+    All blocks but a run's last hold more rows than ``patience``, so no state passes the first one untouched.
     """
-    outcome: dict[int, tuple] = {}
-
-    def after(event: int) -> tuple:
-        path = []
-        while event not in outcome:
-            path.append(event)
-            follow = _follow(rule, values, steps, event + 1, float(values[event]), 0, int(steps[event]))
-            if follow[0] is None:
-                outcome[event] = follow[1:]
-                break
-            event = follow[0]
-        for earlier in path:
-            outcome[earlier] = outcome[event]
-        return outcome[event]
-
-    running = np.minimum.accumulate(values) if rule.minimize else np.maximum.accumulate(values)
-    fresh = np.flatnonzero(np.r_[True, running[1:] != running[:-1]])
-    exits = {int(i): after(int(i)) for i in fresh[::-1]}
-    # Only a run that stops needs single rows, and it stops within patience + 1 of them.
-    keep = 0 if rule.patience is None else min(len(steps), rule.patience + 1)
-    # An unset best value takes the first row; the counter that enters is added later.
-    free = _Rule(rule.delta, rule.minimize, None)
-    event, best, best_step, _, _ = _follow(free, values, steps, 0, None, 0, None)
-    opened = after(event) if event is not None else (best, best_step, -1, None)
-    rows = [int(i) for i in fresh]
-    return {
-        "rows": len(values), "steps": steps[:keep].astype("int64").tolist(), "head": values[:keep].tolist(),
-        "at": rows, "value": values[fresh].tolist(),
-        "best": [exits[i][0] for i in rows], "best_step": [exits[i][1] for i in rows],
-        "counter": [exits[i][2] for i in rows], "stop": [exits[i][3] for i in rows],
-        "open_at": event, "open_best": opened[0], "open_best_step": opened[1],
-        "open_counter": opened[2], "open_stop": opened[3],
-    }
-
-
-_SUMMARY = ("run_id bigint, block bigint, rows bigint, steps array<bigint>, head array<double>, at array<bigint>, value array<double>, "
-            "best array<double>, best_step array<bigint>, counter array<bigint>, stop array<bigint>, "
-            "open_at bigint, open_best double, open_best_step bigint, open_counter bigint, open_stop bigint")
-_COLUMNS = [field.split()[0] for field in _SUMMARY.split(", ")]
-
-
-def _int(x: object) -> int | None:
-    return None if x is None or pd.isna(x) else int(x)
-
-
-def _enter(rule: _Rule, s: object, best: float | None, best_step: int | None, counter: int) -> tuple:
-    """Apply a block summary to the state that enters the block."""
-    if not best:
-        at = _int(s.open_at)
-        leave = (float(s.open_best), _int(s.open_best_step), _int(s.open_counter), _int(s.open_stop))
-        idle = leave[:2]
-    else:
-        k = rule.first_better(np.asarray(s.value, float), 0, best)
-        k = None if k == len(s.value) else k
-        at = None if k is None else int(s.at[k])
-        leave = None if k is None else (float(s.best[k]), int(s.best_step[k]), int(s.counter[k]), _int(s.stop[k]))
-        idle = (best, best_step)
-    waited = int(s.rows) if at is None else at
-    if rule.patience is not None and counter + waited > rule.patience:
-        # The run stops before the block's first improvement, within its head.
-        return _follow(rule, np.asarray(s.head, float), np.asarray(s.steps), 0, best, counter, best_step)[1:]
-    if at is None:
-        return *idle, counter + (waited if rule.patience is not None else 0), None
-    return leave
+    listed = F.sort_array(F.collect_list(F.struct("block", "head")))
+    grouped = heads.groupBy("run_id", F.floor(F.col("block") / F.lit(GROUP)).alias("block")).agg(listed.alias("b"))
+    rest = F.slice("b", 2, F.size("b"))
+    head = F.transform(F.get("b", F.lit(0))["head"], lambda x: F.struct(
+        x["step"].alias("step"), x["m"].alias("m"),
+        F.aggregate(rest, x["exit"], lambda s, block: rule.enter(s, block["head"])).alias("exit")))
+    return grouped.select("run_id", "block", head.alias("head"))
 
 
 def early_stopping(df: DataFrame, value: str = "m", patience: int | None = 10, delta: float = 0.0,
-                   minimize: bool = False, width: int = 50_000) -> DataFrame:
+                   minimize: bool = False, width: int = WIDTH) -> DataFrame:
     """``run_id, best, best_step, stop_step`` of each run; ``patience`` None never stops.
 
     At each step, in order: an unset or zero best value takes the step's value;
     a value better by more than ``delta`` becomes the best and clears the
     counter; otherwise the counter grows, and beyond ``patience`` the run stops.
 
-    The fold is sequential, so a run of more than ``width`` rows is cut into
-    blocks of at most twice that many, which are summarised in parallel; the short
-    summaries are then applied in order, streaming over sorted partitions.
-    ``step`` is a unique integer per run.
+    The fold is an expression over the sorted rows of a run. A run of more than
+    ``width`` rows is cut into blocks of that many, which are summarised apart;
+    a summary has at most ``patience + 1`` rows, however often the run improves,
+    and summaries are put together level by level, ``GROUP`` at a time, so no
+    task sees more than that of a run. Without patience a state may pass many
+    blocks, so a run is not cut but folded whole. ``step`` is a unique integer
+    per run.
     """
     rule = _Rule(delta, minimize, patience)
-
-    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([
-                {"run_id": b.run_id, "block": b.block, **_summarise(rule, np.asarray(b.m, float), np.asarray(b.step))}
-                for b in batch.itertuples(index=False)], columns=_COLUMNS)
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, state = None, None
-        for batch in batches:
-            done = []
-            for s in batch.itertuples(index=False):
-                if s.run_id != run:
-                    if run is not None:
-                        done.append((run, state[0], state[1], state[3]))
-                    run, state = s.run_id, (None, None, 0, None)
-                if state[3] is None:
-                    state = _enter(rule, s, *state[:3])
-            yield _result(done)
-        if run is not None:
-            yield _result([(run, state[0], state[1], state[3])])
-
-    def _result(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["run_id", "best", "best_step", "stop_step"])
-        return out.astype({"best_step": "Int64", "stop_step": "Int64", "best": "float64"})
-
-    listed = F.sort_array(F.collect_list(F.struct(
-        F.col("step").cast("bigint").alias("step"), F.col(value).cast("double").alias("m"))))
-    blocks = (split_hot(df, "run_id", "step", width, "block", "_whole")
-              .groupBy("run_id", "block").agg(listed.alias("l")))
-    summaries = blocks.select("run_id", "block", "l.step", "l.m").mapInPandas(summarise, _SUMMARY)
-    ordered = summaries.repartition("run_id").sortWithinPartitions("run_id", "block")
-    return ordered.mapInPandas(apply, "run_id bigint, best double, best_step bigint, stop_step bigint")
+    rows = df.select("run_id", F.col("step").cast("bigint").alias("step"), F.col(value).cast("double").alias("m"))
+    width = max(width, 0 if patience is None else patience + 1)
+    listed = F.sort_array(F.collect_list(F.struct("step", "m"))).alias("l")
+
+    def result(runs: DataFrame, state: Column) -> DataFrame:
+        return runs.select("run_id", state.alias("s")).select(
+            "run_id", "s.best", "s.best_step", F.col("s.stop").alias("stop_step"))
+
+    def whole(some: DataFrame) -> DataFrame:
+        return result(some.groupBy("run_id").agg(listed), rule.fold(F.col("l"), _unset()))
+
+    if patience is None:
+        return whole(rows)
+    hot = materialize(rows.groupBy(F.col("run_id").alias("_hot")).agg(F.count("*").alias("_n"))
+                      .where(F.col("_n") > width), "hot-runs")
+    longest = hot.agg(F.count("*").alias("runs"), F.max("_n").alias("n")).first()
+    if not longest.runs:
+        return whole(rows)
+    keys = bounded(hot.select("_hot"), longest.runs)
+    same = F.col("run_id").eqNullSafe(F.col("_hot"))
+    ranked = blocked_rank(rows.join(keys, same, "left_semi"), ["run_id"], ["step"], "_rank", by_width("step", width))
+    blocks = ranked.withColumn("block", F.floor((F.col("_rank") - 1) / F.lit(width))).groupBy("run_id", "block").agg(
+        listed)
+    heads, last = materialize(_heads(rule, blocks), "run-heads"), (longest.n - 1) // width
+    while last:
+        heads, last = materialize(_compose(rule, heads), "run-heads"), last // GROUP
+    return whole(rows.join(keys, same, "left_anti")).unionByName(result(heads, rule.enter(_unset(), F.col("head"))))

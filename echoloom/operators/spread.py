@@ -58,7 +58,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     )
     # Every hot key is split; the table of them is broadcast only if a count finds it small.
     hot = materialize(counts, "hot-keys")
-    hot = _bounded(hot, hot.count())
+    hot = bounded(hot, hot.count())
     probe = (
         left.withColumn("_task", F.spark_partition_id())
         .join(hot, F.col(key) == F.col("_hot"), "left")
@@ -120,7 +120,7 @@ def blocked_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return blocked_sum(df, keys, order, name, block).withColumn(name, F.col(name) + 1)
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
+def bounded(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint for a table whose rows were counted and are few enough."""
     return F.broadcast(df) if rows <= BROADCAST_KEYS else df
 
@@ -140,7 +140,7 @@ def split_hot(df: DataFrame, key: str, order: str, limit: int, part: str, whole:
     if n == 0:
         return df.withColumns({part: F.lit(0).cast("bigint"), whole: F.lit(True)})
     runs = (
-        df.join(_bounded(hot, n), F.col(key).eqNullSafe(F.col("_hot")), "left_semi")
+        df.join(bounded(hot, n), F.col(key).eqNullSafe(F.col("_hot")), "left_semi")
         .groupBy(F.col(key).alias("_hot"), by_width(order, limit).alias("_run")).agg(F.count("*").alias("_rows"))
     )
     wide = by_width("_run", limit * 100_000)
@@ -148,7 +148,7 @@ def split_hot(df: DataFrame, key: str, order: str, limit: int, part: str, whole:
     parts = materialize(placed.select("_hot", "_run", F.floor(F.col("_earlier") / F.lit(limit)).alias("_part")),
                         "hot-parts")
     same = F.col(key).eqNullSafe(F.col("_hot")) & (by_width(order, limit) == F.col("_run"))
-    joined = df.join(_bounded(parts, parts.count()), same, "left")
+    joined = df.join(bounded(parts, parts.count()), same, "left")
     return joined.withColumns({
         part: F.coalesce("_part", F.lit(0).cast("bigint")), whole: F.col("_part").isNull(),
     }).drop("_hot", "_run", "_part")

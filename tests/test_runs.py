@@ -50,11 +50,27 @@ def test_early_stopping(spark, patience, delta, minimize):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "run_id bigint, step int, m double")
     want = {run: fold(ms, patience, delta, minimize) for run, ms in data.items()}
-    for width in (5, 50_000):
+    for width in (5, runs.WIDTH):
         got = runs.early_stopping(df, "m", patience, delta, minimize, width)
         assert {r.run_id: (r.best, r.best_step, r.stop_step) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("minimize,delta", [(False, 0.3), (True, -0.3), (False, 0.0)])
+def test_long_runs_level_by_level(spark, monkeypatch, minimize, delta):
+    """Blocks of blocks; a run that improves at every step leaves summaries of ``patience + 1`` rows."""
+    monkeypatch.setattr(runs, "GROUP", 3)
+    rng = random.Random(3)
+    sign = -1 if minimize else 1
+    data = {1: [sign * i / 2 for i in range(1, 300)], 2: [sign * i / 10 for i in range(200)],
+            3: [rng.choice([0.0, 1.0, -1.0, 2.0]) for _ in range(250)], None: [float(i % 9) for i in range(120)], 4: [1.0]}
+    df = spark.createDataFrame([(r, s, m) for r, ms in data.items() for s, m in enumerate(ms, 1)],
+                               "run_id bigint, step int, m double")
+    want = {run: fold(ms, 6, delta, minimize) for run, ms in data.items()}
+    got = runs.early_stopping(df, "m", 6, delta, minimize, 8)
+    assert {r.run_id: (r.best, r.best_step, r.stop_step) for r in got.collect()} == want
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+
+
 def test_log_windows(spark):
     df = spark.createDataFrame([(r, s, float(s * r)) for r in (1, 2) for s in range(1, 24)],
                                "run_id bigint, step int, m double")
