@@ -11,11 +11,11 @@ from echoloom.operators import evaluate as ops
 
 def _truths(spark, sf):
     kept = F.filter("answers.text", lambda t: t != "")
-    return fx.qa(spark, sf).select(F.col("uit_id").alias("id"), kept.alias("truths"))
+    return fx.qa(spark, sf).select(F.col("uit_id").alias("id"), kept.alias("truths"), "ord")
 
 
 def _scores(spark, sf):
-    return ops.question_scores(_truths(spark, sf), fx.predictions(spark, sf))
+    return ops.question_scores(_truths(spark, sf), fx.predictions(spark, sf), order="ord")
 
 
 def per_question_scores(spark, sf):
@@ -40,8 +40,9 @@ def exact_match(spark, sf):
 def _pairs(spark, sf):
     """Every question with its first answer; a missing prediction is an empty one."""
     truth = fx.qa(spark, sf).select(F.col("uit_id").alias("id"), F.transform(
-        "answers.text", lambda t: F.struct(t.alias("text"))).alias("answers")).transform(ops.first_truths)
-    return ops.strict_prediction_join(truth, fx.predictions(spark, sf, missing=""))
+        "answers.text", lambda t: F.struct(t.alias("text"))).alias("answers"), "ord").transform(
+            ops.first_truths, "ord")
+    return ops.strict_prediction_join(truth, fx.predictions(spark, sf, missing=""), order="ord")
 
 
 def strict_prediction_join(spark, sf):

@@ -65,7 +65,7 @@ def predictions(spark: SparkSession, sf: str, missing: str | None = None) -> Dat
     if missing is None:
         rows = rows.where(kind != 3)
     answer = F.when(kind == 3, missing).otherwise(answer)
-    return rows.select(F.col("uit_id").alias("id"), answer.alias("prediction"))
+    return rows.select(F.col("uit_id").alias("id"), answer.alias("prediction"), "ord")
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.functions.text import content_id, is_blank, py_strip
-from echoloom.operators.spread import lookup_join
+from echoloom.operators.spread import lookup_join, pick_rows
 
 
 def nonblank(df: DataFrame, column: str = "context") -> DataFrame:
@@ -29,21 +29,14 @@ def distinct_contexts(df: DataFrame, order: str) -> DataFrame:
 
 
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row per key in ``order``, pre-aggregated before the shuffle."""
-    rest = [c for c in df.columns if c != key]
-    picked = F.min_by(F.struct(*rest), F.col(order))
-    return df.groupBy(key).agg(picked.alias("_row")).select(key, "_row.*").select(*df.columns)
+    """The first row per key in ``order``, which tells the rows of a key apart."""
+    return pick_rows(df, key, order, last=False)
 
 
 def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """A dictionary: the last non-null ``key``/``value`` pair per key in ``order``.
-
-    Null values lose by their order and go after the aggregate; filtering them
-    first would compute a derived value twice.
-    """
-    latest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
-    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(latest.alias(value))
-            .where(F.col(value).isNotNull()))
+    """A dictionary: the last non-null ``key``/``value`` pair per key in ``order``, which tells the rows of a key apart."""
+    known = df.where(F.col(key).isNotNull())
+    return pick_rows(known, key, order, among=F.col(value).isNotNull()).select(key, value)
 
 
 def distinct_ids(df: DataFrame, column: str = "context_id") -> DataFrame:
@@ -64,9 +57,14 @@ def replace_contexts(df: DataFrame, dictionary: DataFrame, hot_rows: int | None
     left to adaptive execution unless ``hot_rows`` is given. ``known`` is true for a hit, false for a miss, null for blank text.
     Of several ids for one text the last wins, by ``order`` or in the order of the scan.
     """
-    place = F.monotonically_increasing_id() if order is None else F.col(order)
-    digests = last_wins(dictionary.select(F.sha2("context", 256).alias("_digest"), F.col("context_id").alias(
-        "_known_id"), place.alias("_place")), "_digest", "_known_id", "_place")
+    pairs = dictionary.select(F.sha2("context", 256).alias("_digest"), F.col("context_id").alias("_known_id"),
+                              *([] if order is None else [F.col(order).alias("_place")]))
+    if order is None:
+        # An id of the scan holds within one pass, so the pair travels with it.
+        placed = pairs.dropna().withColumn("_place", F.monotonically_increasing_id())
+        digests = placed.groupBy("_digest").agg(F.max_by("_known_id", "_place").alias("_known_id"))
+    else:
+        digests = last_wins(pairs, "_digest", "_known_id", "_place")
     marked = df.withColumn("_digest", F.when(~is_blank("context"), F.sha2(py_strip("context"), 256)))
     joined = lookup_join(marked, digests, "_digest", hot_rows=hot_rows)
     hit = F.col("_known_id").isNotNull()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.functions.scores import best_scores, verdict
-from echoloom.operators.spread import lookup_join
+from echoloom.operators.spread import lookup_join, pick_rows
 
 # (true answer, predicted answer) -> aggregate over all questions.
 SetMetric = Callable[[Column, Column], Column]
@@ -20,10 +20,14 @@ def truths(df: DataFrame) -> DataFrame:
 
 
 def last_rows(df: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """The last row of each key, null being a key, by ``order`` or in the order of the scan."""
+    """The last row of each key, null being a key, by ``order``, or in the order of the scan where ``df`` is one.
+
+    Behind a shuffle rows have no order of their own: name a column of the source then (``spread.number_rows``).
+    """
+    if order is not None:
+        return pick_rows(df, key, order)
     rest = [c for c in df.columns if c != key]
-    place = F.monotonically_increasing_id() if order is None else F.col(order)
-    placed = df.select(key, F.struct(*rest).alias("_row"), place.alias("_place"))
+    placed = df.select(key, F.struct(*rest).alias("_row"), F.monotonically_increasing_id().alias("_place"))
     return placed.groupBy(key).agg(F.max_by("_row", "_place").alias("_row")).select(key, "_row.*").select(*df.columns)
 
 
@@ -55,20 +59,22 @@ def em_f1(scores: DataFrame) -> DataFrame:
     )
 
 
-def first_truths(df: DataFrame) -> DataFrame:
-    """``id, truth`` with the first answer, empty text if there is none."""
+def first_truths(df: DataFrame, *kept: str) -> DataFrame:
+    """``id, truth`` with the first answer, empty text if there is none; and the columns ``kept``."""
     first = F.get("answers", F.lit(0))["text"]
     return df.select("id", F.coalesce(first, F.lit("")).alias("truth"),
-                     *[c for c in ("question",) if c in df.columns])
+                     *[c for c in ("question",) if c in df.columns], *kept)
 
 
-def strict_prediction_join(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+def strict_prediction_join(truth: DataFrame, predictions: DataFrame, order: str | None = None) -> DataFrame:
     """Truth with its prediction; the job fails on the first id without one.
 
     The check is part of the join's projection, so it costs no second pass. Of
-    several truths, or predictions, with one id the last in the scan counts.
+    several truths, or predictions, with one id the last counts, by ``order`` (a
+    column of both) or in the order of the scan.
     """
-    joined = lookup_join(last_rows(truth), last_rows(predictions).select("id", "prediction"), "id")
+    said = last_rows(predictions, order=order).select("id", "prediction")
+    joined = lookup_join(last_rows(truth, order=order), said, "id")
     missing = F.raise_error(F.concat(F.lit("no prediction for question "), F.coalesce("id", F.lit("null"))))
     return joined.withColumn("prediction", F.coalesce("prediction", missing.cast("string")))
 

@@ -74,6 +74,20 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return probe.join(build, [key, "_salt"], how).drop("_salt")
 
 
+def pick_rows(df: DataFrame, key: str, order: str, last: bool = True, among: Column | None = None) -> DataFrame:
+    """The last (or first) row of each key, null being a key, by ``order``, a column that tells its rows apart.
+
+    Only keys and numbers are grouped, in a hash aggregate whose map-side combine leaves one row per key and task; the
+    rows themselves then meet their key's place. Rows of a large key spread over tasks, since the place is part of the
+    join, and few winners are broadcast, so that texts do not move. ``among`` says which rows count. ``order`` must be
+    a column of the source: it is read twice, and an id made on the way could differ the second time.
+    """
+    place = F.col(order) if among is None else F.when(among, F.col(order))
+    best = df.groupBy(F.col(key).alias("_key")).agg((F.max if last else F.min)(place).alias("_place"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_place"))
+    return df.join(best, same, "left_semi")
+
+
 def _with_block_totals(df: DataFrame, keys: Sequence[str], block: Column, weight: Column) -> DataFrame:
     """Add ``_block`` and ``_before``, the weight of the key's earlier blocks.
 

@@ -24,6 +24,30 @@ def test_last_prediction_and_truth_count(spark):
     assert (judged.correct, judged.similar, judged.incorrect) == (2, 0, 0)
 
 
+def test_the_order_is_a_column_of_the_source(spark):
+    """After a shuffle only a column tells which row was the last."""
+    rows = [(f"k{i % 50}", f"v{i}", i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id string, prediction string, n long").repartition(7, "prediction")
+    last = {k: v for k, v, _ in rows}
+    first = {k: v for k, v, _ in reversed(rows)}
+    assert {r.id: r.prediction for r in evaluate.last_rows(df, order="n").collect()} == last
+    assert {r.id: r.prediction for r in contexts.first_seen(df, "id", "n").collect()} == first
+    latest = contexts.last_wins(df, "id", "prediction", "n")
+    assert {r.id: r.prediction for r in latest.collect()} == last
+    truth = spark.createDataFrame([(k, v, 0) for k, v in last.items()], "id string, truth string, n long")
+    judged = evaluate.verdict_counts(evaluate.verdicts(evaluate.strict_prediction_join(truth, df, "n"))).first()
+    assert judged.correct == 50
+
+
+def test_winners_are_picked_without_sorting_texts(spark, capsys):
+    df = spark.createDataFrame([("k", "text", 1), ("k", None, 2), (None, "x", 3)], "k string, v string, n long")
+    for plan in (contexts.last_wins(df, "k", "v", "n"), contexts.first_seen(df, "k", "n")):
+        plan.explain()
+        assert "SortAggregate" not in capsys.readouterr().out
+    assert [tuple(r) for r in contexts.last_wins(df, "k", "v", "n").collect()] == [("k", "text")]
+    assert sorted(r.n for r in contexts.first_seen(df, "k", "n").collect()) == [1, 3]
+
+
 def test_last_id_of_a_text_wins(spark):
     rows = one(spark, [(1, "t"), (2, "other")], "n int, context string")
     known = one(spark, [("old", "t"), ("new", "t")], "context_id string, context string")
