@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from echoloom.functions.signal import snr_mix
 from echoloom.functions.text import hash_order, hash_pick, hash_unit
 from echoloom.operators.speech import assign
-from echoloom.operators.spread import hash_cut, hash_rank, lookup_join
+from echoloom.operators.spread import hash_cut, hash_rank
 
 # The transforms a file of the second branch may get.
 TRANSFORMS = ("ColouredNoise", "BandPassFilter", "BandStopFilter", "Gain", "LowPassFilter", "Normalization")
@@ -54,14 +54,14 @@ def augment_plan(files: DataFrame, clips: DataFrame, key: str, ratio: float = NO
                  seed: int | str = 0, sample_rate: int = PITCH_SAMPLE_RATE) -> DataFrame:
     """One table for both branches: ``method``, and its clip and weight or its transform.
 
-    ``clips`` has ``idx`` and ``clip``. Files of the other branch get no slot and
-    so no clip, without a second scan or a union.
+    ``clips`` has ``idx`` and ``clip``; any ``idx`` will do, and an empty catalogue
+    fails the job if a file needs a clip. Files of the other branch get no clip,
+    without a second scan or a union.
     """
     noisy = F.col("method") == "noise"
-    slot = hash_pick(clips.select(F.count("*")).scalar(), f"{seed}-clip", key)
-    slotted = ratio_split(files, key, ratio, seed).withColumn("_slot", F.when(noisy, slot))
+    split = ratio_split(files, key, ratio, seed)
     return (
-        lookup_join(slotted, clips.select(F.col("idx").alias("_slot"), "clip"), "_slot").drop("_slot")
+        assign(split, clips.select("idx", "clip"), key, f"{seed}-clip", among=noisy)
         .withColumn("weight", F.when(noisy, noise_weight(key, seed)))
         .withColumn("transform", F.when(~noisy, transform_name(key, seed, sample_rate)))
     )

@@ -98,8 +98,9 @@ def voice_type(name: ColumnLike) -> Column:
     return F.when(neural, "NEURAL").otherwise("STANDARD")
 
 
-def assign(df: DataFrame, catalogue: DataFrame, key: str, seed: int | str, index: str = "idx") -> DataFrame:
-    """Give each row one catalogue entry, chosen by a hash of ``key`` and ``seed``.
+def assign(df: DataFrame, catalogue: DataFrame, key: str, seed: int | str, index: str = "idx",
+           among: Column | None = None) -> DataFrame:
+    """Give each row (of ``among``) one catalogue entry, chosen by a hash of ``key`` and ``seed``.
 
     Entries are numbered 0..n-1 in the order of ``index``, whatever its values; n
     is a subquery, and an empty catalogue fails the job. The join is an equi-join on
@@ -109,9 +110,14 @@ def assign(df: DataFrame, catalogue: DataFrame, key: str, seed: int | str, index
     n = catalogue.select(F.count("*")).scalar()
     entries = blocked_rank(catalogue, [], [index], "_slot", by_width(index, 100_000)).withColumn(
         "_slot", F.col("_slot") - 1).drop(index)
-    filled = F.when(n > 0, F.lit(True)).otherwise(F.raise_error(F.lit("the catalogue is empty")).cast("boolean"))
-    slot = hash_pick(F.greatest(n, F.lit(1)), seed, key)
-    return df.where(filled).withColumn("_slot", slot.cast("bigint")).join(entries, "_slot", "left").drop("_slot")
+    fits = (n > 0) if among is None else (n > 0) | ~F.coalesce(among, F.lit(False))
+    # A filter, since a join with an empty table needs no slot and would not fail.
+    filled = F.when(fits, F.lit(True)).otherwise(F.raise_error(F.lit("the catalogue is empty")).cast("boolean"))
+    slot = hash_pick(F.greatest(n, F.lit(1)), seed, key).cast("bigint")
+    if among is None:
+        return df.where(filled).withColumn("_slot", slot).join(entries, "_slot", "left").drop("_slot")
+    # Rows without an entry have no slot: they are spread, not gathered.
+    return lookup_join(df.where(filled).withColumn("_slot", F.when(among, slot)), entries, "_slot").drop("_slot")
 
 
 def synthesis_metadata(contexts: DataFrame, voices: DataFrame, seed: int | str = 0,

@@ -110,6 +110,18 @@ def test_augment_plan(spark):
     assert max(len(r["files"]) for r in log) <= 20
 
 
+@pytest.mark.parametrize("idx", [[1, 2, 3], [0, 5, 9], [-4, 100, 7]])
+def test_augment_plan_takes_any_numbering(spark, idx):
+    files = spark.range(100).select(F.concat(F.lit("f"), "id").alias("file"))
+    clips = spark.createDataFrame([(i, f"n{i}") for i in idx], "idx int, clip string")
+    plan = augment.augment_plan(files, clips, "file").collect()
+    noisy = [r.clip for r in plan if r.method == "noise"]
+    assert len(noisy) == 33 and set(noisy) == {f"n{i}" for i in idx}
+    assert all(r.clip is None for r in plan if r.method != "noise")
+    with pytest.raises(Exception, match="catalogue is empty"):
+        augment.augment_plan(files, clips.where("false"), "file").collect()
+
+
 def test_signals(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0]), ([1.0], [2.0, 9.0]), ([0.0, 0.0], [0.0, 0.0]), ([], [1.0])],
                                "x array<double>, n array<double>")
