@@ -10,9 +10,12 @@ Texts are compared in lower case, with every run of blanks and ASCII marks as on
 stay where they are read: the index of the pieces goes to them, in parts of at most ``INDEX_BYTES``; a benchmark of
 several parts is several passes over the documents.
 
-Defined cases: a null or empty text holds nothing; null or empty items, and items shorter than ``MIN_BYTES`` after
-that cleaning, are not searched for; repeated rows give repeated results; empty tables give no rows; long texts are
-read whole.
+An item shorter than ``MIN_BYTES`` after that cleaning has no edits to spare: it is found where it stands exactly, as
+whole words.
+
+Defined cases: a null or empty text holds nothing; an item that is null or empty after cleaning holds nothing to search
+for; an item without an id is one with a null id; rows of one id are one item; repeated rows give repeated results;
+empty tables give no rows; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -52,9 +55,10 @@ def clean(text: str | None) -> np.ndarray:
 
 
 def pieces_of(text: str | None) -> list[bytes]:
+    """Pieces to search for; one that begins and ends with a blank is to be found exactly."""
     raw = clean(text).tobytes()
     if len(raw) < MIN_BYTES:
-        return []
+        return [b" " + raw + b" "] if raw else []
     if len(raw) <= PIECE:
         return [raw]
     starts = [*range(0, len(raw) - PIECE, STEP), len(raw) - PIECE]
@@ -81,13 +85,25 @@ def _slot(values: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """q-grams of pieces, sorted, with the pieces and places they occur at."""
-
-    def __init__(self, pieces: list[tuple[int, bytes]]):
-        self.items = np.array([i for i, _ in pieces], np.int64)
+    """q-grams of pieces, sorted, with the pieces and places they occur at; ``item`` is a number, ``ids`` has its id."""
+
+    def __init__(self, pieces: list[tuple[int | None, bytes]]):
+        numbers: dict[int | None, int] = {}
+        items = [numbers.setdefault(i, len(numbers)) for i, _ in pieces]
+        self.ids = pa.array(list(numbers), pa.int64())
+        # Pieces without a whole q-gram are looked up as runs of words.
+        small = [len(p) < Q for _, p in pieces]
+        self.words: dict[bytes, list[int]] = {}
+        for (_, p), item, tiny in zip(pieces, items, small):
+            if tiny:
+                self.words.setdefault(p.strip(), []).append(item)
+        self.runs = sorted({w.count(b" ") + 1 for w in self.words})
+        pieces = [p for p, tiny in zip(pieces, small) if not tiny]
+        self.items = np.array([i for i, tiny in zip(items, small) if not tiny], np.int64)
         self.pieces = [p for _, p in pieces]
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.budgets = (self.lengths * EDIT_RATE).astype(np.int64)
+        exact = np.array([p[:1] == p[-1:] == b" " and len(p) < MIN_BYTES + 2 for p in self.pieces], bool)
+        self.budgets = np.where(exact, 0, (self.lengths * EDIT_RATE).astype(np.int64))
         values = [grams(np.frombuffer(p, np.uint8))[:len(p) - Q + 1] for p in self.pieces]
         flat = np.concatenate([np.zeros(0, np.uint64), *values])
         piece = np.repeat(np.arange(len(pieces)), [len(v) for v in values])
@@ -150,11 +166,21 @@ class Index:
         best = final.argmin(axis=1)
         return final[np.arange(len(piece)), best], diagonal + best
 
+    def _tiny(self, number: int, text: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        words = text.tobytes().split(b" ")
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+        for n in self.runs:
+            for i in range(len(words) - n + 1):
+                for item in self.words.get(b" ".join(words[i:i + n]), ()):
+                    yield number, item, starts[i], starts[i + n] - 1, 0
+
     def search(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """(text, item, start, end, edits) of pieces found in cleaned texts."""
-        gap = np.zeros(_GAP, np.uint8)
+        # A blank on either side, so that words at the ends are whole words.
+        gap = np.zeros(_GAP + 2, np.uint8)
+        gap[[0, -1]] = 32
         raw = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
-        begins = np.cumsum([_GAP, *(len(t) + _GAP for t in texts)])
+        begins = np.cumsum([len(gap), *(len(t) + len(gap) for t in texts)])
         piece, diagonal = self.candidates(raw)
         out = []
         for at in range(0, len(piece), 4096):
@@ -166,6 +192,8 @@ class Index:
             text = np.searchsorted(begins, np.maximum(end + self.lengths[p] // 2, 0), side="right") - 1
             start = np.maximum(end, begins[text])
             out.append((text, self.items[p], start - begins[text], stop - begins[text], edits))
+        if self.runs and (tiny := [row for i, t in enumerate(texts) for row in self._tiny(i, t)]):
+            out.append(tuple(np.array(c, np.int64) for c in zip(*tiny)))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
 
 
@@ -174,7 +202,7 @@ def indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> list:
     context = benchmark.sparkSession.sparkContext
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     parts, held, size = [], [], 0
-    for row in rows.where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
+    for row in rows.where("text is not null").orderBy("item_id").toLocalIterator():
         pieces = pieces_of(row.text)
         held += [(row.item_id, p) for p in pieces]
         size += sum(map(len, pieces))
@@ -205,7 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_B
                 spread = np.append(True, start[1:] > start[:-1] + STEP // 2)
                 spread[first] = True
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id").take(pa.array(text[first])), pa.array(item[first]),
+                    [column(batch, "doc_id").take(pa.array(text[first])), part.value.ids.take(pa.array(item[first])),
                      pa.array(np.add.reduceat(spread.astype(np.int64), first)),
                      pa.array(np.minimum.reduceat(edits, first)), pa.array(start[first]), pa.array(stop[first])], names)
 

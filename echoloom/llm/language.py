@@ -35,20 +35,47 @@ SMOOTH = 5.0
 # Weight of an even spread in the models and the likelihoods.
 FLOOR = 0.5
 
-_DROP = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_HIDDEN = re.compile(r"<(script|style|noscript|template)\b|<!--", re.I)
+_COMMENT = "!"
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")} | {
+    _COMMENT: re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?\s*([a-zA-Z]{2,3})\b""", re.I)
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"""\slang\s*=\s*["']?\s*([a-zA-Z]{2,3})\b""", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
+def _without_hidden(page: str) -> str:
+    """The page with a blank for each script, style or comment that is closed; linear, since an end that is not found
+    once is not looked for again."""
+    out, begin, at, open_ended = [], 0, 0, set()
+    while m := _HIDDEN.search(page, at):
+        name, at = (m[1] or _COMMENT).lower(), m.end()
+        if name in open_ended:
+            continue
+        if close := _CLOSE[name].search(page, at):
+            out += [page[begin:m.start()], " "]
+            begin = at = close.end()
+        else:
+            open_ended.add(name)
+    return "".join([*out, page[begin:]])
+
+
 def visible_text(page: str | None) -> str:
-    return entities.unescape(_TAG.sub(" ", _DROP.sub(" ", page or "")))
+    shown = _without_hidden(page or "")
+    end = shown.rfind(">") + 1  # what opens behind it is no tag
+    return entities.unescape(_TAG.sub(" ", shown[:end]) + shown[end:])
 
 
 def declared_language(page: str | None) -> str | None:
-    found = _DECLARED.search(page or "")
-    return found[1].lower() if found else None
+    page, at = page or "", 0
+    while m := _HTML.search(page, at):
+        end = page.find(">", m.end())
+        at = end if end >= 0 else len(page)
+        if found := _LANG.search(page, m.end(), at):
+            return found[1].lower()
+    return None
 
 
 def address(url: str | None) -> tuple[str | None, str | None, str | None]:

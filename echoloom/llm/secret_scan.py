@@ -54,11 +54,13 @@ _LEX = re.compile(
     r"""|(?P<add>\+|\.\.)"""
     r"""|(?P<end>[\n;,{}])"""
     r"""|(?P<other>[^\s])""", re.ASCII)
-_BARE = re.compile(r"[A-Za-z0-9+/_.=\-]{6,}", re.ASCII)
+_BARE = re.compile(r"[A-Za-z0-9+/_.=\-]*", re.ASCII)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PARTS = re.compile(r"[^A-Za-z0-9]+", re.ASCII)
 _KEYWORDS = frozenset(("const", "let", "var", "export", "final", "static", "string", "str", "set", "public"))
 _BINDS = frozenset(("=", ":", ":=", "=>"))
+# Attributes that name what another attribute of the element holds.
+_LABELS, _VALUES = frozenset(("key", "name", "id")), frozenset(("value", "content"))
 _LEX_HINT = re.compile("|".join(
     ("passw", "passphrase", "pwd", "secret", "token", "api", "credential", "private", "access", "bearer", "auth",
      "key")))
@@ -84,8 +86,9 @@ def name_score(name: str) -> float:
     """How likely the name holds a secret: its strongest part, or two neighbouring parts as one word."""
     parts = [p.lower() for piece in _PARTS.split(name) if piece for p in _CAMEL.split(piece) if p]
     joined = [a + b for a, b in zip(parts, parts[1:])]
-    single = [NAME_SCORES.get(p, 0.0) for p in parts]
-    return max([*single, *(NAME_SCORES.get(p, 0.0) for p in joined), min(1.0, sum(sorted(single)[-2:]))], default=0.0)
+    known = lambda p: NAME_SCORES.get(p, NAME_SCORES.get(p.removesuffix("s"), 0.0))
+    single = [known(p) for p in parts]
+    return max([*single, *map(known, joined), min(1.0, sum(sorted(single)[-2:]))], default=0.0)
 
 
 def literal_score(value: str) -> float:
@@ -102,37 +105,66 @@ def literal_score(value: str) -> float:
 Literal = tuple[int, int, str]
 
 
+class _Bare:
+    """Unquoted literals: runs of characters that one may have, each measured once."""
+
+    def __init__(self, text: str):
+        self.text, self.end, self.digit = text, 0, -1
+
+    def at(self, start: int) -> Literal | None:
+        """The literal from ``start`` to the end of its run, if long enough and with a digit."""
+        text = self.text
+        if start >= self.end:
+            self.end = _BARE.match(text, start).end()
+            self.digit = max(text.rfind(d, start, self.end) for d in "0123456789")
+        if self.end - start < LITERAL_LENGTH or self.digit < start:
+            return None
+        if text[self.end - 1] == "=" and text[self.end:self.end + 1] in ('"', "'", "`"):
+            return None  # a name that is bound to the string after it
+        return start, self.end, text[start:self.end]
+
+
 def bindings(text: str) -> Iterator[tuple[list[str], list[Literal], list[str]]]:
     """(target names, literals, names) of each assignment in the text, in order.
 
     A target is a name or quoted key before a binding sign; ``a = b = "x"`` has two. A value is literals and names
-    added up; it runs to the end of the line or statement.
+    added up, the arguments of a call or the items of a list; it runs to the end of the line or statement. Of an
+    element with a labelled value (``key="x" value="y"``) the label is a target too. An unquoted literal is one token,
+    so each character is read a fixed number of times.
     """
-    before, targets, literals, names, expect, last = "", [], [], [], False, ""
-    for m in _LEX.finditer(text):
-        kind, got = m.lastgroup, m[0]
+    before, targets, literals, names, expect, last, label = "", [], [], [], False, "", ""
+    bare, at, inside = _Bare(text), 0, 0
+    while m := _LEX.search(text, at):
+        kind, got, at = m.lastgroup, m[0], m.end()
         if kind == "bind" and got in _BINDS:
             if targets and last == "name":
                 targets.append(names.pop())
             else:
                 if literals or names:
                     yield targets, literals, names
+                if targets and targets[-1].lower() in _LABELS and literals:
+                    label = literals[-1][2]
                 targets = [before] if before else []
-            literals, names, expect, last = [], [], bool(targets), ""
-        elif kind == "end":
+                if label and before.lower() in _VALUES:
+                    targets.append(label)
+            literals, names, expect, last, inside = [], [], bool(targets), "", 0
+        elif kind == "end" and not (got == "," and inside):
             if targets and (literals or names):
                 yield targets, literals, names
-            before, targets, literals, names, expect, last = "", [], [], [], False, ""
-        elif kind == "add":
+            before, targets, literals, names, expect, last, label, inside = "", [], [], [], False, "", "", 0
+        elif kind in ("add", "end"):
             expect = bool(targets)
+        elif targets and got in ("(", "[") and (expect or last == "name"):
+            expect, inside = True, inside + 1
+        elif got in (")", "]") and inside:
+            expect, inside = False, inside - 1
         elif expect and kind == "string":
             literals.append((m.start() + 1, m.end() - 1, got[1:-1]))
             expect, last, before = False, "string", got[1:-1]
-        elif expect and got not in "([":
-            bare = _BARE.match(text, m.start())
-            if bare and any(c.isdigit() for c in bare[0]):
-                literals.append((bare.start(), bare.end(), bare[0]))
-                last = "bare"
+        elif expect:
+            if found := bare.at(m.start()):
+                literals.append(found)
+                last, at = "bare", max(at, found[1])
             if kind == "name":
                 names.append(got)
                 last, before = "name", got

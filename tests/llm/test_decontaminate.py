@@ -18,6 +18,13 @@ def edits_within(piece, text):
     return min(row)
 
 
+def held(piece, body):
+    """Short items stand in a text exactly, as whole words; other pieces within their edits."""
+    if piece[:1] == piece[-1:] == b" ":
+        return piece in b" " + body + b" "
+    return edits_within(piece, b" " + body + b" ") <= ops.budget(len(piece))
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice(["tion", "er", "an", "é", "st", "he"]) for _ in range(rng.randrange(1, 4)))
                     for _ in range(n))
@@ -48,7 +55,7 @@ def test_leaks_equal_brute_force(spark, docs, index_bytes):
     for d, t in rows:
         body = ops.clean(t).tobytes()
         for i, text in items:
-            if i is not None and any(edits_within(p, body) <= ops.budget(len(p)) for p in ops.pieces_of(text)):
+            if any(held(p, body) for p in ops.pieces_of(text)):
                 want.add((d, i))
     got = [(r.doc_id, r.item_id) for r in ops.find_leaks(table, bench, index_bytes).collect()]
     assert set(got) == want and len(got) == len(want) > 5
@@ -58,6 +65,19 @@ def test_leaks_equal_brute_force(spark, docs, index_bytes):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in rows if d not in leaked), key=str)
 
 
+@pytest.mark.parametrize("index_bytes", [1 << 20, 10])
+def test_short_items_and_items_without_an_id(spark, docs, index_bytes):
+    items = [(1, "Two words"), (2, "a 12-byte one"), (3, "x"), (None, "Which river, then?"), (None, "another of these"),
+             (4, "word " * 400), (5, "thirty-nine bytes of text, not a byte more")]
+    rows = [(1, "here two, WORDS stand"), (2, "two wordsmiths"), (3, "A 12 byte one."), (4, "x-ray"), (5, "axe"),
+            (6, "which river then"), (7, "which rivers then"), (8, "another of these"), (9, "word " * 399 + "words word"),
+            (10, "thirty nine bytes of text not a byte more"), (11, None), (None, "X")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in ops.find_leaks(docs(rows), bench, index_bytes).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (None, 3), (6, None), (8, None), (9, 4), (10, 5)}
+    assert {r.doc_id for r in ops.keep_unleaked(docs(rows), bench, index_bytes).collect()} == {2, 5, 7, 11}
+
+
 def test_lemma_holds():
     """Stretches within the budget always share enough q-grams in one band."""
     rng = random.Random(5)

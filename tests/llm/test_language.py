@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -87,3 +88,19 @@ def test_address_and_declaration():
     assert ops.address("nowhere") == (None, None, None) == ops.address("http:///x")
     assert ops.declared_language('<html class="x" lang="pt-BR">') == "pt"
     assert ops.declared_language("<html><p lang='de'>") is None
+
+
+@pytest.mark.parametrize("page", ["<" * 4_000_000, "<script >" * 400_000, "<html " * 600_000, "<!--" * 900_000,
+                                  "<style>x" * 400_000 + "</style>", "<a " * 900_000 + ">"])
+def test_long_pages_take_linear_time(page):
+    start = time.perf_counter()
+    ops.visible_text(page)
+    ops.declared_language(page)
+    assert time.perf_counter() - start < 10
+
+
+def test_hidden_parts_and_tags():
+    page = "<!-- a --><p>x<SCRIPT t>b</script >y<style>c<style>d</style>z<script>e <b>f</b> 1 < 2"
+    assert ops.visible_text(page).split() == ["x", "y", "z", "e", "f", "1", "<", "2"]
+    assert ops.declared_language('<html><HTML class="a" lang = "de-AT">') == "de"
+    assert ops.declared_language("<html x <html lang=fr") == "fr" and ops.declared_language("<html><p lang=en>") is None

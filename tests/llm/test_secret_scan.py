@@ -1,5 +1,8 @@
 import hashlib
 import re
+import time
+
+import pytest
 
 from echoloom.llm import secret_scan as ops
 from tests.llm.conftest import AWKWARD
@@ -66,3 +69,23 @@ def test_mask_keeps_rows_and_columns(docs):
     assert ops.mask("a password = hunter2hunter2!") == "a password = [SECRET]!"
     assert out.where("doc_id = 7").first().n_chars == len("password = [SECRET] and [SECRET]")
     assert out.where("doc_id = 4").count() == 3
+
+
+@pytest.mark.parametrize("text,want", [
+    ("api_key = aB3cdefg+dE4fghij/gH5ijklm", ["aB3cdefg+dE4fghij/gH5ijklm"]),
+    ('client_secret = get_secret("Zx81kq!aa9")', ["Zx81kq!aa9"]),
+    ('<add key="dbPassword" value="Zx81kq!aa9"/>', ["Zx81kq!aa9"]),
+    ('passwords = ["Zx81kq!aa9", "Qq22ww!!ee"]', ["Zx81kq!aa9", "Qq22ww!!ee"]),
+    ("secret = foo+bar", []), ('<add key="colour" value="Zx81kq!aa9"/>', []),
+])
+def test_calls_lists_labels_and_bare_literals(text, want):
+    assert [text[a:b] for a, b, _ in ops.literal_spans(text)] == want
+
+
+@pytest.mark.parametrize("text", ["apikey=" + "aB3c+" * 200_000, "apikey=" + "aBcd+" * 200_000, "token = " + "A9b/" * 250_000,
+                                  'token=("' + "a1,b2+" * 100_000, 'secret = "' + "\\" * 500_000])
+def test_long_texts_take_linear_time(text):
+    start = time.perf_counter()
+    found = ops.literal_spans(text)
+    assert time.perf_counter() - start < 10
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
