@@ -35,7 +35,7 @@ from echoloom.llm.token_files import gather
 from echoloom.session import scratch_dir
 
 # Bytes of text whose distinct words are numbered together.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 10 << 20
 # Distinct words leave a block in this many rows at most, some kilobytes each, however many tasks encode them.
 BUCKETS = 96
 # Distinct words that a task remembers; beyond, it starts anew, which changes the work only.
