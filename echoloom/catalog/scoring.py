@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from echoloom.catalog import fixtures as fx
+from echoloom.operators import features as feature_ops
 from echoloom.operators import qa as qa_ops
 from echoloom.operators import scoring as ops
 
@@ -22,6 +25,27 @@ def chunk_answer_spans(spark, sf):
     return spans.select("uit_id", "i", "chunk", "start", "start_position", "end_position")
 
 
+PIECE, IDS, FIRST_ID = 4, 30_000, 10
+
+
+def piece_tokenizer(words: list[str]) -> list[list[tuple[int, int]]]:
+    """A stand-in for a vocabulary: pieces of four characters, their ids from a digest."""
+    def token(piece: str) -> tuple[int, int]:
+        return int(hashlib.md5(piece.encode()).hexdigest()[:6], 16) % IDS + FIRST_ID, len(piece)
+
+    return [[token(w[i:i + PIECE]) for i in range(0, len(w), PIECE)] for w in words]
+
+
+def model_inputs(spark, sf):
+    rows = fx.qa(spark, sf).select("uit_id", "question", "context", F.col("a1").alias("answer"),
+                                   F.lit(0).alias("answer_start"))
+    made = feature_ops.model_inputs(rows, piece_tokenizer, feature_ops.Special(1, 2, 0), 96, 32, 24)
+    digest = lambda name: F.md5(F.array_join(name, ",")).alias(name)
+    return made.select("uit_id", "chunk", *map(digest, ("input_ids", "attention_mask", "token_type_ids", "p_mask")),
+                       "cls_index", "is_impossible", "start_position", "end_position",
+                       F.size("token_ends").alias("n"))
+
+
 def lexical_scores(question: list[str], words: list[str]) -> tuple[list[float], list[float]]:
     """A deterministic stand-in for a model: words near words of the question score high."""
     asked = {w.lower().strip(".,;:!?") for w in question}
@@ -72,6 +96,7 @@ def score_answers(spark, sf):
 
 
 QUERIES = {
+    "model_inputs": model_inputs,
     "chunk_contexts": chunk_contexts, "chunk_answer_spans": chunk_answer_spans, "nbest_spans": nbest_spans,
     "trim_null_answer": trim_null_answer, "attach_results": attach_results, "score_answers": score_answers,
 }
@@ -149,7 +174,43 @@ def answers_sql(asked: str, n: int) -> dict[str, str]:
     }
 
 
+def _piece_ids_sql(text: str) -> str:
+    pieces = (f"flatten(list_transform({fx.words_sql(text)}, lambda w: list_transform(range(0, (len(w) + 3) // 4), "
+              "lambda i: substr(w, (i * 4 + 1)::int, 4))))")
+    return f"list_transform({pieces}, lambda p: ('0x' || substr(md5(p), 1, 6))::bigint % {IDS} + {FIRST_ID})"
+
+
+_FEATURES = {
+    "coded": f"select uit_id, a1, list_slice({_piece_ids_sql('question')}, 1, 24) as q, {_piece_ids_sql('context')} as c, "
+             f"len({_piece_ids_sql('a1')}) as a from f_qa",
+    "sized": "select *, 93 - len(q) as room from coded where len(c) > 0",
+    "cuts": "select *, unnest(range(0, 1 + ceil(greatest(len(c) - room, 0) / 32.0)::bigint)) as chunk from sized",
+    "cut": "select *, list_slice(c, chunk * 32 + 1, chunk * 32 + room) as w from cuts",
+    "filled": "select *, 93 - len(q) - len(w) as fill from cut",
+}
+
+
+def _joined(*parts: str) -> str:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = f"list_concat({whole}, {part})"
+    return f"md5(array_to_string({whole}, ','))"
+
+
+def _many(value: int, size: str) -> str:
+    return f"list_transform(range(0, {size}), lambda v: {value}::bigint)"
+
+
 ORACLE = {
+    "model_inputs": fx.sql(f"""
+select uit_id, chunk::int as chunk, {_joined("[1::bigint]", "q", "[2::bigint]", "w", "[2::bigint]", _many(0, "fill"))} as input_ids,
+  {_joined(_many(1, "len(q) + len(w) + 3"), _many(0, "fill"))} as attention_mask,
+  {_joined(_many(0, "len(q) + 2"), _many(1, "len(w) + 1"), _many(0, "fill"))} as token_type_ids,
+  {_joined(_many(0, "1"), _many(1, "len(q) + 1"), _many(0, "len(w)"), _many(1, "fill + 1"))} as p_mask,
+  0::int as cls_index, a1 = '' as is_impossible,
+  case when a1 <> '' and chunk = 0 and a <= len(w) then len(q) + 2 else 0 end::int as start_position,
+  case when a1 <> '' and chunk = 0 and a <= len(w) then len(q) + 1 + a else 0 end::int as end_position,
+  len(w)::int as n from filled""", "f_qa", **_FEATURES),
     "score_answers": fx.sql("""
 select id, rank, round(score, 6) as score, start, "end", text,
   round(wt / sum(wt) over (partition by id), 6) as probability from answers_""", "f_qa",

@@ -14,7 +14,7 @@ from echoloom.functions.text import ColumnLike, col, let, tokens
 Scorer = Callable[[pd.Series, pd.Series], tuple[Iterable[list[float]], Iterable[list[float]]]]
 
 
-def chunk_starts(n: Column, length: Column, stride: int) -> Column:
+def chunk_starts(n: Column, length: Column, stride: Column | int) -> Column:
     """0, stride, … up to the first chunk that reaches the end; none for no word."""
     steps = F.ceil(F.greatest(n - length, F.lit(0)) / F.lit(stride)).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), steps), lambda i: i * stride)).otherwise(

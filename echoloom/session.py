@@ -84,6 +84,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """Store a table in sorted buckets of ``key``: joins on it then read it without a shuffle.
+
+    Buckets need a table name while they are written; the name goes at once, the files and what the frame knows of them
+    stay.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", scratch_dir(spark, label)).saveAsTable(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A path below the scratch folder that no earlier run used."""
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
