@@ -307,16 +307,19 @@ def read_tokens(manifest: DataFrame, folder: str, read_docs: int = READ_DOCS) ->
         for batch in batches:
             for row in batch.to_pylist():
                 file = TokenFile(f"{folder}/{row['file']}")
-                first = row["block"] * read_docs
-                last = min(first + read_docs, row["docs"])
-                bounds = file.bounds(first, last)
-                ids = file.read_ids(int(bounds[0]), int(bounds[-1])).astype("<u4")
-                cuts = bounds - bounds[0]
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+                try:
+                    first = row["block"] * read_docs
+                    last = min(first + read_docs, row["docs"])
+                    bounds = file.bounds(first, last)
+                    ids = file.read_ids(int(bounds[0]), int(bounds[-1])).astype("<u4")
+                    cuts = bounds - bounds[0]
+                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+                    keys = file.doc_ids(first, last)
+                finally:
+                    file.close()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids(first, last), pa.int64()), pa.array(bounds[:-1] + row["start"]),
+                    [pa.array(keys, pa.int64()), pa.array(bounds[:-1] + row["start"]),
                      pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names)
-                file.close()
 
     return map_arrow(blocks.repartition(tasks, "file", "block"), run,
                      "doc_id long, start long, n_tokens long, ids_crc32 long")
