@@ -26,7 +26,7 @@ def queries() -> dict[str, Query]:
 
 # Sizes and positions are 32-bit integers in Spark and 64-bit in DuckDB.
 INTEGERS = {
-    "py_strip": ["n"], "flatten_hypotheses": ["segments"], "synthesis_metadata": ["context_length"],
+    "py_strip": ["n"], "flatten_hypotheses": ["segments"], "synthesis_metadata": ["context_length"], "write_synthesis_metadata": ["context_length"],
     "normalize_array_field": ["starts"], "nested_get_set": ["words"], "zip_answers": ["n"],
     "answerable_only": ["answers"],
     "chunk_contexts": ["chunk", "start", "n"],

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from echoloom.catalog import fixtures as fx
 from echoloom.operators import runs as ops
-from echoloom.operators.spread import by_width
+from echoloom.operators.spread import by_widths
 
 PATIENCE, DELTA = 10, 0.5
 
@@ -33,7 +33,7 @@ def early_stopping_minimize(spark, sf):
 
 def _batches(spark, sf):
     events = fx.table(spark, sf, "events").select("event_id", "value")
-    return ops.batch_assign(events, "event_id", 8, by_width("event_id", 100_000))
+    return ops.batch_assign(events, "event_id", 8, by_widths("event_id", 100_000))
 
 
 def batch_assign(spark, sf):

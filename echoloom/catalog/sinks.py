@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from echoloom.catalog import augment as augment_queries
 from echoloom.catalog import evaluate as evaluate_queries
 from echoloom.catalog import fixtures as fx
+from echoloom.catalog import runs as run_queries
+from echoloom.catalog import speech as speech_queries
 from echoloom.catalog.augment import SEED
 from echoloom.functions.text import hash_order
 from echoloom.operators import augment as augment_ops
@@ -86,10 +88,28 @@ def write_metrics(spark, sf):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+def write_synthesis_metadata(spark, sf):
+    """One line per context to synthesise, read back."""
+    path = scratch_dir(spark, "synthesis")
+    made = speech_queries.synthesis_metadata(spark, sf)
+    sinks.write_jsonl(made, path)
+    return sources.read_jsonl(spark, path, made.schema)
+
+
+def write_progress(spark, sf):
+    """The loss of each logging window as CSV with a header, read back."""
+    path = scratch_dir(spark, "progress")
+    made = run_queries.logging_window_mean(spark, sf)
+    sinks.write_progress(made, path)
+    return spark.read.schema(made.schema).option("header", True).option("enforceSchema", False).option(
+        "mode", "FAILFAST").csv(path)
+
+
 QUERIES = {
     "roundtrip_jsonl": roundtrip_jsonl, "write_contexts_json": write_contexts_json,
     "write_qa_document": write_qa_document, "export_splits": export_splits,
     "write_predictions": write_predictions, "write_augment_log": write_augment_log, "write_metrics": write_metrics,
+    "write_synthesis_metadata": write_synthesis_metadata, "write_progress": write_progress,
 }
 
 _REPORT = evaluate_queries.ORACLE["em_f1"]
@@ -136,3 +156,5 @@ select key || ' = ' || printf('%.4f', value) as line from (
   unpivot (select questions::double as questions, answered::double as answered, rejected::double as rejected,
     exact_match::double as exact_match, f1::double as f1 from ({_REPORT})) on columns(*) into name key value value)""",
 }
+ORACLE["write_synthesis_metadata"] = speech_queries.ORACLE["synthesis_metadata"]
+ORACLE["write_progress"] = run_queries.ORACLE["logging_window_mean"]

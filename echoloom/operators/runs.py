@@ -38,7 +38,7 @@ def best_checkpoint(df: DataFrame, value: str = "m", minimize: bool = False) ->
     return df.groupBy("run_id").agg(first.alias("_b")).select("run_id", "_b.step", "_b.best")
 
 
-def batch_assign(df: DataFrame, order: str, batch_size: int, block: Column) -> DataFrame:
+def batch_assign(df: DataFrame, order: str, batch_size: int, block: Column | list[Column]) -> DataFrame:
     """Add ``batch``: consecutive groups of ``batch_size`` rows in ``order``."""
     return (blocked_rank(df, [], [order], "_rank", block)
             .withColumn("batch", F.floor((F.col("_rank") - 1) / F.lit(batch_size))).drop("_rank"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from echoloom.functions.text import hash_order
 from echoloom.session import materialize
 
+# Digits of a hash that cut rows into shares at once, and the digits that are used at most; blocks of a coarser block.
+DIGITS, HASH_DIGITS, SHARES = 3, 30, 4096
+# Rows of a share that one task sorts.
+SHARE_ROWS = 1 << 16
 # Largest counted number of keys that is broadcast.
 BROADCAST_KEYS = 100_000
 
@@ -88,23 +93,30 @@ def pick_rows(df: DataFrame, key: str, order: str, last: bool = True, among: Col
     return df.join(best, same, "left_semi")
 
 
-def _with_block_totals(df: DataFrame, keys: Sequence[str], block: Column, weight: Column) -> DataFrame:
-    """Add ``_block`` and ``_before``, the weight of the key's earlier blocks.
+def _with_block_totals(df: DataFrame, keys: Sequence[str], blocks: Sequence[Column], weight: Column) -> DataFrame:
+    """Add ``_block``, the finest of nested blocks, and ``_before``, the weight of the key's earlier blocks.
 
-    The sizes form one row per (key, block); only that table is summed in order.
+    The sizes form one row per (key, block), which are summed in order within the next coarser block, whose sizes are
+    summed within the one above: a task sees the blocks of one coarser block.
     """
-    marked = df.withColumn("_block", block)
-    group = [*keys, "_block"]
-    names = [f"_g{i}" for i in range(len(group))]
-    earlier = Window.partitionBy(*names[:-1]).orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        marked.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)]).agg(F.sum(weight).alias("_weight"))
-        .select(*names, F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_before"))
-    )
-    same = F.lit(True)
-    for c, n in zip(group, names):
-        same = same & F.col(c).eqNullSafe(F.col(n))
-    return marked.join(totals, same, "left").drop(*names)
+    names = [*(f"_block{i}" for i in range(len(blocks) - 1)), "_block"]
+    marked = df.withColumns(dict(zip(names, blocks)))
+    held = {c: f"_g{i}" for i, c in enumerate([*keys, *names])}
+    sizes = marked.groupBy(*[F.col(c).alias(n) for c, n in held.items()]).agg(F.sum(weight).alias("_weight"))
+    totals = None
+    for level in range(len(names), 0, -1):
+        group = list(held.values())[:len(keys) + level]
+        earlier = Window.partitionBy(*group[:-1]).orderBy(group[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        own = sizes if level == len(names) else sizes.groupBy(*group).agg(F.sum("_weight").alias("_weight"))
+        before = own.select(*group, F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_before"))
+        if totals is None:
+            totals = before
+            continue
+        above = before.select(*[F.col(g).alias(f"_u{g}") for g in group], F.col("_before").alias("_above"))
+        same = reduce(lambda x, y: x & y, (F.col(g).eqNullSafe(F.col(f"_u{g}")) for g in group))
+        totals = totals.join(above, same).select(*held.values(), (F.col("_before") + F.col("_above")).alias("_before"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(n)) for c, n in held.items()))
+    return marked.join(totals, same, "left").drop(*held.values(), *names[:-1])
 
 
 def by_width(order: str, width: int) -> Column:
@@ -113,23 +125,33 @@ def by_width(order: str, width: int) -> Column:
     return value - F.pmod(value, F.lit(width).cast("bigint"))
 
 
-def blocked_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, block: Column,
-                weight: Column | None = None) -> DataFrame:
+def by_widths(order: str, width: int) -> list[Column]:
+    """Nested blocks of consecutive values: ``SHARES`` blocks of ``width`` in each coarser one."""
+    return [by_width(order, width * SHARES), by_width(order, width)]
+
+
+def _blocks(block: Column | Sequence[Column]) -> list[Column]:
+    return [block] if isinstance(block, Column) else list(block)
+
+
+def blocked_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
+                block: Column | Sequence[Column], weight: Column | None = None) -> DataFrame:
     """Running total of ``weight`` over the rows before this one, per key.
 
     Equals a window over the key ordered by ``order``, without bringing a key
     into one task: ``block`` never decreases along ``order`` and its rows fit a
     task; totals run within (key, block), and earlier blocks add their sums.
+    Where blocks are too many for one task, ``block`` is a list, coarse to fine.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
-    totals = _with_block_totals(df, keys, block, weight)
+    totals = _with_block_totals(df, keys, _blocks(block), weight)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(name, F.coalesce(F.sum(weight).over(inside), F.lit(0)) + F.col("_before")).drop(
         "_block", "_before")
 
 
 def blocked_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
-                 block: Column) -> DataFrame:
+                 block: Column | Sequence[Column]) -> DataFrame:
     """1-based ``row_number()`` per key, computed like ``blocked_sum``."""
     return blocked_sum(df, keys, order, name, block).withColumn(name, F.col(name) + 1)
 
@@ -168,41 +190,49 @@ def split_hot(df: DataFrame, key: str, order: str, limit: int, part: str, whole:
     }).drop("_hot", "_run", "_part")
 
 
-def hash_rank(df: DataFrame, keys: Sequence[str], seed: int | str, name: str, digits: int = 3) -> DataFrame:
+def _hash_blocks(rows: int, digits: int, share_rows: int) -> list[Column]:
+    """Blocks of ``_h`` by its first digits, ``digits`` more at each level, until a block has ``share_rows`` rows."""
+    used = 0
+    while rows >> (4 * used) > share_rows and used < HASH_DIGITS:
+        used += digits
+    return [F.left("_h", F.lit(d)) for d in range(digits, used + 1, digits)] or [F.lit("")]
+
+
+def hash_rank(df: DataFrame, keys: Sequence[str], seed: int | str, name: str, digits: int = DIGITS,
+              share_rows: int = SHARE_ROWS) -> DataFrame:
     """Position of each row in a repeatable shuffle, 1-based and gap-free.
 
-    ``keys`` must tell rows apart. The first hex digits of the hash cut the rows
-    into ``16 ** digits`` equal shares, which are ranked as blocks.
+    ``keys`` must tell rows apart. The rows are counted; the digits of the hash
+    cut them into equal nested blocks that fit a task, however many rows there are.
     """
     marked = df.withColumn("_h", hash_order(seed, *keys))
-    return blocked_rank(marked, [], ["_h", *keys], name, F.left("_h", F.lit(digits))).drop("_h")
+    return blocked_rank(marked, [], ["_h", *keys], name, _hash_blocks(df.count(), digits, share_rows)).drop("_h")
 
 
-def hash_cut(df: DataFrame, keys: Sequence[str], seed: int | str, ratio: float, name: str,
-             digits: int = 3) -> DataFrame:
+def hash_cut(df: DataFrame, keys: Sequence[str], seed: int | str, ratio: float, name: str, digits: int = DIGITS,
+             share_rows: int = SHARE_ROWS) -> DataFrame:
     """True for the first ``int(n * ratio)`` rows of the repeatable shuffle.
 
-    Finds the hash of the last row inside the cut from the share sizes, at most
-    ``16 ** digits`` rows, and the one share that holds it, then compares: the
-    rows themselves are not shuffled. ``keys`` must tell rows apart.
+    Finds the hash of the last row inside the cut by rounds: the rows that share
+    the digits found so far are counted by their next ones, at most ``16 ** digits``
+    numbers to the driver, until a share is small enough to sort. Then rows are
+    compared with it: they are not shuffled. ``keys`` must tell rows apart.
     """
     marked = df.withColumn("_h", hash_order(seed, *keys))
-    hashes = marked.select("_h", F.left("_h", F.lit(digits)).alias("_share"))
-    before = Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1))
-    boundary = (
-        hashes.groupBy("_share").agg(F.count("*").alias("_size"))
-        .select("_share", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-                F.floor(F.sum("_size").over(everything) * F.lit(ratio)).alias("_wanted"))
-        .where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_before") + F.col("_size")))
-        .select("_share", (F.col("_wanted") - F.col("_before")).alias("_nth"))
-    )
-    last = (
-        hashes.join(F.broadcast(boundary), "_share")
-        .withColumn("_n", F.row_number().over(Window.partitionBy("_share").orderBy("_h")))
-        .where(F.col("_n") == F.col("_nth")).select("_h")
-    )
-    return marked.withColumn(name, F.coalesce(F.col("_h") <= last.scalar(), F.lit(False))).drop("_h")
+    prefix, wanted, size = "", None, None
+    while size is None or (size > share_rows and len(prefix) < HASH_DIGITS):
+        share = F.left("_h", F.lit(len(prefix) + digits))
+        counts = sorted(map(tuple, marked.where(F.col("_h").startswith(prefix)).groupBy(share).count().collect()))
+        if wanted is None:
+            wanted = int(sum(n for _, n in counts) * ratio)
+            if wanted <= 0:
+                return df.withColumn(name, F.lit(False))
+        for prefix, size in counts:  # noqa: B020
+            if wanted <= size:
+                break
+            wanted -= size
+    last = marked.where(F.col("_h").startswith(prefix)).select("_h").orderBy("_h").offset(wanted - 1).limit(1)
+    return marked.withColumn(name, F.col("_h") <= F.lit(last.first()[0])).drop("_h")
 
 
 def number_rows(files: DataFrame, name: str = "ord") -> DataFrame:

@@ -77,16 +77,27 @@ def test_split_hot(spark, monkeypatch, broadcast_keys):
     assert ordinary.where("p <> 0 or not whole").count() == 0 and ordinary.count() == 2000
 
 
-@pytest.mark.parametrize("ratio", [0.0, 0.33, 0.5, 1.0])
-def test_hash_rank_and_cut(spark, ratio):
+@pytest.mark.parametrize("share_rows", [3, spread.SHARE_ROWS])
+@pytest.mark.parametrize("ratio", [0.0, 0.33, 1.0])
+def test_hash_rank_and_cut(spark, ratio, share_rows):
     df = spark.range(1003).select(F.concat(F.lit("f"), "id").alias("f")).repartition(4)
-    ranked = spread.hash_rank(df, ["f"], 5, "n", digits=2)
+    ranked = spread.hash_rank(df, ["f"], 5, "n", 2, share_rows)
     by_rank = [r.f for r in ranked.orderBy("n").collect()]
     assert sorted(r.n for r in ranked.collect()) == list(range(1, 1004))
-    cut = {r.f for r in spread.hash_cut(df, ["f"], 5, ratio, "c", digits=2).collect() if r.c}
+    cut = {r.f for r in spread.hash_cut(df, ["f"], 5, ratio, "c", 2, share_rows).collect() if r.c}
     assert cut == set(by_rank[:int(1003 * ratio)])
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_nested_blocks(spark, keys):
+    df = _table(spark)
+    blocks = [spread.by_width("at", w) for w in (600, 120, 20)]
+    plain = spread.blocked_sum(df, keys, ["at"], "s", spread.by_width("at", 20), F.col("w"))
+    nested = spread.blocked_sum(df, keys, ["at"], "s", blocks, F.col("w"))
+    assert sorted(map(str, nested.select("at", "s").collect())) == sorted(map(str, plain.select("at", "s").collect()))
+    assert nested.columns == plain.columns
+
+
 def test_index_from_zero(spark):
     df = spark.createDataFrame([(c,) for c in "abcdef"], "c string")
     assert sorted(r.idx for r in spread.index_from_zero(df, "c").collect()) == list(range(6))
