@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from echoloom.catalog import fixtures as fx
@@ -65,7 +66,35 @@ def extra_metrics(spark, sf):
     return report
 
 
+LONGEST = 4095
+
+
+class LengthDistance:
+    """Largest difference between the shares of truths and of predictions up to a length (Kolmogorov-Smirnov)."""
+
+    def zero(self):
+        return np.zeros((2, LONGEST + 1), np.int64)
+
+    def update(self, state, truth, prediction):
+        for row, texts in zip(state, (truth, prediction)):
+            row += np.bincount(texts.str.len().clip(upper=LONGEST), minlength=LONGEST + 1)
+        return state
+
+    def merge(self, one, other):
+        return one + other
+
+    def finish(self, state):
+        shares = state.cumsum(axis=1) / np.maximum(state.sum(axis=1, keepdims=True), 1)
+        return float(np.abs(shares[0] - shares[1]).max())
+
+
+def whole_set_metric(spark, sf):
+    distance = ops.whole_set_metric(_pairs(spark, sf), LengthDistance(), "distance")
+    return distance.withColumn("distance", F.round("distance", 9))
+
+
 QUERIES = {
+    "whole_set_metric": whole_set_metric,
     "em_f1": em_f1, "per_question_scores": per_question_scores, "token_f1": token_f1,
     "exact_match": exact_match, "strict_prediction_join": strict_prediction_join,
     "verdicts": verdicts, "verdict_counts": verdict_counts, "extra_metrics": extra_metrics,
@@ -130,3 +159,11 @@ select {COUNTS}, round(avg(case when prediction <> '' then 1.0::double else 0.0:
   round(avg(abs(length(truth) - length(prediction))), 6) as length_gap from judged""",
                             "f_qa", "f_predictions", pairs=_PAIRS, judged=_JUDGED),
 }
+
+ORACLE["whole_set_metric"] = fx.sql(f"""
+select round(max(abs(t - p)), 9) as distance from (
+  select sum(t) over (order by n) / sum(t) over () as t, sum(p) over (order by n) / sum(p) over () as p from (
+    select n, sum(t)::double as t, sum(p)::double as p from (
+      select least(length(truth), {LONGEST}) as n, 1 as t, 0 as p from pairs
+      union all select least(length(prediction), {LONGEST}), 0, 1 from pairs) group by n))""",
+                                    "f_qa", "f_predictions", pairs=_PAIRS)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
+from typing import Any, Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.functions.scores import best_scores, verdict
 from echoloom.operators.spread import lookup_join, pick_rows
+from echoloom.session import materialize
 
 # (true answer, predicted answer) -> aggregate over all questions.
 SetMetric = Callable[[Column, Column], Column]
@@ -92,3 +96,64 @@ def verdict_counts(judged: DataFrame, **metrics: SetMetric) -> DataFrame:
     counts = [F.count_if(F.col("verdict") == v).alias(v) for v in ("correct", "similar", "incorrect")]
     extra = [build(F.col("truth"), F.col("prediction")).alias(name) for name, build in metrics.items()]
     return judged.agg(*counts, *extra)
+
+
+class WholeSetMetric(Protocol):
+    """A metric over all answers that is no aggregate expression. Its state must stay small, whatever it has seen."""
+
+    def zero(self) -> Any:
+        """The state before any answer."""
+
+    def update(self, state: Any, truth: pd.Series, prediction: pd.Series) -> Any:
+        """The state after a batch of answers."""
+
+    def merge(self, one: Any, other: Any) -> Any:
+        """The state after the answers of both; which comes first must not matter."""
+
+    def finish(self, state: Any) -> float:
+        """The metric."""
+
+
+# States that one task merges.
+MERGE_STATES = 64
+
+
+def whole_set_metric(pairs: DataFrame, metric: WholeSetMetric, name: str = "value") -> DataFrame:
+    """One row with the metric over all ``truth, prediction`` rows.
+
+    Each task folds what it reads into one state; states are merged ``MERGE_STATES`` at a time, level by level, so no
+    task sees all answers, nor all states.
+    """
+    def fold(batches):
+        from pyspark import TaskContext
+
+        state = metric.zero()
+        for batch in batches:
+            state = metric.update(state, batch["truth"], batch["prediction"])
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "state": [pickle.dumps(state)]})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        states = [pickle.loads(s) for s in rows["state"]]
+        whole = states[0]
+        for state in states[1:]:
+            whole = metric.merge(whole, state)
+        return pd.DataFrame({"part": [rows["part"].iloc[0] // MERGE_STATES], "state": [pickle.dumps(whole)]})
+
+    schema = "part bigint, state binary"
+    folded = pairs.select("truth", "prediction").mapInPandas(fold, schema)
+    # A state of no answers: a table without tasks has a metric too.
+    none = pairs.sparkSession.createDataFrame([(0, bytearray(pickle.dumps(metric.zero())))], schema)
+    states = materialize(folded.unionByName(none), "metric-states")
+    last = states.agg(F.max("part")).first()[0]
+    while True:
+        group = F.floor(F.col("part") / F.lit(MERGE_STATES)).alias("group")
+        states = states.groupBy(group).applyInPandas(merge, schema)
+        last //= MERGE_STATES
+        if not last:
+            break
+
+    @F.pandas_udf("double")
+    def finish(state: pd.Series) -> pd.Series:
+        return state.map(lambda s: metric.finish(pickle.loads(s)))
+
+    return states.select(finish("state").alias(name))

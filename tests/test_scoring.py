@@ -149,3 +149,29 @@ def test_verdicts_and_metrics(spark):
     assert report.first().asDict() == {"correct": 1, "similar": 2, "incorrect": 1, "size": 11}
     with pytest.raises(Exception, match="no prediction for question d"):
         evaluate.strict_prediction_join(evaluate.first_truths(truth), guess.where("id <> 'd'")).collect()
+
+
+def test_whole_set_metric_merges_states_in_levels(spark, monkeypatch):
+    """A metric that is no expression: the median distance of answer lengths, from counts."""
+    monkeypatch.setattr(evaluate, "MERGE_STATES", 3)
+    rows = [("a" * (i % 7), "b" * (i % 11)) for i in range(500)]
+    df = spark.createDataFrame(rows, "truth string, prediction string").repartition(14)
+
+    class Median:
+        def zero(self):
+            return {}
+
+        def update(self, state, truth, prediction):
+            for gap in (truth.str.len() - prediction.str.len()).abs():
+                state[gap] = state.get(gap, 0) + 1
+            return state
+
+        def merge(self, one, other):
+            return {k: one.get(k, 0) + other.get(k, 0) for k in one.keys() | other.keys()}
+
+        def finish(self, state):
+            return float(sorted(k for k, n in state.items() for _ in range(n))[sum(state.values()) // 2]) if state else -1.0
+
+    gaps = sorted(abs(len(a) - len(b)) for a, b in rows)
+    assert evaluate.whole_set_metric(df, Median()).first().value == gaps[250]
+    assert evaluate.whole_set_metric(df.where("false"), Median()).first().value == -1.0
