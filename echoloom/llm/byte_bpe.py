@@ -20,7 +20,6 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +27,6 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from echoloom.llm.batches import blocks, doc_rows, map_arrow
 from echoloom.llm.token_files import gather
