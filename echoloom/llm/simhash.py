@@ -19,6 +19,7 @@ empty table gives no rows; long texts are fingerprinted whole.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 
 from echoloom.llm.batches import column, doc_rows, fresh, map_arrow, materialize, texts_of
 from echoloom.llm.components import connected
-from echoloom.llm.shingle_links import shingle_components
-from echoloom.operators.spread import lookup_join
+from echoloom.llm.shingle_links import in_blocks, meetings, profiles, shingle_components, within_parities
 
 SHINGLE = 4
 SEED = 42
@@ -281,22 +281,62 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _print_pairs(prints: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
-    """Pairs ``a, b`` of nodes to compare: those of equal fingerprints with the least one, and least ones of near ones."""
-    least = materialize(prints.groupBy("print").agg(F.min("node").alias("least")), "prints")
-    equal = lookup_join(prints.select("print", "node"), least, "print", "inner").where("node <> least")
-    one, two = (least.select(F.col("print").alias(n), F.col("least").alias(f"node_{n}")) for n in ("a", "b"))
-    near = near_links(least, key_rows).distinct().join(one, "a").join(two, "b").select("node_a", "node_b")
-    pairs = equal.select("node", "least").union(near).toDF("x", "y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def near_pairs(runs: np.ndarray, sides: np.ndarray, labels: np.ndarray, prints: np.ndarray, sizes: np.ndarray,
+               odd: np.ndarray, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one run, of different labels and not on one side above 0, with near fingerprints and parities.
+
+    ``spanning`` takes the labels of a pair for one from then on: the pairs still connect all that are connected.
+    """
+    found_a, found_b, shift = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+    bits = prints.view(np.uint64)
+    alive = np.arange(len(runs))
+    while True:
+        alive = alive[:np.searchsorted(alive, len(runs) - shift)]
+        alive = alive[runs[alive] == runs[alive + shift]]
+        if not len(alive):
+            return np.concatenate(found_a), np.concatenate(found_b)
+        other = alive + shift
+        ask = (labels[alive] != labels[other]) & ((sides[alive] != sides[other]) | (sides[alive] == 0))
+        ask[ask] = np.bitwise_count(bits[alive[ask]] ^ bits[other[ask]]) <= DISTANCE
+        i, j = alive[ask], other[ask]
+        close = within_parities(odd[i], odd[j], sizes[i] + sizes[j])
+        i, j = i[close], j[close]
+        found_a.append(i)
+        found_b.append(j)
+        if spanning and len(i):
+            tied, to = forest(labels[i], labels[j])
+            at = np.minimum(np.searchsorted(tied, labels), len(tied) - 1)
+            labels = np.where(tied[at] == labels, to[at], labels)
+        shift += 1
+
+
+def _near_pairs(held: DataFrame, families: DataFrame, labels: DataFrame | None, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Pairs ``a, b`` of digests with near fingerprints whose parities leave them similar.
+
+    Without ``labels`` (node, component) pairs enough to connect what such pairs connect, with them all such pairs of
+    different components. ``families`` are the components of the fingerprints; only texts of one family meet.
+    """
+    family = families.select(F.col("node").alias("print"), "component")
+    rows = held.select("digest", "print", "size", "odd").join(family, "print", "left")
+    label = F.col("digest")
+    if labels is not None:
+        rows = rows.join(labels.select(F.col("node").alias("digest"), F.col("component").alias("linked")), "digest", "left")
+        label = F.coalesce("linked", "digest")
+    labelled = materialize(rows.select(F.coalesce("component", "print").alias("key"), "digest", label.alias("label"),
+                                       "print", "size", "odd"), "families")
+
+    find = partial(near_pairs, spanning=labels is None)
+    return map_arrow(in_blocks(labelled, key_rows), lambda batches: meetings(batches, find, "print", "size", "odd"),
+                     "a long, b long").distinct()
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``, the one with the smallest doc_id; all columns unchanged.
 
-    Equal texts are linked, and texts with a similarity of 0.8 of their five-word shingles. Near fingerprints only
-    propose pairs: texts that share a long template have near fingerprints without being copies. Texts without a word
-    are copies of one another.
+    Equal texts are linked, and texts with a similarity of 0.8 of their five-word shingles. Near fingerprints propose
+    pairs, and the shingles decide: texts that share a long template have near fingerprints without being copies. All
+    pairs within ``DISTANCE`` bits are judged here and by nothing else; ``shingle_links`` finds the similar texts beyond.
+    Texts without a word are copies of one another.
     """
     node_, twin = fresh(docs, "node_of_text", "twin_of_row")
     blank = F.xxhash64(F.lit(""))
@@ -304,23 +344,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
     def node(text):
         return F.when(F.btrim(text, F.lit(BLANKS)) != "", F.xxhash64(text)).otherwise(blank)
 
-    def run(batches):
-        for batch in batches:
-            prints = pa.array(_signed(fingerprint(t) for t in texts_of(batch)))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "node"), prints],
-                                             ["doc_id", "node", "print"])
-
     texts = doc_rows(docs).withColumn("node", node(F.col("text")))
-    prints = materialize(map_arrow(texts, run, "doc_id long, node long, print long"), "fingerprints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-    worded = F.col("node") != blank
-    labels = shingle_components(texts.where(worded).select(F.col("node").alias("digest"), "text"),
-                                _print_pairs(prints.where(worded).select("print", "node").distinct()))
+    ids = materialize(texts.select("doc_id", "node"), "ids")
+    nodes = materialize(ids.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
+    worded = texts.where(F.col("node") != blank).select(F.col("node").alias("digest"), "text")
+    held = materialize(profiles(worded, fingerprint), "profiles")
+    families = materialize(connected(near_links(held.select("print").distinct())), "print-families")
+    near = partial(_near_pairs, held, families)
+    labels = shingle_components(worded, near(None), held=held, near=near, distance=DISTANCE)
     keepers = materialize(_led(nodes, labels), "groups").where("node = keeper").select(
         F.col("keeper").alias("_keeper"), F.col("component_id").alias("_keeper_id"))
     kept = docs.withColumn(node_, node(F.col("text").cast("string"))).join(keepers, (F.col(node_) == F.col(
         "_keeper")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keeper_id")), "left_semi")
-    rows = prints.join(keepers, (F.col("node") == F.col("_keeper")) & F.col("doc_id").eqNullSafe(
+    rows = ids.join(keepers, (F.col("node") == F.col("_keeper")) & F.col("doc_id").eqNullSafe(
         F.col("_keeper_id")), "left_semi").count()
     if rows > keepers.count():
         # Rows that share the id and the text of a keeper: one of them stays.

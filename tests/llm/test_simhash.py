@@ -142,6 +142,47 @@ def test_components_equal_brute_force(spark, key_rows):
     assert len(got) == 80 + 96
 
 
+def test_near_fingerprints_are_judged_by_fingerprints_alone(spark, docs, monkeypatch):
+    """Similar texts within the distance go because their fingerprints meet, others because their shingles do."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):
+        text = rng.choices(words, k=rng.randrange(80, 400))
+        copy = list(text)
+        for at in rng.sample(range(len(text)), 1 + len(text) // 80):
+            copy[at] = rng.choice(words)
+        rows += [(i, " ".join(text)), (100 + i, " ".join(copy))]
+    apart = [(brute_print(a) ^ brute_print(b)).bit_count() for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    similar = [brute_similar(a, b) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    near = [i for i in range(60) if similar[i] and 0 < apart[i] <= 4]
+    assert len(near) > 5 and any(s and d > 4 for s, d in zip(similar, apart))
+    stay = list(range(60)) + [100 + i for i in range(60) if not similar[i]]
+    assert sorted(r.doc_id for r in ops.keep_first(docs(rows)).collect()) == stay
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(ops, "near_links", lambda *_: none)
+    assert sorted(r.doc_id for r in ops.keep_first(docs(rows)).collect()) == sorted(stay + [100 + i for i in near])
+
+
+@pytest.mark.parametrize("key_rows", [2048, 40])
+def test_near_pairs_in_blocks(spark, key_rows):
+    """Families of near fingerprints, cut into blocks in the second case: all pairs of different components."""
+    rows = family_and_revisions(random.Random(5))
+    texts = spark.createDataFrame(rows, "digest long, text string")
+    held = texts.sparkSession.createDataFrame(shingle_links.profiles(texts, ops.fingerprint).collect())
+    families = components.connected(ops.near_links(held.select("print").distinct()))
+    prints = [(d, brute_print(t)) for d, t in rows]
+    near = {tuple(sorted((d, e))) for i, (d, p) in enumerate(prints) for e, q in prints[:i] if (p ^ q).bit_count() <= 4}
+    texts_of = dict(rows)
+    want = {(a, b) for a, b in near if brute_similar(texts_of[a], texts_of[b])}
+    none = spark.createDataFrame([], "node long, component long")
+    got = {tuple(r) for r in ops._near_pairs(held, families, none, key_rows).collect()}
+    assert want and want <= got <= near
+    spanning = ops._near_pairs(held, families, None, key_rows)
+    assert components.connected(spanning).exceptAll(components.connected(spark.createDataFrame(
+        sorted(got), "a long, b long"))).isEmpty() and spanning.count() <= len(got)
+
+
 def test_similar_sets_keep_parities_and_prefixes():
     """At the least similarity sets are within the parity bound and meet in their prefixes, whatever shingle is common."""
     rng = random.Random(3)
