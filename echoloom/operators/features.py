@@ -1,26 +1,31 @@
 """Model inputs of questions and contexts: sub-word tokens with their characters, windows, masks, answer positions.
 
-The tokenizer is injected; it sees the distinct words of a batch. What it returns stays two arrays of numbers per text,
+The tokenizer is injected; it sees the distinct words of a piece of a batch. What it returns stays two arrays of numbers per text,
 where each token begins and ends; windows, masks and positions are expressions over them, row by row.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.functions.text import ColumnLike, col
 from echoloom.operators.scoring import chunk_starts
 
-# Words of a batch -> per word its tokens as (id, characters).
+# Words of a piece -> per word its tokens as (id, characters).
 Tokenizer = Callable[[list[str]], list[list[tuple[int, int]]]]
 TOKENS = "ids array<int>, starts array<int>, ends array<int>"
 _WORD = re.compile(r"\S+")
+# Bytes of text that are tokenized at once.
+PIECE_BYTES = 1 << 18
 # Special tokens beside the question and the window: one before, one after each.
 MARKS = 3
 FEATURE = ("chunk", "input_ids", "attention_mask", "token_type_ids", "cls_index", "p_mask", "is_impossible",
@@ -38,30 +43,48 @@ class Special(NamedTuple):
 def encode(text: ColumnLike, tokenizer: Tokenizer) -> Column:
     """``{ids, starts, ends}``: the tokens of a text, and the characters each stands for, ends exclusive.
 
-    Each distinct word of a batch is tokenized once. Null has no tokens.
+    A batch is taken in pieces of at most ``PIECE_BYTES`` of text or one text; each distinct word of a piece is
+    tokenized once. What stays of a piece are its numbers. Null has no tokens.
     """
-    @F.pandas_udf(TOKENS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [[(m.start(), m[0]) for m in _WORD.finditer(t or "")] for t in texts]
-        words = list(dict.fromkeys(w for row in found for _, w in row))
-        pieces = dict(zip(words, tokenizer(words)))
-        rows = []
-        for row in found:
-            ids, starts, ends = [], [], []
-            for at, word in row:
-                stop = at + len(word)
-                for n, (i, length) in enumerate(pieces[word], 1):
-                    ids.append(i)
-                    starts.append(at)
-                    # The last token of a word ends with it, whatever a normaliser did to its length.
-                    at = stop if n == len(pieces[word]) else min(at + length, stop)
-                    ends.append(at)
-            rows.append((ids, starts, ends))
-        return pd.DataFrame(rows, columns=["ids", "starts", "ends"])
+    @F.arrow_udf(TOKENS)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_encoded(p.to_pylist(), tokenizer) for p in pieces(texts)])
 
     return run(col(text))
 
 
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of at most ``PIECE_BYTES``; a longer text is a run of its own, no text is one empty run."""
+    at = size = 0
+    for n, length in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if n > at and size + length > PIECE_BYTES:
+            yield texts.slice(at, n - at)
+            at, size = n, 0
+        size += length
+    yield texts.slice(at)
+
+
+def _encoded(texts: list[str | None], tokenizer: Tokenizer) -> pa.Array:
+    """The tokens of each text as ``TOKENS``, in flat arrays of 32 bits."""
+    words = list(dict.fromkeys(w for t in texts for w in _WORD.findall(t or "")))
+    known = dict(zip(words, tokenizer(words)))
+    ids, starts, ends, offsets = array("i"), array("i"), array("i"), array("i", [0])
+    for text in texts:
+        for m in _WORD.finditer(text or ""):
+            at, stop, found = m.start(), m.end(), known[m[0]]
+            for n, (i, length) in enumerate(found, 1):
+                ids.append(i)
+                starts.append(at)
+                # The last token of a word ends with it, whatever a normaliser did to its length.
+                at = stop if n == len(found) else min(at + length, stop)
+                ends.append(at)
+        offsets.append(len(ids))
+    flat = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (ids, starts, ends))
+    cuts = pa.array(np.frombuffer(offsets, np.int32))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(x)) for x in flat],
+                                      ["ids", "starts", "ends"])
+
+
 def token_span(starts: Column, ends: Column, first: Column, last: Column) -> Column:
     """``{first, last}`` token of the characters ``first`` to ``last``, both included; offsets rise, so counts find them."""
     return F.struct(F.size(F.filter(ends, lambda e: e <= first)).alias("first"),

@@ -1,6 +1,8 @@
 """Model inputs against a loop over questions, windows and tokens."""
 
 import random
+import re
+import uuid
 
 import pytest
 
@@ -100,6 +102,26 @@ def test_a_tokenizer_of_a_public_vocabulary(spark):
     assert context[row.token_starts[first]:row.token_ends[last]].startswith(answer) and not row.is_impossible
 
 
+def test_texts_are_tokenized_in_pieces(spark, tmp_path):
+    """However many rows a batch has, only words of a bounded piece of text are tokenized at once."""
+    seen = str(tmp_path)
+
+    def counted(words):
+        with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(map(len, words))))
+        return [[(7, len(w))] for w in words]
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900, None)], "i int, t string").coalesce(1)
+    got = {r.i: r for r in df.select("i", ops.encode("t", counted).alias("c")).select("i", "c.*").collect()}
+    assert len(got[900].ids) == 0 and len(got) == 201
+    for i, t in enumerate(texts):
+        at = [m.start() for m in re.finditer(r"\S+", t)]
+        assert list(got[i].starts) == at and list(got[i].ends) == [a + len(w) for a, w in zip(at, t.split())]
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert len(sizes) > 4 and max(sizes) <= ops.PIECE_BYTES
+
+
 def test_no_room_is_refused(spark):
     with pytest.raises(ValueError, match="no room"):
         ops.model_inputs(spark.range(1), tokenizer, SPECIAL, 10, 4, 7)
