@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoloom.functions.text import ColumnLike, col, let, tokens
 
-# question words and chunk words of a batch -> start and end scores of the words of each chunk
+# Chunks that are scored at once; of each batch only their scores stay, in flat arrays.
+SCORED = 256
+
+# question words and chunk words of some chunks -> start and end scores of the words of each chunk
 Scorer = Callable[[pd.Series, pd.Series], tuple[Iterable[list[float]], Iterable[list[float]]]]
 
 
@@ -67,15 +71,21 @@ def chunk_answer_spans(df: DataFrame, length: Column | int = 384, stride: int =
 
 
 def score_chunks(chunks: DataFrame, scorer: Scorer) -> DataFrame:
-    """Run an injected scorer over chunk rows, a batch at a time.
+    """Run an injected scorer over chunk rows, ``SCORED`` at a time.
 
     ``chunks`` has ``question`` and ``words``; adds ``start_logits, end_logits``.
     Only these two columns go to Python, and only the scores come back.
     """
-    @F.pandas_udf("start_logits array<double>, end_logits array<double>")
-    def run(question: pd.Series, words: pd.Series) -> pd.DataFrame:
-        starts, ends = scorer(question.fillna("").astype(str).str.split(), words.map(list))
-        return pd.DataFrame({"start_logits": list(starts), "end_logits": list(ends)})
+    def scored(question: pa.Array, words: pa.Array) -> pa.Array:
+        asked = pd.Series([(q or "").split() for q in question.to_pylist()], dtype=object)
+        found = scorer(asked, pd.Series([w or [] for w in words.to_pylist()], dtype=object))
+        return pa.StructArray.from_arrays([pa.array(list(x), pa.list_(pa.float64())) for x in found],
+                                          ["start_logits", "end_logits"])
+
+    @F.arrow_udf("start_logits array<double>, end_logits array<double>")
+    def run(question: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.concat_arrays([scored(question.slice(at, SCORED), words.slice(at, SCORED))
+                                 for at in range(0, max(len(words), 1), SCORED)])
 
     return chunks.withColumn("_scores", run("question", "words")).select(*chunks.columns, "_scores.*")
 

@@ -98,6 +98,16 @@ def test_long_questions_are_cut_and_blank_contexts_answered(spark):
     assert sorted(rest) == [(i, 1, None, None, None, "", 1.0) for i in ("blank", "none")]
 
 
+def test_chunks_are_scored_in_pieces(spark):
+    """However many chunks a batch has, the scorer holds a bounded number at once."""
+    rows = [(i, f"q{i}" if i % 3 else None, ["w"] * (i % 4)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i int, question string, words array<string>").coalesce(1)
+    held = lambda q, w: ([[float(len(q))] * len(x) for x in w], [[float(len(x))] * len(c) for x, c in zip(q, w)])
+    got = {r.i: r for r in scoring.score_chunks(df, held).collect()}
+    assert len(got) == 1000 and max(v for r in got.values() for v in r.start_logits) <= scoring.SCORED
+    assert all(list(got[i].end_logits) == [1.0 if q else 0.0] * len(w) for i, q, w in rows)
+
+
 @pytest.mark.parametrize("slot,rank", [(9.0, 1), (2.75, 2), (-50.0, 3)])
 def test_null_answer(spark, slot, rank):
     features = spark.createDataFrame(
